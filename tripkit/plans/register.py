@@ -68,14 +68,10 @@ def r(expression: str) -> str:
     return f"round(round({expression}, 7), 4)"
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Every double column at comparison precision."""
-    return df.select(
-        *[
-            F.round(F.round(name, 7), 4).alias(name) if kind == "double" else F.col(name)
-            for name, kind in df.dtypes
-        ]
-    )
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, or else every double column, at comparison precision."""
+    names = names or tuple(name for name, kind in df.dtypes if kind == "double")
+    return df.withColumns({name: F.round(F.round(name, 7), 4) for name in names})
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -502,7 +498,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     predicted = with_hour_mean(featured_trips(spark, folder)).select("event_id", "fare_amount", "prediction")
-    return rounded(op.residual_anomalies(predicted, "fare_amount", k=2.0))
+    return rounded(op.residual_anomalies(predicted, "fare_amount", k=2.0), "prediction")
 
 
 def fare_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
