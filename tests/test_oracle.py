@@ -19,6 +19,17 @@ def plain(value):
     return value
 
 
+# The same types under their names in either engine.
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def rows_by_name(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return Counter(tuple(plain(row[i]) for i in order) for row in rows)
@@ -40,6 +51,8 @@ def tables(request):
 def test_same_rows(spark, tables, name):
     folder, database = tables
     ours = QUERIES[name](spark, folder)
+    expected = database.sql(ORACLES[name])
+    assert {c: TYPES[t] for c, t in ours.dtypes} == dict(zip(expected.columns, map(str, expected.types)))
     theirs = database.execute(ORACLES[name])
     their_columns = [c[0] for c in theirs.description]
     assert sorted(ours.columns) == sorted(their_columns)

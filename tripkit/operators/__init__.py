@@ -28,6 +28,7 @@ from tripkit.operators.layout import (
     cached,
     checkpointed,
     ensure_checkpoint_dir,
+    partition_count,
     partition_profile,
     relayout,
     with_position,
@@ -52,6 +53,7 @@ from tripkit.operators.models import (
     training_frame,
     vector_stage,
 )
+from tripkit.operators.parity import assert_same, differences, parity
 from tripkit.operators.profile import mean_std, range_stats, row_count, sample_rows, summarize
 from tripkit.operators.quality import (
     Rule,

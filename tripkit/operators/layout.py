@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -19,18 +19,26 @@ def partition_profile(df: DataFrame) -> DataFrame:
     return df.groupBy(F.spark_partition_id().alias("partition_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def relayout(df: DataFrame, n: int, *keys: str, salts: int = 8) -> DataFrame:
+def partition_count(df: DataFrame) -> int:
+    """Number of partitions, empty ones included. A frame with shuffles is computed up to the last one."""
+    return df.rdd.getNumPartitions()
+
+
+def relayout(
+    df: DataFrame, n: int, *keys: str, salts: int = 8, spread: Sequence[str] | None = None
+) -> DataFrame:
     """Shuffle into ``n`` partitions, evenly or by ``keys``.
 
-    With keys, each key is spread over up to ``salts`` partitions by a hash of the whole row,
-    so that one very frequent key does not end up in a single task; ``salts=1`` co-locates
-    every key, for keys known to be even.
+    With keys, each key goes to up to ``salts`` partitions, chosen by a hash of the ``spread``
+    columns (default: the whole row), so that one very frequent key does not end up in a
+    single task. Naming a row's id columns keeps the others out of the shuffle. ``salts=1``
+    co-locates every key, for keys known to be even.
     """
     if not keys:
         return df.repartition(n)
     placement: list[Column] = [F.col(key) for key in keys]
     if salts > 1:
-        placement.append(F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+        placement.append(F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(salts)))
     return df.repartition(n, *placement)
 
 

@@ -334,6 +334,35 @@ def _(spark, folder):
     return rounded(op.outlier_groups(trips(spark, folder), "PULocationID", "fare_amount", avg_as="avg_fare"))
 
 
+def parity_sql(*counts: str) -> str:
+    lines = [f"SELECT '{name}' AS report, {n} AS left_rows, {n} AS right_rows, CAST(0 AS BIGINT) AS differing"
+             for name, n in (count.split("=") for count in counts)]
+    return " UNION ALL ".join(lines)
+
+
+@register(
+    "api_parity",
+    parity_sql(
+        "count_by_hour=(SELECT count(DISTINCT hour(ts)) FROM events)",
+        "avg_by_hour=(SELECT count(DISTINCT hour(ts)) FROM events)",
+        "topk_by_count=(SELECT least(10, count(DISTINCT l_suppkey)) FROM lineitem)",
+    ),
+)
+def _(spark, folder):
+    events, lineitem = read_table(spark, folder, "events"), read_table(spark, folder, "lineitem")
+    pairs = {
+        "count_by_hour": (op.count_by_hour(events, "ts"), op.sql_count_by_hour(events, "ts")),
+        "avg_by_hour": (
+            rounded(op.avg_by_hour(events, "ts", "value")),
+            rounded(op.sql_avg_by_hour(events, "ts", "value")),
+        ),
+        "topk_by_count": (op.topk_by_count(lineitem, "l_suppkey"), op.sql_topk_by_count(lineitem, "l_suppkey")),
+    }
+    return union_months(
+        [op.parity(*pair).select(F.lit(name).alias("report"), "*") for name, pair in pairs.items()]
+    )
+
+
 # --- quality and cleaning -----------------------------------------------------------------
 
 
@@ -426,7 +455,9 @@ def _(spark, folder):
 @register("relayout_by_key_avg", AVG_BY_KEY_SQL)
 def _(spark, folder):
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rounded(avg_price_by_supplier(op.relayout(read_table(spark, folder, "lineitem"), n, "l_suppkey")))
+    lineitem = read_table(spark, folder, "lineitem")
+    spread = op.relayout(lineitem, n, "l_suppkey", spread=["l_orderkey", "l_linenumber"])
+    return rounded(avg_price_by_supplier(spread))
 
 
 @register("cached_avg", AVG_BY_KEY_SQL)
