@@ -17,6 +17,9 @@ def spark(tmp_path_factory):
         driver_memory="4g",
         conf={
             "spark.ui.enabled": "false",
+            # Whole plans, for the tests that look at them.
+            "spark.sql.maxMetadataStringLength": "2000",
+            "spark.sql.debug.maxToStringFields": "200",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },
