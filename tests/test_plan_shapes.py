@@ -133,3 +133,15 @@ def test_features_stay_in_one_stage(spark):
 
 def test_scan_of_a_wide_table_for_a_count(spark):
     assert read_columns(planned(op.row_count(read_table(spark, FOLDER, "lineitem")))) == [set()]
+
+
+def test_json_is_parsed_once_and_late(spark):
+    plan = planned(queries()["features"](spark, FOLDER))
+    assert plan.count("json_tuple") == 1
+    # The filter on the other columns runs below the parse.
+    assert re.search(r"json_tuple[\s\S]*Filter[\s\S]*FileScan", plan)
+
+
+def test_json_stays_unread_where_no_distance_is_needed(spark):
+    for name in ("distribution", "outlier_groups"):
+        assert all("props" not in read for read in read_columns(planned(queries()[name](spark, FOLDER))))

@@ -92,8 +92,8 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
-def trips(spark: SparkSession, folder: str) -> DataFrame:
-    return trips_from_events(read_table(spark, folder, "events"))
+def trips(spark: SparkSession, folder: str, distance: bool = True) -> DataFrame:
+    return trips_from_events(read_table(spark, folder, "events"), distance)
 
 
 def cleaned_trips(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,7 +174,7 @@ def _(spark, folder):
     f"WITH {TRIPS_SQL} SELECT passenger_count, count(*) AS n FROM trips GROUP BY 1 ORDER BY 1 NULLS FIRST",
 )
 def _(spark, folder):
-    return op.distribution(trips(spark, folder), "passenger_count")
+    return op.distribution(trips(spark, folder, distance=False), "passenger_count")
 
 
 COUNT_BY_HOUR_SQL = (
@@ -331,7 +331,9 @@ def _(spark, folder):
     ORDER BY avg(fare_amount) DESC, 1""",
 )
 def _(spark, folder):
-    return rounded(op.outlier_groups(trips(spark, folder), "PULocationID", "fare_amount", avg_as="avg_fare"))
+    return rounded(
+        op.outlier_groups(trips(spark, folder, distance=False), "PULocationID", "fare_amount", avg_as="avg_fare")
+    )
 
 
 def parity_sql(*counts: str) -> str:
@@ -558,7 +560,8 @@ def _(spark, folder):
 def _(spark, folder):
     train, test = fare_split(spark, folder)
     with op.cached(train.drop("event_id")) as held:
-        forest, boosted = op.fit_forest(held, SMALL_FOREST), op.fit_gbt(held, SMALL_BOOST)
+        forest = op.fit_forest(held, SMALL_FOREST, cache=False)
+        boosted = op.fit_gbt(held, SMALL_BOOST, cache=False)
     both = op.score(boosted, op.score(forest, test, "by_forest"), "by_gbt")
     return op.compare_models(both, "fare_amount", {"forest": "by_forest", "gbt": "by_gbt"})
 
