@@ -102,6 +102,15 @@ def test_outlier_deviation_is_stable_far_from_zero(spark):
     ]
 
 
+def test_column_names_of_the_table_do_not_clash_with_ours(spark):
+    names = ["n", "known", "mean", "variance", "group_key", "pickup_hour", "k"]
+    df = table(spark, trip(place=1), trip(place=2, fare=30.0)).withColumns({name: F.lit(-1) for name in names})
+    assert values(op.outlier_groups(df, "PULocationID", "fare_amount", 0.1)) == [(2, 30.0, 1)]
+    assert values(op.sql_count_by_hour(df, START)) == values(op.count_by_hour(df, START)) == [(10, 2)]
+    assert values(op.sql_avg_by_hour(df, START, "fare_amount")) == [(10, 25.0)]
+    assert values(op.sql_topk_by_count(df, "PULocationID", 1)) == values(op.topk_by_count(df, "PULocationID", 1))
+
+
 def test_outlier_groups_of_one_row(spark):
     assert op.outlier_groups(table(spark, trip()), "PULocationID", "fare_amount").count() == 0
 

@@ -76,13 +76,16 @@ def test_zero_divisors_give_null(spark):
     assert values(df, "fare_per_mile", "avg_speed_mph") == [(None, 0.0), (4.0, None), (4.0, None)]
 
 
-def test_hash_bucket_depends_on_id_and_seed_only(spark):
-    ids = spark.range(2000)
-    one = values(ids.select("id", fn.hash_bucket("id").alias("b")).orderBy("id"), "b")
-    two = values(ids.repartition(7).select("id", fn.hash_bucket("id").alias("b")).orderBy("id"), "b")
-    other = values(ids.select("id", fn.hash_bucket("id", seed=7).alias("b")).orderBy("id"), "b")
-    assert one == two != other
-    assert set(one) == set(range(100))
+def test_hash_share_depends_on_id_and_seed_only(spark):
+    ids = spark.range(5000)
+
+    def chosen(df, **kw):
+        return sorted(values(df.where(fn.hash_share("id", **kw)), "id"))
+
+    assert chosen(ids, pct=30) == chosen(ids.repartition(7), pct=30) != chosen(ids, pct=30, seed=7)
+    assert set(chosen(ids, pct=30)) < set(chosen(ids, pct=60))
+    for pct in (0, 1, 30, 50, 99, 100):
+        assert len(chosen(ids, pct=pct)) == pytest.approx(50 * pct, abs=130 if 0 < pct < 100 else 0)
 
 
 def test_preview(spark):

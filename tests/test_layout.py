@@ -31,6 +31,13 @@ def test_a_hot_key_is_spread(skewed):
     assert max(values(op.partition_profile(salted), "n")) < 1500
 
 
+def test_ids_spread_rows_without_a_sort(skewed):
+    by_id = op.relayout(skewed, 8, spread=["id"])
+    counts = values(op.partition_profile(by_id), "n")
+    assert len(counts) == 8 and sum(counts) == 9000
+    assert max(counts) < 2 * min(counts)
+
+
 def test_partition_profile_counts_all_rows(skewed):
     assert sum(values(op.partition_profile(skewed.repartition(5)), "n")) == 9000
 

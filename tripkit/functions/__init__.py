@@ -3,7 +3,7 @@
 from tripkit.functions.columns import (
     as_column,
     day_name,
-    hash_bucket,
+    hash_share,
     hour_of_day,
     minutes_between,
     ratio,
@@ -14,7 +14,7 @@ from tripkit.functions.columns import (
 __all__ = [
     "as_column",
     "day_name",
-    "hash_bucket",
+    "hash_share",
     "hour_of_day",
     "minutes_between",
     "ratio",

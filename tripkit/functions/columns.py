@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,10 +51,14 @@ def speed(distance: Column | str, minutes: Column | str) -> Column:
     return F.when(minutes > 0, F.try_divide(as_column(distance), minutes / MINUTES_PER_HOUR))
 
 
-def hash_bucket(*ids: Column | str, seed: int = 42, buckets: int = 100) -> Column:
-    """A bucket 0 .. ``buckets`` - 1 that depends on the ids and the seed only.
+def hash_share(*ids: Column | str, pct: float, seed: int = 42) -> Column:
+    """True for about ``pct`` percent of the ids.
 
-    It stays the same whatever the partitioning, the retry or the engine, unlike a random draw.
+    Depends on the ids and the seed only, so it stays the same whatever the partitioning, the
+    retry or the engine, unlike a random draw. Digests are compared as text with the share of
+    their range, which spares turning each into a number.
     """
+    if pct >= 100:
+        return F.lit(True)
     text = F.concat_ws(":", F.lit(str(seed)), *[as_column(i).cast("string") for i in ids])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % buckets
+    return F.md5(text) < f"{math.ceil(pct / 100 * 2**32):08x}"

@@ -27,7 +27,11 @@ def partition_count(df: DataFrame) -> int:
 def relayout(
     df: DataFrame, n: int, *keys: str, salts: int = 8, spread: Sequence[str] | None = None
 ) -> DataFrame:
-    """Shuffle into ``n`` partitions, evenly or by ``keys``.
+    """Shuffle into ``n`` partitions: evenly, or by ``keys``.
+
+    Dealing rows out evenly makes Spark sort them first, so that a task that runs again deals
+    the same way. Naming id columns in ``spread`` places rows by their hash instead, which
+    needs no sort.
 
     With keys, each key goes to up to ``salts`` partitions, chosen by a hash of the ``spread``
     columns (default: the whole row), so that one very frequent key does not end up in a
@@ -35,7 +39,7 @@ def relayout(
     co-locates every key, for keys known to be even.
     """
     if not keys:
-        return df.repartition(n)
+        return df.repartition(n, *(spread or ()))
     placement: list[Column] = [F.col(key) for key in keys]
     if salts > 1:
         placement.append(F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(salts)))

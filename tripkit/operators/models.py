@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripkit.functions import hash_bucket
+from tripkit.functions import hash_share
 from tripkit.operators.explore import demand_table
 from tripkit.operators.layout import cached, ensure_checkpoint_dir
 from tripkit.operators.quality import drop_nulls
@@ -59,14 +59,14 @@ def hash_split(
     df: DataFrame, id_cols: Sequence[str], pct: int = 80, seed: int = 42, out: str = "is_train"
 ) -> DataFrame:
     """Add a flag that is true for about ``pct`` percent of the ids, the same ones in every run."""
-    return df.withColumn(out, hash_bucket(*id_cols, seed=seed) < pct)
+    return df.withColumn(out, hash_share(*id_cols, pct=pct, seed=seed))
 
 
 def split_by_id(
     df: DataFrame, id_cols: Sequence[str], pct: int = 80, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """``(train, test)`` by ``hash_split``: disjoint, complete, and stable under repartitioning."""
-    chosen = hash_bucket(*id_cols, seed=seed) < pct
+    chosen = hash_share(*id_cols, pct=pct, seed=seed)
     return df.where(chosen), df.where(~chosen)
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tripkit.operators.layout import checkpointed
+
 
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -81,7 +83,7 @@ def sql_count_by_hour(df: DataFrame, ts: str) -> DataFrame:
         """
         SELECT hour(IDENTIFIER(:ts)) AS pickup_hour, count(*) AS n
         FROM {t}
-        GROUP BY pickup_hour
+        GROUP BY hour(IDENTIFIER(:ts))
         ORDER BY n DESC, pickup_hour
         """,
         ts=ts,
@@ -95,7 +97,7 @@ def sql_avg_by_hour(df: DataFrame, ts: str, measure: str, avg_as: str | None = N
         """
         SELECT hour(IDENTIFIER(:ts)) AS pickup_hour, avg(IDENTIFIER(:measure)) AS IDENTIFIER(:avg_as)
         FROM {t}
-        GROUP BY pickup_hour
+        GROUP BY hour(IDENTIFIER(:ts))
         ORDER BY pickup_hour
         """,
         ts=ts,
@@ -129,42 +131,45 @@ def outlier_groups(
 ) -> DataFrame:
     """``(key, avg, n)`` of the groups whose mean exceeds mean + ``k`` sample deviations of all rows.
 
-    The table is read once. Mean and deviation of all rows follow from each group's count,
-    mean and variance, so the three uses of ``per_key`` differ only after its shuffle and
-    Spark runs that shuffle once. The always-true HAVING names every aggregate to keep
-    column pruning from making the three different.
+    The table is read and grouped once, when this is called, and the groups are checkpointed.
+    Mean and deviation of all rows follow from the groups' counts, means and variances, so
+    the comparison reads the groups only.
     """
+    per_key = checkpointed(
+        _sql(
+            df,
+            """
+            SELECT IDENTIFIER(:key) AS group_key,
+                   count(*) AS n,
+                   count(IDENTIFIER(:measure)) AS known,
+                   avg(IDENTIFIER(:measure)) AS mean,
+                   var_pop(IDENTIFIER(:measure)) AS variance
+            FROM {t}
+            GROUP BY IDENTIFIER(:key)
+            """,
+            key=key,
+            measure=measure,
+        )
+    )
     return _sql(
-        df,
+        per_key,
         """
-        WITH per_key AS (
-          SELECT IDENTIFIER(:key) AS k,
-                 count(*) AS n,
-                 count(IDENTIFIER(:measure)) AS known,
-                 avg(IDENTIFIER(:measure)) AS mean,
-                 var_pop(IDENTIFIER(:measure)) AS spread
+        WITH overall AS (
+          SELECT sum(known) AS known, try_divide(sum(known * mean), sum(known)) AS mean
           FROM {t}
-          GROUP BY IDENTIFIER(:key)
-          HAVING n >= known AND (mean IS NULL OR spread IS NULL OR spread >= 0)
-        ),
-        overall AS (
-          SELECT sum(known) AS rows,
-                 sum(known * mean) / sum(known) AS mean
-          FROM per_key
-          HAVING sum(known) > 1
         ),
         deviation AS (
-          SELECT sqrt(sum(known * (spread + pow(mean - (SELECT mean FROM overall), 2)))
-                      / (SELECT rows - 1 FROM overall)) AS stddev
-          FROM per_key
+          SELECT sqrt(try_divide(
+                   sum(known * (variance + pow(mean - (SELECT mean FROM overall), 2))),
+                   (SELECT known - 1 FROM overall))) AS stddev
+          FROM {t}
         )
-        SELECT k AS IDENTIFIER(:key), mean AS IDENTIFIER(:avg_as), n
-        FROM per_key
+        SELECT group_key AS IDENTIFIER(:key), mean AS IDENTIFIER(:avg_as), n
+        FROM {t}
         WHERE mean > (SELECT mean FROM overall) + :k * (SELECT stddev FROM deviation)
-        ORDER BY mean DESC, k
+        ORDER BY mean DESC, group_key
         """,
         {"k": float(k)},
         key=key,
-        measure=measure,
         avg_as=avg_as or f"avg_{measure}",
     )

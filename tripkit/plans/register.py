@@ -496,11 +496,10 @@ def _(spark, folder):
     return op.category_index(read_table(spark, folder, "events"), "event_type")
 
 
+# 80 percent of the range of the first eight hexadecimal digits ends at cccccccd.
 @register(
     "hash_split",
-    """SELECT event_id,
-    CAST('0x' || substr(md5('42:' || CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 80 AS is_train
-    FROM events""",
+    "SELECT event_id, md5('42:' || CAST(event_id AS VARCHAR)) < 'cccccccd' AS is_train FROM events",
 )
 def _(spark, folder):
     return op.hash_split(read_table(spark, folder, "events").select("event_id"), ["event_id"])
