@@ -27,6 +27,7 @@ CPUS = os.environ.get("BENCH_CPUS", "*")
 REPEATS = int(os.environ.get("BENCH_REPEATS", "5"))
 SWEEP = (1, 4, 8, 16, 32, 64)
 MONTHS = 5
+COPIES = 30
 
 NAMED = (
     "row_count",
@@ -97,6 +98,19 @@ def main() -> None:
     with op.cached(months) as held:
         held.count()
         times[f"avg_by_key_{MONTHS}_months_cached"] = seconds(lambda: drain(average(held)))
+    # The layout experiment on about three million trips: clean, derive, average by place.
+    tidy = op.filter_duration(
+        op.with_features(op.clean(union_months([register.trips(spark, FOLDER)] * COPIES), op.trip_rules()))
+    )
+
+    def by_place(df) -> None:
+        drain(op.avg_by_key(df, "PULocationID", "fare_amount"))
+
+    times["layout_original"] = seconds(lambda: by_place(tidy))
+    times["layout_repartitioned"] = seconds(lambda: by_place(op.relayout(tidy, 16)))
+    with op.cached(tidy) as held:
+        held.count()
+        times["layout_cached"] = seconds(lambda: by_place(held))
     sweep = {n: seconds(lambda: drain(average(op.relayout(lineitem, n)))) for n in SWEEP}
 
     # One pass for all rules against one job per rule, on the same rows in the same state.

@@ -106,9 +106,19 @@ def fit_forest(
     category: str = CATEGORY,
     cache: bool = True,
 ) -> PipelineModel:
-    """Random-forest regression."""
+    """Random-forest regression.
+
+    Each row's node in every tree is kept between levels, which gives the same forest without
+    walking down from the roots again. Rows in few or uneven partitions should go through
+    ``relayout`` first: every level passes over all of them.
+    """
     learner = RandomForestRegressor(
-        featuresCol=VECTOR, labelCol=label, numTrees=spec.trees, maxDepth=spec.depth, seed=spec.seed
+        featuresCol=VECTOR,
+        labelCol=label,
+        numTrees=spec.trees,
+        maxDepth=spec.depth,
+        seed=spec.seed,
+        cacheNodeIds=True,
     )
     return _fit(train, features, category, learner, cache)
 

@@ -423,6 +423,14 @@ def _(spark, folder):
     return featured_trips(spark, folder).select("event_id", *op.FEATURES)
 
 
+PREVIEW = ["event_id", "trip_distance", "fare_amount", *op.FEATURES]
+
+
+@register("preview", f"WITH {FEATURES_SQL} SELECT {', '.join(PREVIEW)} FROM featured ORDER BY event_id LIMIT 5")
+def _(spark, folder):
+    return op.sample_rows(featured_trips(spark, folder).select(PREVIEW), 5, ["event_id"])
+
+
 @register(
     "features_raw",
     f"""WITH {TRIPS_SQL}, timed AS (
