@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from collections.abc import Callable
 from pathlib import Path
@@ -20,7 +21,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from tripkit import operators as op  # noqa: E402
 from tripkit import plans  # noqa: E402
 from tripkit.plans import register  # noqa: E402
-from tripkit.sources import read_table, session, union_months  # noqa: E402
+from tripkit.sources import read_table, read_trips, session, union_months  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "*")
@@ -99,9 +100,11 @@ def main() -> None:
         held.count()
         times[f"avg_by_key_{MONTHS}_months_cached"] = seconds(lambda: drain(average(held)))
     # The layout experiment on about three million trips: clean, derive, average by place.
-    tidy = op.filter_duration(
-        op.with_features(op.clean(union_months([register.trips(spark, FOLDER)] * COPIES), op.trip_rules()))
-    )
+    copies = union_months([register.trips(spark, FOLDER)] * COPIES)
+    scratch = tempfile.TemporaryDirectory(prefix="tripkit-bench-", ignore_cleanup_errors=True)
+    stored = f"{scratch.name}/trips"
+    op.relayout(copies, spark.sparkContext.defaultParallelism).write.parquet(stored)
+    tidy = op.filter_duration(op.with_features(op.clean(read_trips(spark, stored), op.trip_rules())))
 
     def by_place(df) -> None:
         drain(op.avg_by_key(df, "PULocationID", "fare_amount"))
@@ -155,6 +158,7 @@ def main() -> None:
         )
     )
     spark.stop()
+    scratch.cleanup()
 
 
 if __name__ == "__main__":

@@ -104,6 +104,14 @@ def test_relayout_by_key_shuffles_the_needed_columns(spark):
     assert read_columns(plan) == [{"l_suppkey", "l_extendedprice", "l_orderkey", "l_linenumber"}]
 
 
+def test_months_stored_in_folders_are_pruned(spark, tmp_path):
+    for month in ("2024-01", "2024-02"):
+        table(spark, trip()).write.parquet(str(tmp_path / f"month={month}"))
+    one = read_trips(spark, str(tmp_path)).where("month = '2024-02'")
+    assert re.search(r"PartitionFilters: \[[^\]]*month", planned(one))
+    assert one.count() == 1
+
+
 def test_month_bound_reaches_the_scan(spark):
     plan = planned(queries()["union_months"](spark, FOLDER))
     assert "LessThan(ts," in plan and "GreaterThanOrEqual(ts," in plan

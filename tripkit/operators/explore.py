@@ -6,7 +6,7 @@ small record per task. Every ranking names the key last, so ties have one answer
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripkit.functions import day_name, hour_of_day, weekend_flag
@@ -92,10 +92,13 @@ def weekend_split(df: DataFrame, ts: str, measure: str, avg_as: str | None = Non
     )
 
 
-def revenue_vs_volume(df: DataFrame, key: str, measure: str, sum_as: str = "total") -> DataFrame:
+def revenue_vs_volume(
+    df: DataFrame, key: str, measure: Column | str, sum_as: str = "total"
+) -> DataFrame:
     """``(key, n, total, volume_rank, revenue_rank)``: each key's place by count and by sum.
 
-    One aggregation feeds both rankings; ranks start at 1 and ties follow the key.
+    One aggregation feeds both rankings; ranks start at 1 and ties follow the key. Runs when
+    called. Cast a money measure to decimal where equal totals must compare as equal.
     """
     per_key = df.groupBy(key).agg(_n(), F.sum(measure).alias(sum_as))
     by_volume = with_position(per_key, F.desc("n"), F.asc_nulls_last(key), out="volume_rank")
@@ -111,7 +114,7 @@ def category_index(df: DataFrame, column: str, out: str = "idx") -> DataFrame:
     """``(column, idx)``: categories numbered from 0 by falling frequency, ties by name.
 
     The same numbers as a fitted ``StringIndexer``, but as a table and without
-    gathering the categories on the driver.
+    gathering the categories on the driver. Runs when called.
     """
     per_value = df.where(F.col(column).isNotNull()).groupBy(column).agg(_n())
     numbered = with_position(per_value, F.desc("n"), F.asc(column), out=out)

@@ -37,6 +37,7 @@ def trip_rules(
 ) -> list[Rule]:
     """The six rules for trips; add your own to the list or leave some out."""
     distance, amount, party = F.col(roles.distance), F.col(roles.amount), F.col(roles.party)
+    # The names of the rules, and their order, which decides what comes first.
     return [
         Rule("zero_or_negative_distance", distance <= 0),
         Rule("zero_or_negative_fare", amount <= 0),
