@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tripkit.functions import hash_share
 from tripkit.operators.explore import demand_table
-from tripkit.operators.layout import cached, ensure_checkpoint_dir
+from tripkit.operators.layout import cached, checkpointed, ensure_checkpoint_dir
 from tripkit.operators.quality import drop_nulls
 
 # The columns that predict a fare and the demand of a place, in vector order.
@@ -209,9 +209,13 @@ def fit_demand(
     pct: int = 80,
     seed: int = 42,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Forest for the trip count per place, hour and weekday; returns it with the scored test cells."""
+    """Forest for the trip count per place, hour and weekday; returns it with the scored test cells.
+
+    The cells are far fewer than the trips. They are counted once and checkpointed, which lets
+    Spark merge the many small partitions of the count before the passes of the fit.
+    """
     features = [key if name == "PULocationID" else name for name in DEMAND_FEATURES]
-    cells = drop_nulls(demand_table(trips, key, ts, count_as=DEMAND_LABEL))
+    cells = checkpointed(drop_nulls(demand_table(trips, key, ts, count_as=DEMAND_LABEL)))
     train, test = split_by_id(cells, [key, "pickup_hour", "day_of_week"], pct, seed)
     model = fit_forest(train, spec, features, DEMAND_LABEL)
     return model, score(model, test)
