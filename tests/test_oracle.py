@@ -8,9 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tripkit import plans
 
 FOLDERS = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = plans.queries(), plans.oracle_sql()
 
 
 def plain(value):
@@ -74,6 +75,8 @@ SCHEMAS = {
 
 def test_every_query_is_checked():
     assert set(QUERIES) == set(ORACLES) | set(SCHEMAS)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SCHEMAS))

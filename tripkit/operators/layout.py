@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -66,19 +65,16 @@ def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) ->
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the session's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; on a cluster the
-    folder must be shared, so a missing setting is an error there.
+    Where that is unset, a folder in the session's warehouse, which all executors share as
+    well. Checkpoint files go away with their frames if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tripkit-checkpoint-")
-    context.setCheckpointDir(folder)
+    context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return context.getCheckpointDir()
 
 
