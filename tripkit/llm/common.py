@@ -50,15 +50,17 @@ def append_columns(
     ``work`` gets the input arrays of a batch and returns one array for each output. Names in
     ``outputs`` must not occur in ``df``.
     """
-    schema = T.StructType(list(df.schema.fields))
-    for name, kind in outputs.items():
-        schema = schema.add(name, kind)
+    names = [*df.columns, *outputs]
+    # Inside, columns go by number, whatever they are called.
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    places = [df.columns.index(name) for name in inputs]
+    schema = T.StructType(list(numbered.schema.fields))
+    for i, kind in enumerate(outputs.values()):
+        schema = schema.add(f"made{i}", kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = work([batch.column(batch.schema.get_field_index(name)) for name in inputs])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *made], names=[*batch.schema.names, *outputs]
-            )
+            made = work([batch.column(i) for i in places])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return numbered.mapInArrow(run, schema).toDF(*names)

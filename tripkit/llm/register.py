@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripkit.llm import simhash
+from tripkit.llm import bpe, simhash
 from tripkit.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +39,15 @@ def oracle_sql() -> dict[str, str]:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_groups(read_table(spark, folder, "documents"), words=3)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register("op8_byte_bpe")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(read_table(spark, folder, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
