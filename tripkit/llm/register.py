@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripkit.llm import bpe, simhash
+from tripkit.llm import bpe, learn, quality, simhash
 from tripkit.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,18 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
+@register("op5_quality_mil")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    model = quality.fit_quality(docs, labels, "quality", folds=5, fold=0)
+    return quality.with_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        learn.held_out(F.col("doc_id"), 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @register("op10_simhash_near_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_groups(read_table(spark, folder, "documents"), words=3)
