@@ -27,6 +27,7 @@ from tripkit.llm.common import append_columns
 
 BLOCK_CHARS = 1 << 25
 _WORDS_PER_ROW = 1 << 16
+_TOKENS_PER_ROW = 1 << 16
 _ROWS_PER_PACK = 1 << 19
 _WORDS, _POSITIONS = 0, 1
 
@@ -47,6 +48,24 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
 
 
+def squeeze(*numbers: np.ndarray) -> bytes:
+    """Compress arrays of non-negative integers below 2**32, each cut into its four planes of bytes."""
+    head = np.array([len(n) for n in numbers], "<u4").tobytes()
+    planes = [n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for n in numbers]
+    return zlib.compress(head + b"".join(planes), 1)
+
+
+def unsqueeze(payload: bytes, arrays: int) -> list[np.ndarray]:
+    """What ``squeeze`` was given."""
+    data = np.frombuffer(zlib.decompress(payload), np.uint8)
+    at, found = 4 * arrays, []
+    for size in data[:at].view("<u4").tolist():
+        planes = data[at : at + 4 * size].reshape(4, size)
+        found.append(np.ascontiguousarray(planes.T).view("<u4").reshape(size))
+        at += 4 * size
+    return found
+
+
 class _Numbers(dict):
     """Numbers its keys from 0 in order of appearance."""
 
@@ -84,7 +103,11 @@ class Block:
         # A word may start with one space, so a space between two other characters ends a word
         # for sure. Texts are cut there, and each distinct cut is split into words once.
         self.spaced = _Pieces(split, self.words, " ")
-        self.chars, self.ids, self.positions = 0, [], []
+        self.chars = 0
+        self.done: list[tuple[list, bytes]] = []
+        self.ids: list = []
+        self.positions: list[np.ndarray] = []
+        self.pending = 0
 
     def add(self, doc_id, text: str, doubtful: Callable[[str], object]) -> None:
         self.chars += len(text)
@@ -95,10 +118,21 @@ class Block:
             head = np.fromiter((self.words[w] for w in self.split(first)), np.uint32)
             found = np.concatenate([head, self.spaced.positions(rest)]) if rest else head
         self.ids.append(doc_id)
-        self.positions.append(zlib.compress(found.astype("<u4").tobytes(), 1))
+        self.positions.append(found)
+        self.pending += len(found)
+        if self.pending >= _TOKENS_PER_ROW:
+            self.pack()
+
+    def pack(self) -> None:
+        """Put the documents at hand into one row: their ids, lengths and positions."""
+        if self.ids:
+            lengths = np.array([len(p) for p in self.positions])
+            self.done.append((self.ids, squeeze(lengths, np.concatenate(self.positions))))
+            self.ids, self.positions, self.pending = [], [], 0
 
     def rows(self) -> Iterator[tuple]:
-        """``(block, kind, first, doc_id, payload)``; a block is named by the hash of its words."""
+        """``(block, kind, first, doc_ids, payload)``; a block is named by the hash of its words."""
+        self.pack()
         words = [word.encode("utf-8") for word in self.words]
         name = xxhash.xxh64(digest_input := b"\0".join(words)).intdigest()
         name = np.uint64(name ^ len(digest_input)).view(np.int64).item()
@@ -106,12 +140,12 @@ class Block:
             part = words[first : first + _WORDS_PER_ROW]
             sizes = np.array([len(w) for w in part], "<u4").tobytes()
             yield name, _WORDS, first, None, zlib.compress(sizes + b"".join(part), 1)
-        for doc_id, payload in zip(self.ids, self.positions, strict=True):
-            yield name, _POSITIONS, 0, doc_id, payload
+        for ids, payload in self.done:
+            yield name, _POSITIONS, 0, ids, payload
 
 
 def _unpack_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(word, block, place)`` for each distinct word of each block."""
+    """``(block, word, place)`` for each distinct word of each block."""
     for batch in batches:
         rows = batch.select(["block", "kind", "first", "payload"]).filter(pc.equal(batch["kind"], _WORDS))
         for row in rows.to_pylist():
@@ -125,8 +159,8 @@ def _unpack_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
             places = np.arange(row["first"], row["first"] + len(sizes), dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [words, pa.array(np.full(len(sizes), row["block"], np.int64)), pa.array(places)],
-                names=["word", "block", "place"],
+                [pa.array(np.full(len(sizes), row["block"], np.int64)), words, pa.array(places)],
+                names=["block", "word", "place"],
             )
 
 
@@ -142,13 +176,11 @@ def _pack_ids(blocks: list, places: list, lengths: list, ids: list) -> Iterator[
     block, place = np.concatenate(blocks), np.concatenate(places)
     length, flat = np.array(lengths, np.int64), np.array(ids, np.uint32)
     starts = np.cumsum(length) - length
-    order = np.argsort(block, kind="stable")
+    order = np.lexsort((place, block))
     cuts = np.flatnonzero(np.diff(block[order])) + 1
     for mine in np.split(order, cuts):
-        here = flat[ragged(starts[mine], length[mine])]
-        head = np.array([len(mine)], "<u4").tobytes()
-        data = head + place[mine].astype("<u4").tobytes() + length[mine].astype("<u4").tobytes()
-        yield int(block[mine[0]]), zlib.compress(data + here.astype("<u4").tobytes(), 1)
+        steps = np.diff(place[mine], prepend=0)
+        yield int(block[mine[0]]), squeeze(steps, length[mine], flat[ragged(starts[mine], length[mine])])
 
 
 def _assemble(doc_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -158,10 +190,9 @@ def _assemble(doc_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]
         docs = block.filter(pc.equal(block["kind"], _POSITIONS))
         parts, size = [], 0
         for payload in packed["payload"].to_pylist():
-            data = np.frombuffer(zlib.decompress(payload), "<u4")
-            n = int(data[0])
-            parts.append((data[1 : n + 1], data[n + 1 : 2 * n + 1], data[2 * n + 1 :]))
-            size = max(size, int(parts[-1][0].max()) + 1)
+            steps, lengths, ids = unsqueeze(payload, 3)
+            parts.append((np.cumsum(steps, dtype=np.int64), lengths, ids))
+            size = max(size, int(parts[-1][0][-1]) + 1)
         length, start = np.full(size, -1, np.int64), np.zeros(size, np.int64)
         at = 0
         for place, lengths, ids in parts:
@@ -169,17 +200,21 @@ def _assemble(doc_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]
             start[place] = at + np.cumsum(lengths, dtype=np.int64) - lengths
             at += len(ids)
         flat = np.concatenate([p[2] for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32)
-        made, offsets = [], [0]
-        for payload in docs["payload"].to_pylist():
-            words = np.frombuffer(zlib.decompress(payload), "<u4")
+        doc_ids: list = []
+        made, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for ids, payload in zip(docs["doc_ids"].to_pylist(), docs["payload"].to_pylist(), strict=True):
+            lengths, words = unsqueeze(payload, 2)
             if len(words) and (int(words.max()) >= size or (length[words] < 0).any()):
                 raise ValueError("a block and its words differ: the input changed while it was read")
-            made.append(flat[ragged(start[words], length[words])] if len(words) else flat[:0])
-            offsets.append(offsets[-1] + len(made[-1]))
-        values = np.concatenate(made) if made else flat[:0]
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-        ids = docs["doc_id"].combine_chunks().cast(doc_type) if docs.num_rows else pa.array([], doc_type)
-        return pa.table({"doc_id": ids, "ids": lists})
+            doc_ids += ids
+            reach = np.concatenate([[0], np.cumsum(length[words])])
+            ends = reach[np.cumsum(lengths, dtype=np.int64)]
+            sizes.append(np.diff(ends, prepend=0))
+            made.append(flat[ragged(start[words], length[words])])
+        values, offsets = np.concatenate(made), np.cumsum(np.concatenate(sizes)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        pa.default_memory_pool().release_unused()
+        return pa.table({"doc_id": pa.array(doc_ids, doc_type), "ids": lists})
 
     return work
 
@@ -208,7 +243,7 @@ def encode(
     with open(vocabulary, "rb") as lines:
         ranks = spark.sparkContext.broadcast(lines.read())
     doc_kind = chosen.schema["doc_id"].dataType.simpleString()
-    tagged_schema = f"block long, kind int, first int, doc_id {doc_kind}, payload binary"
+    tagged_schema = f"block long, kind int, first int, doc_ids array<{doc_kind}>, payload binary"
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
@@ -218,17 +253,17 @@ def encode(
 
         def finish(block: Block) -> Iterator[pa.RecordBatch]:
             rows = list(block.rows())
-            for at in range(0, len(rows), 2000):
-                names, kinds, firsts, ids, payloads = zip(*rows[at : at + 2000], strict=True)
+            for at in range(0, len(rows), 32):
+                names, kinds, firsts, ids, payloads = zip(*rows[at : at + 32], strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(names, pa.int64()),
                         pa.array(kinds, pa.int32()),
                         pa.array(firsts, pa.int32()),
-                        pa.array(ids, kind),
+                        pa.array(ids, pa.list_(kind)),
                         pa.array(payloads, pa.binary()),
                     ],
-                    names=["block", "kind", "first", "doc_id", "payload"],
+                    names=["block", "kind", "first", "doc_ids", "payload"],
                 )
 
         block = Block(split)
@@ -239,7 +274,7 @@ def encode(
                 if block.chars >= block_chars:
                     yield from finish(block)
                     block = Block(split)
-        if block.ids:
+        if block.ids or block.done:
             yield from finish(block)
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +304,7 @@ def encode(
             yield packed()
 
     tagged = chosen.mapInArrow(cut, tagged_schema).repartition("block")
-    words = tagged.mapInArrow(_unpack_words, "word string, block long, place int")
+    words = tagged.mapInArrow(_unpack_words, "block long, word string, place int")
     merged = (
         words.repartition("word").sortWithinPartitions("word").mapInArrow(merge, "block long, payload binary")
     )
@@ -319,8 +354,6 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "de
     def work(columns: list[pa.Array]) -> list[pa.Array]:
         if not held:
             held.append(token_table())
-        # Some rows at a time, so that long texts don't add up.
-        parts = [joined(columns[0].slice(at, 256), held[0]) for at in range(0, len(columns[0]), 256)]
-        return [pa.chunked_array(parts, pa.binary()).combine_chunks()]
+        return [joined(columns[0], held[0])]
 
-    return append_columns(encoded, [ids], {out: "binary"}, work)
+    return append_columns(encoded, [ids], {out: "binary"}, work, at_once=256)

@@ -43,12 +43,16 @@ def row_hash(df: DataFrame, *first: Column) -> Column:
 
 
 def append_columns(
-    df: DataFrame, inputs: list[str], outputs: dict[str, str], work: Callable[[list[pa.Array]], list[pa.Array]]
+    df: DataFrame,
+    inputs: list[str],
+    outputs: dict[str, str],
+    work: Callable[[list[pa.Array]], list[pa.Array]],
+    at_once: int = 1 << 16,
 ) -> DataFrame:
     """All columns of ``df`` plus ``outputs`` (name to SQL type), made from ``inputs`` one Arrow batch at a time.
 
-    ``work`` gets the input arrays of a batch and returns one array for each output. Names in
-    ``outputs`` must not occur in ``df``.
+    ``work`` gets the input arrays of a batch, ``at_once`` rows at most, and returns one array
+    for each output. Names in ``outputs`` must not occur in ``df``.
     """
     names = [*df.columns, *outputs]
     # Inside, columns go by number, whatever they are called.
@@ -56,11 +60,13 @@ def append_columns(
     places = [df.columns.index(name) for name in inputs]
     schema = T.StructType(list(numbered.schema.fields))
     for i, kind in enumerate(outputs.values()):
-        schema = schema.add(f"made{i}", kind)
+        schema = schema.add(f"made{i}", T.DataType.fromDDL(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = work([batch.column(i) for i in places])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                made = work([part.column(i) for i in places])
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
 
     return numbered.mapInArrow(run, schema).toDF(*names)

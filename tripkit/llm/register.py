@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripkit.llm import bpe, learn, quality, simhash
+from tripkit.llm import bpe, learn, mixing, quality, simhash, toxicity
 from tripkit.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,31 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
+@register("op1_mix_sources")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return mixing.mix(docs).select(
+        "row.doc_id",
+        "size",
+        "source_size",
+        "target",
+        mixing.taken_words().alias("taken"),
+        F.transform("draws", lambda d: d["shard"]).alias("shards"),
+    )
+
+
+@register("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    model = toxicity.fit_toxicity(docs, labels, "toxic", folds=3, fold=1)
+    return toxicity.with_toxicity(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        learn.held_out(F.col("doc_id"), 3, 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 @register("op5_quality_mil")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
