@@ -10,7 +10,8 @@ key thus holds at least 42 of the 64 bits, and equality joins on it find every l
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from tripkit.llm.components import components
 from tripkit.operators.layout import checkpointed
 
 SHINGLE_WORDS = 5
+SIMILARITY = 0.8
 MAX_BITS = 2
 SEED = 42
 _CHUNK = 1 << 16
@@ -39,7 +41,13 @@ def fingerprint_of(text: str | None, words: int, seed: int = SEED) -> int:
     reach = min(words, len(found))
     spans = zip(starts[: len(found) - reach + 1].tolist(), ends[reach - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(found) - reach + 1)
+    return simhash_bits(
+        np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(found) - reach + 1)
+    )
+
+
+def simhash_bits(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -144,26 +152,169 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
+def segment_signatures(text: str | None, words: int, mean: int = 6, used: int = 16) -> tuple[int, list[int]]:
+    """A hash of the whole word sequence, and signatures of shares of its distinct shingles.
+
+    Shingles are dealt by hash to as many shares as give ``mean`` each; the first ``used``
+    shares become signatures. The number of shares is a power of two, so that texts of
+    similar length agree on it; near a change of it, both numbers count.
+    """
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(found)
+    whole = xxhash.xxh64_intdigest(joined, SEED)
+    hashes = shingle_hashes(found, words)
+    made: set[int] = set()
+    if len(hashes):
+        level = math.log2(max(len(hashes) / mean, 1))
+        for shares in {1 << round(level - 0.25), 1 << round(level + 0.25)}:
+            # Not the bits that order the hashes, and a seed of its own for each number of shares.
+            share = ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & np.uint64(shares - 1)
+            order = np.argsort(share, kind="stable")
+            cuts = np.searchsorted(share[order], np.arange(min(shares, used) + 1))
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if b > a:
+                    made.add(simhash_bits(hashes[order[a:b]]) ^ xxhash.xxh64_intdigest(b"%d/%d/%d" % (i, shares, b - a)))
+    return whole, sorted(made)
+
+
+def shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``words`` words; a shorter text is one run."""
+    if not found:
+        return np.zeros(0, np.uint64)
+    reach = min(words, len(found))
+    digest = xxhash.xxh64_intdigest
+    runs = (b" ".join(found[i : i + reach]) for i in range(len(found) - reach + 1))
+    return np.unique(np.fromiter((digest(r, SEED) for r in runs), np.uint64))
+
+
 def drop_near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    words: int = SHINGLE_WORDS,
+    similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """Keep one row of each class of near-duplicates, with the columns of ``docs``.
+    """Keep one row of each group of near-duplicates, with the columns of ``docs``.
+
+    Texts link if their sets of ``words``-word shingles have a Jaccard similarity of at least
+    ``similarity``, exact copies included; groups are the connected components. Of a group
+    the row with the smallest id stays (NULL ids come last, then any one row). Blank texts
+    are one group.
 
-    The row with the smallest id stays (NULL ids come last); among rows that repeat that id
-    and fingerprint, any one of them. Blank texts are one class.
+    Candidates are the fingerprints within two bits. At a similarity of 0.8 only about one
+    pair in ten is that close, so the shingles are also dealt to segments by hash and each
+    segment's own SimHash is a key: an unchanged segment is an equal signature. In a group
+    of equal keys each text is compared with the first one and with its neighbours in the
+    sorted order, so that no group is ever paired with itself. Every candidate is verified.
     """
-    fp = free_name(docs, "fp")
-    marked = with_fingerprint(docs, text, words, fp)
-    # NULL ids last: a struct that starts with the NULL flag.
-    rank = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(fp).alias("own"))
-    ranked = checkpointed(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(rank).alias("rank")))
-    winners = (
-        fingerprint_classes(ranked, "fp", "rank").select("first").distinct().select("first.id", "first.own")
+    columns = docs.columns
+    fp, whole, signatures = (free_name(docs, name) for name in ("fp", "whole", "signatures"))
+
+    def work(arrays: list[pa.Array]) -> list[pa.Array]:
+        texts = arrays[0].to_pylist()
+        made = [segment_signatures(t, words) for t in texts]
+        return [
+            pa.array(np.array([fingerprint_of(t, words) for t in texts], np.uint64).view(np.int64)),
+            pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64)),
+            pa.array([np.array(m[1], np.uint64).view(np.int64) for m in made], pa.list_(pa.int64())),
+        ]
+
+    marked = append_columns(docs, [text], {fp: "long", whole: "long", signatures: "array<long>"}, work)
+    rank = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"))
+    texts = checkpointed(
+        marked.groupBy(F.col(whole).alias("whole")).agg(
+            F.min(rank).alias("rank"), F.first(fp).alias("fp"), F.first(signatures).alias("signatures")
+        )
+    )
+    pairs = checkpointed(_candidates(texts))
+    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct().join(texts, "whole").select("whole", "rank.id"))
+    shingled = checkpointed(_shingle_sets(docs, ends, doc_id, text, words))
+    links = checkpointed(_verified(pairs, shingled, similarity))
+    named = texts.select("whole", "rank").join(
+        components(links, "a", "b").withColumnRenamed("node", "whole"), "whole", "left"
     )
-    mine, theirs = marked.alias("mine"), checkpointed(winners).alias("theirs")
-    kept = mine.join(
-        theirs,
-        (F.col(f"mine.{fp}") == F.col("theirs.own")) & F.col(f"mine.`{doc_id}`").eqNullSafe(F.col("theirs.id")),
-        "left_semi",
+    groups = named.groupBy(F.coalesce("component", "whole")).agg(
+        F.min(F.struct("rank.no_id", "rank.id", "whole")).alias("first")
     )
-    return kept.dropDuplicates([fp, doc_id]).drop(fp)
+    winners = checkpointed(groups.select(F.col("first.id").alias("win_id"), F.col("first.whole").alias("win_whole")))
+    rows = _with_whole(docs, text, whole)
+    kept = rows.join(
+        winners, (F.col(whole) == F.col("win_whole")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("win_id")), "left_semi"
+    )
+    return kept.dropDuplicates([whole, doc_id]).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def _with_whole(docs: DataFrame, text: str, out: str) -> DataFrame:
+    def work(arrays: list[pa.Array]) -> list[pa.Array]:
+        made = []
+        for t in arrays[0].to_pylist():
+            found = (t or "").encode("utf-8", "surrogatepass").lower().split()
+            made.append(xxhash.xxh64_intdigest(b" ".join(found), SEED))
+        return [pa.array(np.array(made, np.uint64).view(np.int64))]
+
+    return append_columns(docs, [text], {out: "long"}, work)
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """``(a, b)`` with a < b: pairs of distinct texts that may be near-duplicates."""
+    by_fp = checkpointed(texts.groupBy("fp").agg(F.min("whole").alias("whole")))
+    close = linked_fingerprints(by_fp.select("fp"))
+    names = by_fp.select("fp", "whole")
+    between = close.join(names.toDF("a", "a_whole"), "a").join(names.toDF("b", "b_whole"), "b")
+    same_fp = texts.select("fp", F.col("whole").alias("other")).join(by_fp, "fp")
+    keyed = texts.select(F.explode("signatures").alias("key"), "rank", "whole")
+    first = checkpointed(
+        keyed.groupBy("key").agg(F.min(F.struct("rank", "whole")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("first.whole").alias("hub"))
+    )
+    shared = checkpointed(keyed.select("key", "whole").join(first, "key"))
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, None
+        for batch in batches:
+            a, b = [], []
+            for key, whole in zip(batch["key"].to_pylist(), batch["whole"].to_pylist(), strict=True):
+                if key == last_key:
+                    a.append(last)
+                    b.append(whole)
+                last_key, last = key, whole
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    beside = shared.select("key", "whole").orderBy("key", "whole").mapInArrow(neighbours, "a long, b long")
+    every = (
+        between.select(F.col("a_whole").alias("a"), F.col("b_whole").alias("b"))
+        .unionAll(same_fp.select("whole", "other"))
+        .unionAll(shared.select("hub", "whole"))
+        .unionAll(beside)
+    )
+    return every.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _shingle_sets(docs: DataFrame, ends: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """``(whole, shingles)``: the sorted distinct shingle hashes of one row for each wanted text."""
+    slim = _with_whole(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", "of")
+    wanted = ends.select(F.col("whole").alias("want"), F.col("id").alias("want_id"))
+    rows = slim.join(wanted, (F.col("of") == F.col("want")) & F.col("id").eqNullSafe(F.col("want_id")), "left_semi")
+
+    def work(arrays: list[pa.Array]) -> list[pa.Array]:
+        found = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in arrays[0].to_pylist()]
+        return [pa.array([shingle_hashes(f, words).tobytes() for f in found], pa.binary())]
+
+    sets = append_columns(rows, ["text"], {"shingles": "binary"}, work)
+    return sets.select(F.col("of").alias("whole"), "shingles").dropDuplicates(["whole"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles are similar enough."""
+    a_sets, b_sets = sets.toDF("a", "a_set"), sets.toDF("b", "b_set")
+    joined = pairs.join(a_sets, "a").join(b_sets, "b").select("a", "b", "a_set", "b_set")
+
+    def work(arrays: list[pa.Array]) -> list[pa.Array]:
+        made = []
+        for x, y in zip(arrays[0].to_pylist(), arrays[1].to_pylist(), strict=True):
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            either = len(p) + len(q) - both
+            made.append(both >= similarity * either if either else True)
+        return [pa.array(made, pa.bool_())]
+
+    return append_columns(joined, ["a_set", "b_set"], {"near": "boolean"}, work, at_once=256).where("near").select("a", "b")
