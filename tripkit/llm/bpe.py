@@ -4,6 +4,9 @@ Documents are taken in blocks of bounded size. A block explodes its texts into p
 keeps its distinct ones, so that a word travels once per block. All blocks' words are shuffled
 by word; rows of one word then lie side by side and the word is merged once. Its ids go back
 to the blocks that asked for it, where the documents are put together by position.
+
+Positions, places and ids travel as compressed planes of bytes, many documents to a row: they
+are most of what is shuffled, and a block's share of them must fit beside its dictionary.
 """
 
 from __future__ import annotations
