@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripkit.llm import bpe, learn, mixing, quality, simhash, toxicity
+from tripkit.llm import bpe, learn, mixing, pivots, quality, simhash, toxicity
 from tripkit.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register("op9_pivot_permutation")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.embedding_groups(read_table(spark, folder, "embeddings"))
