@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripkit.llm import bpe, learn, mixing, pivots, quality, simhash, toxicity
+from tripkit.llm import bpe, learn, mixing, pivots, quality, simhash, toxicity, warc
 from tripkit.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,15 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @register("op9_pivot_permutation")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return pivots.embedding_groups(read_table(spark, folder, "embeddings"))
+
+
+@register("op2_warc")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = warc.write_archives(read_table(spark, folder, "pages"), warc.archive_folder(spark))
+    return warc.read_archives(manifest).select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
