@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripkit.llm import bpe, learn, mixing, pivots, quality, simhash, toxicity, warc
+from tripkit.llm import bpe, learn, mixing, pivots, quality, simhash, spotsigs, toxicity, warc
 from tripkit.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,16 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@register("op4_spotsigs")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.compare_edited(read_table(spark, folder, "documents")).select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
