@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripkit.llm import bpe, learn, mixing, pivots, quality, simhash, spotsigs, toxicity, warc
+from tripkit.llm import bpe, chat, learn, mixing, pivots, quality, simhash, slots, spotsigs, toxicity, warc
 from tripkit.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,52 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@register("op7_virtual_slots")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return slots.shard(read_table(spark, folder, "documents"), shards=16).select(
+        "row.doc_id",
+        "size",
+        slots.text_crc32(F.col("row.text")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("position").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+    )
+
+
+PERSPECTIVES_SQL = """
+WITH slim AS (
+  SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body
+  FROM conversations),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, body) - 1 AS place FROM slim),
+people AS (SELECT DISTINCT conv_id, speaker AS participant FROM slim WHERE speaker <> 'system'),
+seen AS (
+  SELECT r.conv_id, participant, r.place // 64 AS part, r.place, speaker = participant AS own,
+         CASE WHEN speaker = participant THEN '<|assistant|>' || chr(10)
+              WHEN speaker = 'system' THEN '<|system|>' || chr(10)
+              ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head,
+         body || '<|end|>' || chr(10) AS tail
+  FROM ranked r JOIN people p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(tail)) OVER (
+              PARTITION BY conv_id, participant, part ORDER BY place
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS head_at
+  FROM seen)
+SELECT conv_id, participant, CAST(part AS BIGINT) AS part, count(*) AS n_turns,
+       string_agg(head || tail, '' ORDER BY place) AS rendered,
+       string_agg(head_at || ':' || length(head) || ':0 ' || (head_at + length(head)) || ':' || length(tail) || ':'
+                  || CAST(own AS INT), ' ' ORDER BY place) AS spans
+FROM placed
+GROUP BY conv_id, participant, part
+"""
+
+
+@register("op6_perspectives", PERSPECTIVES_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    rotated = chat.rotate_perspectives(read_table(spark, folder, "conversations"))
+    span = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["length"], s["mask"]))
+    return rotated.withColumn("spans", F.array_join(span, " "))
