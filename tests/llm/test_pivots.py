@@ -1,0 +1,72 @@
+import math
+import random
+
+import numpy as np
+from test_simhash import classes
+
+from tripkit.llm import pivots, register
+
+SCHEMA = "vec_id long, embedding array<double>, label int, node long, least int, `raw` string"
+
+
+def slow(rows, threshold=0.93):
+    """``(vec_id, n_links)`` per row and the component of each row number."""
+
+    def sound(e):
+        return bool(e) and all(x is not None and math.isfinite(x) for x in e) and any(x != 0 for x in e)
+
+    unit = {k: np.array(e) / np.linalg.norm(e) for k, (_, e, label) in enumerate(rows) if label is not None and sound(e)}
+
+    def near(a, b):
+        return a in unit and b in unit and rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold
+
+    links = [sum(near(a, b) for b in range(len(rows)) if b != a) for a in range(len(rows))]
+    named = classes(set(range(len(rows))), near)
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        if i is not None:
+            least[named[k]] = min(i, least.get(named[k], i))
+    return [(i, links[k], least.get(named[k])) for k, (i, _, _) in enumerate(rows)]
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.1], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None), (6, None, 1),
+            (7, [], 1), (8, [0.0, 0.0], 1), (9, [nan, 1.0], 1), (10, [inf, 1.0], 1), (11, [None, 1.0], 1), (12, [1.0, 0.0, 0.0], 1),
+            (None, [1.0, 0.05], 1), (None, None, 1), (13, [-1.0, 0.0], 1), (1, [1.0, 0.0], 1), (14, [1e200, 1e199], 3), (15, [1e-200, 1e-201], 3)]
+    frame = spark.createDataFrame([(*r, 0, 0, "") for r in rows], SCHEMA)
+    got = pivots.embedding_groups(frame).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == sorted(slow(rows), key=str)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    assert pivots.embedding_groups(frame.limit(0)).collect() == []
+
+
+def test_recall_precision_and_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for c in range(60):
+        center = rng.normal(0, 1, 32)
+        for _ in range(random.Random(c).choice([1, 2, 5, 40 if c < 2 else 3])):
+            rows.append((len(rows), (center + rng.normal(0, 0.16, 32)).tolist(), c % 3))
+    rows += [(len(rows) + i, rows[0][1], 0) for i in range(30)]
+    frame = spark.createDataFrame([(*r, 0, 0, "") for r in rows], SCHEMA)
+    want = sorted(slow(rows))
+    for block_rows in (16, 1024):
+        got = sorted((r.vec_id, r.n_links, r.component_id) for r in pivots.embedding_groups(frame, block_rows=block_rows).collect())
+        assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+        assert sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want)
+        assert np.mean([g[2] == w[2] for g, w in zip(got, want, strict=True)]) > 0.95
+
+
+def test_query_recall_on_the_test_table(spark):
+    folder = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    units = np.array([r.embedding for r in table], float)
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    labels = np.array([r.label for r in table])
+    near = (units @ units.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in register.queries()["op9_pivot_permutation"](spark, folder).collect()}
+    assert len(got) == len(table)
+    assert sum(got.values()) >= 0.9 * near.sum()
+    assert all(got[r.vec_id] <= n for r, n in zip(table, near.sum(axis=1), strict=True))

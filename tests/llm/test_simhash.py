@@ -1,0 +1,110 @@
+import random
+
+import xxhash
+from samples import no_docs, odd_docs, odd_texts, plain_docs, prose
+
+from tripkit.llm import simhash
+from tripkit.llm.components import components
+
+
+def slow_fingerprint(text, words):
+    found = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    runs = [b" ".join(found[i : i + words]) for i in range(len(found) - words + 1)] or ([b" ".join(found)] if found else [])
+    hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def find(parent, x):
+    while parent[x] != x:
+        x = parent[x]
+    return x
+
+
+def classes(items, near):
+    parent = {i: i for i in items}
+    order = sorted(items)
+    for n, a in enumerate(order):
+        for b in order[:n]:
+            if near(a, b):
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(parent, i) for i in items}
+
+
+def test_fingerprint_is_the_majority_of_shingle_hashes():
+    for text in odd_texts():
+        for words in (3, 5):
+            assert simhash.fingerprint_of(text, words) == slow_fingerprint(text, words)
+
+
+def test_every_pattern_of_two_bits_is_linked_and_no_third(spark):
+    rng = random.Random(3)
+    values = {0, 1 << 63, (1 << 64) - 1}
+    for _ in range(4):
+        base = rng.getrandbits(64)
+        values.add(base)
+        values |= {base ^ (1 << a) for a in rng.sample(range(64), 8)}
+        values |= {base ^ (1 << a) ^ (1 << b) for a, b in (rng.sample(range(64), 2) for _ in range(25))}
+        values |= {base ^ 0b11, base ^ (0b11 << 62), base ^ (1 << 31) ^ (1 << 32), base ^ 0b111, base ^ (7 << 40)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    found = simhash.linked_fingerprints(spark.createDataFrame([(v,) for v in signed], "fp long"))
+    got = {(r.a, r.b) for r in found.collect()}
+    mask = (1 << 64) - 1
+    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 2}
+
+
+def test_components_of_paths_stars_loops_and_repeats(spark):
+    rng = random.Random(5)
+    path = [(i, i + 1) for i in range(60)]
+    rng.shuffle(path)
+    edges = path + [(100, x) for x in range(101, 140)] + [(7, 7), (200, 201), (201, 200), (200, 201), (None, 3), (5, None)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
+    want = {i: 0 for i in range(1, 61)} | {x: 100 for x in range(101, 140)} | {201: 200}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+
+
+def test_groups_agree_with_brute_force_on_odd_rows(spark):
+    rng = random.Random(1)
+    base = prose(rng, 300)
+    near = [base, base + " end", base.replace("w1 ", "w2 ", 1), prose(rng, 300), base.upper()]
+    docs = odd_docs(spark).unionAll(plain_docs(spark, near, first=50))
+    rows = [(r.doc_id, slow_fingerprint(r.text, 3)) for r in docs.collect()]
+    named = classes({f for _, f in rows}, lambda a, b: (a ^ b).bit_count() <= 2)
+    least = {}
+    for i, f in rows:
+        if i is not None:
+            least[named[f]] = min(i, least.get(named[f], i))
+    got = simhash.simhash_groups(docs, words=3).collect()
+    mask = (1 << 64) - 1
+    assert sorted(((r.doc_id, r.fingerprint & mask, r.component_id) for r in got), key=str) == sorted(
+        ((i, f, least.get(named[f])) for i, f in rows), key=str
+    )
+    assert simhash.simhash_groups(no_docs(spark)).collect() == []
+
+
+def test_near_duplicates_agree_with_brute_force(spark):
+    rng = random.Random(2)
+    texts = []
+    for n in (12, 40, 200, 900):
+        base = prose(rng, n)
+        texts += [base, base.title()]
+        for _ in range(8):
+            words = base.split()
+            for _ in range(rng.randrange(0, max(2, n // 25))):
+                words[rng.randrange(n)] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    docs = plain_docs(spark, texts)
+    sets = {i: set(simhash.shingle_hashes(t.encode().lower().split(), 5).tolist()) for i, t in enumerate(texts)}
+    named = classes(set(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(named.values()))
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    kept = simhash.drop_near_duplicates(odd_docs(spark)).collect()
+    # Blank texts are one group, texts that differ in case and spaces another, repeated rows a third.
+    assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == [0, 3, 3, 4, 6, 8, 9, 10, 11]
+    assert [r.text for r in kept if r.doc_id is None] == ["a row without an id"]
+    assert simhash.drop_near_duplicates(no_docs(spark)).collect() == []

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,23 +124,42 @@ class Lexicon:
         self.trie = Trie(self.terms)
         whole = [t for t in self.terms if not t.endswith("*")]
         self.exact = set(whole)
-        # One edit leaves the first or the last half of a term as it was.
-        self.heads = {(len(t) // 2, t[: len(t) // 2]) for t in whole if allowed_edits(t)}
-        self.tails = {(len(t) // 2, t[-(len(t) // 2) :]) for t in whole if allowed_edits(t)}
-        self.halves = sorted({half for half, _ in self.heads})
-        self.longest = max(map(len, whole), default=0)
+        # One edit leaves the first or the last half of a term as it was, and changes its length by one at most.
+        near = [(t, n) for t in whole if allowed_edits(t) for n in (len(t) - 1, len(t), len(t) + 1)]
+        self.heads = {(n, t[: len(t) // 2]) for t, n in near}
+        self.tails = {(n, t[-(len(t) // 2) :]) for t, n in near}
+        self.halves = sorted({len(half) for _, half in self.heads})
         self.stems = bool(self.trie.stem)
+        # So does it leave the first two or the last two letters, which most words lack.
+        self.starts = {t[:2] for t in self.terms}
+        self.ends = {t[-2:] for t in whole}
+
+    def hopeless(self, raw: str) -> bool:
+        """Whether a lower-case word has neither the first nor the last two letters of any term.
+
+        Only words of letters, with no repeated letter at an end, can be told without their
+        normal form.
+        """
+        word = raw.strip(".,;:!?")
+        return (
+            word.isalpha()
+            and word[:2] not in self.starts
+            and word[-2:] not in self.ends
+            and word[:1] != word[1:2]
+            and word[-1:] != word[-2:-1]
+        )
 
     def lookup(self, raw: str) -> tuple[str, int] | None:
         """``(term, edits)`` or None."""
+        if self.hopeless(raw):
+            return None
         word = normal_form(raw)
         if word in self.exact:
             return word, 0
         if self.stems and (stem := self.trie.stem_of(word)):
             return stem, 0
-        if 4 <= len(word) <= self.longest + 1 and any(
-            (half, word[:half]) in self.heads or (half, word[-half:]) in self.tails for half in self.halves
-        ):
+        n = len(word)
+        if any((n, word[:half]) in self.heads or (n, word[-half:]) in self.tails for half in self.halves):
             found = self.trie.within(word, 1)
             if found and allowed_edits(found[0]) >= found[1]:
                 return found
@@ -195,13 +215,15 @@ def signals(text: str | None, memory: _Memory, terms: dict[str, float]) -> list[
 @dataclass(frozen=True)
 class ToxicSpec:
     """At most ``max_docs`` labelled documents are learned from. A term must occur in ``support``
-    of their toxic documents (share, and at least 3) with log-odds of ``odds`` or more."""
+    of their toxic documents (share, and at least 3) with log-odds of ``odds`` or more, and at
+    most ``max_terms`` are considered."""
 
-    max_docs: int = 8000
-    support: float = 0.004
+    max_docs: int = 6000
+    support: float = 0.01
     odds: float = 3.0
+    variety: float = 0.3
     stems: tuple[int, ...] = (4, 5, 6)
-    max_terms: int = 5000
+    max_terms: int = 20_000
     ridge: float = 0.05
 
 
@@ -222,42 +244,77 @@ def _terms_of(texts: Iterable[str], stems: tuple[int, ...]) -> Iterator[list[str
         yield sorted(words | {w[:n] + "*" for w in words for n in stems if len(w) > n})
 
 
+def _contexts_of(texts: Iterable[str], stems: tuple[int, ...], wanted: frozenset[str]) -> Iterator[list[dict]]:
+    """The wanted terms of each text where they stand, with a hash of the words beside them."""
+    for text in texts:
+        words = [normal_form(w) for w in (text or "").lower().split()]
+        found = []
+        for at, w in enumerate(words):
+            mine = [t for t in (w, *(w[:n] + "*" for n in stems if len(w) > n)) if t in wanted]
+            if mine:
+                beside = xxhash.xxh64_intdigest("|".join(words[max(0, at - 1) : at] + ["*"] + words[at + 1 : at + 2]))
+                found += [{"term": t, "beside": beside >> 1} for t in mine]
+        yield found
+
+
 def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
-    """Terms with their log-odds. A stem replaces all terms it covers if it is as good as each."""
+    """Terms with their log-odds. A stem replaces all terms it covers if it is as good as each.
 
-    def work(columns: list[pa.Array]) -> list[pa.Array]:
-        return [pa.array(_terms_of(columns[0].to_pylist(), spec.stems), pa.list_(pa.string()))]
-
-    totals = sample.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first()
-    bad, good = totals[0], totals[1]
-    if not bad or not good:
-        return {}
-    toxic = (F.col("label") > 0).cast("int")
-    counted = (
-        append_columns(sample.select("text", "label"), ["text"], {"terms": "array<string>"}, work)
-        .select(F.explode("terms").alias("term"), toxic.alias("toxic"))
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
-    )
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good + 1))
-    rows = (
-        counted.where(F.col("bad") >= max(3, math.ceil(spec.support * bad)))
-        .select("term", odds.alias("odds"), "bad")
-        .where(F.col("odds") >= spec.odds)
-        .orderBy(F.desc("bad"), "term")
-        .limit(spec.max_terms)
-        .collect()
-    )
-    odds_of = {r["term"]: float(r["odds"]) for r in rows}
-    bad_of = {r["term"]: r["bad"] for r in rows}
-    found = dict(odds_of)
+    Copies must not make their words into terms: equal texts count once, and a term must stand
+    between enough different neighbours, in a share ``variety`` of the places where it occurs.
+    """
+    once = sample.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.max("label").alias("label"))
+    with cached(once.select("text", "label")) as texts:
+        totals = texts.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first()
+        bad, good = totals[0], totals[1]
+        if not bad or not good:
+            return {}
+        least = max(3, math.ceil(spec.support * bad))
+
+        def terms(columns: list[pa.Array]) -> list[pa.Array]:
+            return [pa.array(_terms_of(columns[0].to_pylist(), spec.stems), pa.list_(pa.string()))]
+
+        odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good + 1))
+        candidates = (
+            append_columns(texts, ["text"], {"terms": "array<string>"}, terms)
+            .select(F.explode("terms").alias("term"), (F.col("label") > 0).cast("int").alias("toxic"))
+            .groupBy("term")
+            .agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
+            .where(F.col("bad") >= least)
+            .select("term", odds.alias("odds"))
+            .where(F.col("odds") >= spec.odds)
+            .orderBy(F.desc("odds"), "term")
+            .limit(spec.max_terms)
+            .collect()
+        )
+        odds_of = {r["term"]: float(r["odds"]) for r in candidates}
+        wanted = frozenset(odds_of)
+        kind = pa.list_(pa.struct([("term", pa.string()), ("beside", pa.int64())]))
+
+        def contexts(columns: list[pa.Array]) -> list[pa.Array]:
+            return [pa.array(list(_contexts_of(columns[0].to_pylist(), spec.stems, wanted)), kind)]
+
+        varied = (
+            append_columns(
+                texts.where("label > 0"), ["text"], {"found": "array<struct<term:string,beside:bigint>>"}, contexts
+            )
+            .select(F.inline("found"))
+            .groupBy("term", "beside")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("term")
+            .agg(F.count(F.lit(1)).alias("places"), F.sum("n").alias("n"))
+            .where((F.col("places") >= least) & (F.col("places") >= spec.variety * F.col("n")))
+            .collect()
+        )
+    places = {r["term"]: r["places"] for r in varied}
+    found = {t: odds_of[t] for t in places}
     # Shortest first; what a kept stem covers is gone, longer stems included.
-    for stem in sorted((t for t in odds_of if t.endswith("*")), key=len):
+    for stem in sorted((t for t in places if t.endswith("*")), key=len):
         if stem not in found:
             continue
-        covered = [t for t in odds_of if t != stem and t.startswith(stem[:-1])]
+        covered = [t for t in places if t != stem and t.startswith(stem[:-1])]
         # As good as a longer term alone: that one says it more exactly.
-        if any(bad_of[t] == bad_of[stem] for t in covered):
+        if any(places[t] == places[stem] for t in covered):
             del found[stem]
         else:
             for t in covered:
@@ -296,7 +353,7 @@ def fit_toxicity(
     """
     with cached(training_sample(docs, labels, label, folds, fold, spec.max_docs, doc_id, text)) as sample:
         terms = learn_terms(sample, spec)
-        if not terms:
+        if not terms:  # nothing to tell texts apart by
             return ToxicModel({}, np.append(np.zeros(len(SIGNALS)), -4.0))
         rows = with_signals(sample, terms, "text", "signals").select("signals", "label").collect()
     rows.sort(key=lambda r: (r["signals"], r["label"]))
