@@ -215,12 +215,13 @@ def signals(text: str | None, memory: _Memory, terms: dict[str, float]) -> list[
 @dataclass(frozen=True)
 class ToxicSpec:
     """At most ``max_docs`` labelled documents are learned from. A term must occur in ``support``
-    of their toxic documents (share, and at least 3) with log-odds of ``odds`` or more, and at
-    most ``max_terms`` are considered."""
+    of their toxic documents (share, and at least 3) with log-odds of ``odds`` or more (a stem
+    of ``stem_odds``), and at most ``max_terms`` are considered."""
 
     max_docs: int = 6000
     support: float = 0.01
     odds: float = 3.0
+    stem_odds: float = 4.2
     variety: float = 0.3
     stems: tuple[int, ...] = (4, 5, 6)
     max_terms: int = 20_000
@@ -258,7 +259,7 @@ def _contexts_of(texts: Iterable[str], stems: tuple[int, ...], wanted: frozenset
 
 
 def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
-    """Terms with their log-odds. A stem replaces all terms it covers if it is as good as each.
+    """Terms with their log-odds. A stem replaces all terms it covers unless one of them nearly equals it.
 
     Copies must not make their words into terms: equal texts count once, and a term must stand
     between enough different neighbours, in a share ``variety`` of the places where it occurs.
@@ -313,8 +314,8 @@ def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
         if stem not in found:
             continue
         covered = [t for t in places if t != stem and t.startswith(stem[:-1])]
-        # As good as a longer term alone: that one says it more exactly.
-        if any(places[t] == places[stem] for t in covered):
+        # Nearly as frequent a longer term says it more exactly; a weak stem would blur others.
+        if found[stem] < spec.stem_odds or any(places[t] >= 0.9 * places[stem] for t in covered):
             del found[stem]
         else:
             for t in covered:
