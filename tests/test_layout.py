@@ -1,3 +1,5 @@
+import gc
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -31,6 +33,30 @@ def test_a_hot_key_is_spread(skewed):
     assert max(values(op.partition_profile(salted), "n")) < 1500
 
 
+def test_a_hot_key_reaches_nearly_all_partitions(skewed):
+    n = 48
+    sizes = values(op.partition_profile(op.relayout(skewed, n, "k", spread=["id"]).where("k = 0")), "n")
+    # 3,000 rows in 48 places fill about two thirds of the partitions twice over or not at all.
+    assert len(sizes) > 0.55 * n and max(sizes) < 0.15 * sum(sizes)
+
+
+def test_without_a_number_spark_rebalances(skewed):
+    for keys in ((), ("k",)):
+        spread = op.relayout(skewed, None, *keys)
+        assert "REBALANCE" in spread._jdf.queryExecution().executedPlan().toString()
+        op.assert_same(spread, skewed)
+
+
+def test_a_held_frame_is_read_by_all_consumers_and_released_with_the_result(skewed):
+    kept = op.held(skewed.select("k", "v"))
+    result = op.release_with(op.avg_by_key(kept, "k", "v").unionAll(op.avg_by_key(kept, "v", "k")), kept)
+    assert result._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") >= 2
+    result.collect()
+    del result
+    gc.collect()
+    assert not kept.storageLevel.useMemory
+
+
 def test_ids_spread_rows_without_a_sort(skewed):
     by_id = op.relayout(skewed, 8, spread=["id"])
     counts = values(op.partition_profile(by_id), "n")

@@ -71,7 +71,7 @@ def test_forest_finds_the_signal(forest, parts):
     assert metrics["n"] == parts[1].count()
     assert metrics["r2"] > 0.9
     importances = dict(values(op.feature_importances(forest)))
-    assert list(importances) == ["trip_distance", "passenger_count", "trip_duration_min", "pickup_hour", "day_of_week_idx"]
+    assert list(importances) == [f"{c}_idx" if c == "day_of_week" else c for c in op.FARE_FEATURES]
     assert max(importances, key=importances.get) == "trip_distance"
     assert sum(importances.values()) == pytest.approx(1.0)
 
@@ -100,6 +100,8 @@ def test_metrics_skip_unknown_rows(spark):
     assert (n, mae) == (2, 0.5)
     assert rmse == pytest.approx(0.5**0.5)
     assert r2 == pytest.approx(1 - 1 / 2)
+    odd = df.unionAll(spark.createDataFrame([(float("nan"), 1.0), (2.0, float("nan"))], df.schema))
+    assert op.regression_metrics(odd, "y", "p").first() == op.regression_metrics(df, "y", "p").first()
     same = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "y double, p double")
     assert op.regression_metrics(same, "y", "p").first()["r2"] is None
 
@@ -117,6 +119,8 @@ def test_residual_anomalies(spark):
     rows = [(i, 10.0, 10.0 + (i % 2) * 0.1) for i in range(50)] + [(99, 50.0, 10.0)]
     df = spark.createDataFrame(rows, "event_id int, y double, prediction double")
     assert values(op.residual_anomalies(df, "y"), "event_id") == [99]
+    nan = spark.createDataFrame([(100, float("nan"), 10.0), (101, 10.0, None)], df.schema)
+    assert values(op.residual_anomalies(df.unionAll(nan), "y"), "event_id") == [99]
 
 
 def test_demand_model(spark):
@@ -132,3 +136,16 @@ def test_demand_model(spark):
     assert {"trip_count", "prediction"} <= set(scored.columns)
     metrics = op.regression_metrics(scored, "trip_count").first()
     assert metrics["n"] > 0 and metrics["rmse"] >= 0
+    named = trips.withColumn("PULocationID", F.concat(F.lit("place "), "PULocationID"))
+    _model, filled = op.fit_demand(named, spec=op.ForestSpec(trees=3, depth=3, keep_nodes=True), fill=True)
+    assert filled.where("trip_count = 0").count() > 0
+
+
+def test_filled_demand_has_every_cell_and_counts_per_day(spark):
+    rows = [("a", "2024-01-01 05:00:00"), ("a", "2024-01-08 05:30:00"), ("a", "2024-01-09 05:30:00"), (None, "2024-01-06 23:59:59"), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    cells = op.demand_table_filled(df, "k", "t")
+    assert cells.count() == 2 * 24 * 7
+    found = {(r["k"], r["pickup_hour"], r["day_of_week"]): tuple(r)[3:] for r in cells.where("n > 0").collect()}
+    assert found == {("a", 5, "Mon"): (0, 2, 2, 1.0), ("a", 5, "Tue"): (0, 1, 1, 1.0), (None, 23, "Sat"): (1, 1, 1, 1.0)}
+    assert cells.where("day_of_week = 'Sun' and days = 0 and per_day is null and is_weekend = 1").count() == 48

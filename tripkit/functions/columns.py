@@ -12,6 +12,8 @@ WEEKEND_DAYS = (1, 7)
 # Units.
 SECONDS_PER_MINUTE = 60.0
 MINUTES_PER_HOUR = 60.0
+# What stands for a NULL id in the text of ids.
+NULL_ID = "\\N"
 
 
 def as_column(value: Column | str) -> Column:
@@ -58,7 +60,9 @@ def hash_share(*ids: Column | str, pct: float, seed: int = 42) -> Column:
     retry or the engine, unlike a random draw. Digests are compared as text with the share of
     their range, which spares turning each into a number.
     """
-    if pct >= 100:
+    edge = math.ceil(pct / 100 * 2**32)
+    if edge >= 2**32:
         return F.lit(True)
-    text = F.concat_ws(":", F.lit(str(seed)), *[as_column(i).cast("string") for i in ids])
-    return F.md5(text) < f"{math.ceil(pct / 100 * 2**32):08x}"
+    # A NULL id is a value of its own: the text of ids must tell (NULL, a) from (a, NULL).
+    parts = [F.coalesce(as_column(i).cast("string"), F.lit(NULL_ID)) for i in ids]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)) < f"{edge:08x}"

@@ -6,6 +6,7 @@ from tripkit.operators.explore import (
     category_index,
     count_by_hour,
     demand_table,
+    demand_table_filled,
     distribution,
     peak_avg_hour,
     peak_hour,
@@ -28,9 +29,11 @@ from tripkit.operators.layout import (
     cached,
     checkpointed,
     ensure_checkpoint_dir,
+    held,
     partition_count,
     partition_profile,
     relayout,
+    release_with,
     with_position,
 )
 from tripkit.operators.models import (
@@ -54,7 +57,7 @@ from tripkit.operators.models import (
     vector_stage,
 )
 from tripkit.operators.parity import assert_same, differences, parity
-from tripkit.operators.profile import mean_std, range_stats, row_count, sample_rows, summarize
+from tripkit.operators.profile import mean_std, profile, range_stats, row_count, sample_rows, summarize
 from tripkit.operators.quality import (
     Rule,
     clean,

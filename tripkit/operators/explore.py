@@ -13,6 +13,10 @@ from tripkit.functions import day_name, hour_of_day, weekend_flag
 from tripkit.operators.layout import with_position
 
 
+# Weekday names.
+WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
+
+
 def _n():
     return F.count(F.lit(1)).alias("n")
 
@@ -85,6 +89,43 @@ def demand_table(df: DataFrame, key: str, ts: str, count_as: str = "n") -> DataF
     ).agg(F.count(F.lit(1)).alias(count_as))
 
 
+def demand_table_filled(df: DataFrame, key: str, ts: str, count_as: str = "n") -> DataFrame:
+    """The demand table with all 24 x 7 cells of every key, zeros included, and counts per day.
+
+    ``days`` is how often the weekday occurs among the days of the table, and ``per_day`` the
+    count divided by it, so that a fifth Monday of a month does not look like more demand. Rows
+    with a NULL timestamp are in no cell. The weekdays' days are seven rows.
+    """
+    timed = df.where(F.col(ts).isNotNull())
+    hours = F.explode(F.sequence(F.lit(0), F.lit(23))).alias("pickup_hour")
+    day = F.explode(F.array(*map(F.lit, WEEKDAYS))).alias("day_of_week")
+    cells = timed.select(key).distinct().select(key, hours).select("*", day)
+    days = (
+        timed.select(F.to_date(ts).alias("date")).distinct().groupBy(day_name("date").alias("day_of_week")).agg(
+            F.count(F.lit(1)).alias("days")
+        )
+    )
+    counts = demand_table(timed, key, ts, count_as).withColumnsRenamed(
+        {key: "_key", "pickup_hour": "_hour", "day_of_week": "_day"}
+    )
+    same = (
+        F.col(key).eqNullSafe(F.col("_key"))
+        & (F.col("pickup_hour") == F.col("_hour"))
+        & (F.col("day_of_week") == F.col("_day"))
+    )
+    filled = cells.join(counts.drop("is_weekend"), same, "left").join(F.broadcast(days), "day_of_week", "left")
+    n = F.coalesce(count_as, F.lit(0))
+    return filled.select(
+        key,
+        "pickup_hour",
+        "day_of_week",
+        F.when(F.col("day_of_week").isin("Sat", "Sun"), 1).otherwise(0).alias("is_weekend"),
+        n.alias(count_as),
+        F.coalesce("days", F.lit(0)).alias("days"),
+        F.try_divide(n.cast("double"), F.col("days").cast("double")).alias("per_day"),
+    )
+
+
 def weekend_split(df: DataFrame, ts: str, measure: str, avg_as: str | None = None) -> DataFrame:
     """``(is_weekend, n, avg)``: weekdays against weekends."""
     return df.groupBy(weekend_flag(ts).alias("is_weekend")).agg(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from tripkit.functions import day_name, hour_of_day, minutes_between, ratio, speed, weekend_flag
 from tripkit.roles import Roles
 
+# The derived columns.
 FEATURES = (
     "trip_duration_min",
     "pickup_hour",

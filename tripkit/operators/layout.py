@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -24,27 +25,50 @@ def partition_count(df: DataFrame) -> int:
 
 
 def relayout(
-    df: DataFrame, n: int, *keys: str, salts: int = 8, spread: Sequence[str] | None = None
+    df: DataFrame,
+    n: int | None = None,
+    *keys: str,
+    salts: int | None = None,
+    spread: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Shuffle into ``n`` partitions: evenly, or by ``keys``.
+    """Shuffle into partitions of the advisory size, or into exactly ``n``: evenly, or by ``keys``.
 
-    Dealing rows out evenly makes Spark sort them first, so that a task that runs again deals
-    the same way. Naming id columns in ``spread`` places rows by their hash instead, which
-    needs no sort.
+    Without ``n`` Spark rebalances: it sees the sizes after the shuffle, merges small partitions
+    and splits large ones, a hot key's too. That is the choice for large inputs.
 
-    With keys, each key goes to up to ``salts`` partitions, chosen by a hash of the ``spread``
-    columns (default: the whole row), so that one very frequent key does not end up in a
-    single task. Naming a row's id columns keeps the others out of the shuffle. ``salts=1``
-    co-locates every key, for keys known to be even.
+    With ``n``, dealing rows out evenly makes Spark sort them first, so that a task that runs
+    again deals the same way. Naming id columns in ``spread`` places rows by their hash
+    instead, which needs no sort. With keys, each key goes to up to ``salts`` partitions
+    (default: all ``n``), chosen by a hash of the ``spread`` columns (default: the whole row;
+    rows that are alike then stay together, so name an id), so that one very frequent key
+    does not end up in few tasks. ``salts=1`` co-locates every key, for keys known to be even.
     """
+    if n is None:
+        return df.hint("rebalance", *keys)
     if not keys:
         return df.repartition(n, *(spread or ()))
+    salts = n if salts is None else salts
     placement: list[Column] = [F.col(key) for key in keys]
     if salts > 1:
         placement.append(F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(salts)))
     return df.repartition(n, *placement)
 
 
+def held(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+    """Keep ``df`` for lazy results that several consumers make of it.
+
+    Whoever uses the results releases it with ``unpersist()``, or hands the release to one of
+    them with ``release_with``.
+    """
+    return df.persist(level)
+
+
+def release_with(result: DataFrame, kept: DataFrame) -> DataFrame:
+    """``result``, which on its end (when nothing refers to it) releases ``kept``."""
+    weakref.finalize(result, kept.unpersist)
+    return result
+
+
 @contextmanager
 def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[DataFrame]:
     """Keep ``df`` for several actions inside the block and release it afterwards.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripkit.functions import hash_share
-from tripkit.operators.explore import demand_table
+from tripkit.operators.explore import demand_table, demand_table_filled
 from tripkit.operators.layout import cached, checkpointed, ensure_checkpoint_dir
 from tripkit.operators.quality import drop_nulls
 
@@ -28,9 +28,13 @@ VECTOR = "features"
 
 @dataclass(frozen=True)
 class ForestSpec:
+    """Size of a forest. ``keep_nodes`` stores every row's node in every tree between levels,
+    four bytes a tree and row, instead of walking down from the roots again."""
+
     trees: int = 50
     depth: int = 8
     seed: int = 42
+    keep_nodes: bool = False
 
 
 @dataclass(frozen=True)
@@ -77,23 +81,31 @@ def random_split(df: DataFrame, pct: int = 80, seed: int = 42) -> tuple[DataFram
 
 
 def index_stage(category: str = CATEGORY) -> StringIndexer:
-    """Category to index by falling frequency; a category unseen in training gets an extra index."""
+    """Category to index by falling frequency; a category unseen in training gets an extra index.
+
+    The categories are gathered on the driver, and the tree learners take 32 at most: weekdays
+    or event types, not ids.
+    """
     return StringIndexer(inputCol=category, outputCol=f"{category}_idx", handleInvalid="keep")
 
 
-def vector_stage(features: Sequence[str], category: str = CATEGORY) -> VectorAssembler:
-    """Feature columns to one vector, the category by its index."""
+def vector_stage(features: Sequence[str], *categories: str) -> VectorAssembler:
+    """Feature columns to one vector, categories by their index."""
     return VectorAssembler(
-        inputCols=[f"{name}_idx" if name == category else name for name in features], outputCol=VECTOR
+        inputCols=[f"{name}_idx" if name in categories else name for name in features], outputCol=VECTOR
     )
 
 
-def _fit(train: DataFrame, features: Sequence[str], category: str, learner, cache: bool) -> PipelineModel:
+def _fit(
+    train: DataFrame, features: Sequence[str], category: str | Sequence[str], learner, cache: bool
+) -> PipelineModel:
     # Fitting passes over its input several times (labels, split points, bagging): hold the
     # few columns it needs instead of reading and deriving them again each time.
     ensure_checkpoint_dir(train.sparkSession)
     inputs = train.select(*features, learner.getLabelCol())
-    pipeline = Pipeline(stages=[index_stage(category), vector_stage(features, category), learner])
+    categories = [category] if isinstance(category, str) else list(category)
+    stages = [*map(index_stage, categories), vector_stage(features, *categories), learner]
+    pipeline = Pipeline(stages=stages)
     with cached(inputs) if cache else nullcontext(inputs) as held:
         return pipeline.fit(held)
 
@@ -103,14 +115,13 @@ def fit_forest(
     spec: ForestSpec = ForestSpec(),
     features: Sequence[str] = FARE_FEATURES,
     label: str = "fare_amount",
-    category: str = CATEGORY,
+    category: str | Sequence[str] = CATEGORY,
     cache: bool = True,
 ) -> PipelineModel:
-    """Random-forest regression.
+    """Random-forest regression; ``category`` names the string column or columns among the features.
 
-    Each row's node in every tree is kept between levels, which gives the same forest without
-    walking down from the roots again. Rows in few or uneven partitions should go through
-    ``relayout`` first: every level passes over all of them.
+    Rows in few or uneven partitions should go through ``relayout`` first: every level passes
+    over all of them.
     """
     learner = RandomForestRegressor(
         featuresCol=VECTOR,
@@ -118,7 +129,7 @@ def fit_forest(
         numTrees=spec.trees,
         maxDepth=spec.depth,
         seed=spec.seed,
-        cacheNodeIds=True,
+        cacheNodeIds=spec.keep_nodes,
     )
     return _fit(train, features, category, learner, cache)
 
@@ -128,7 +139,7 @@ def fit_gbt(
     spec: BoostSpec = BoostSpec(),
     features: Sequence[str] = FARE_FEATURES,
     label: str = "fare_amount",
-    category: str = CATEGORY,
+    category: str | Sequence[str] = CATEGORY,
     cache: bool = True,
 ) -> PipelineModel:
     """Gradient-boosted trees; the growing lineage is cut in the checkpoint folder every few rounds."""
@@ -145,17 +156,18 @@ def fit_gbt(
 
 def score(model: PipelineModel, df: DataFrame, prediction: str = "prediction") -> DataFrame:
     """Add the prediction only; the pipeline's helper columns are dropped, so scores can be chained."""
-    index, vector, learner = model.stages
+    *indexes, vector, learner = model.stages
     scored = model.transform(df)
-    return scored.drop(index.getOutputCol(), vector.getOutputCol()).withColumnRenamed(
+    helpers = [index.getOutputCol() for index in indexes]
+    return scored.drop(*helpers, vector.getOutputCol()).withColumnRenamed(
         learner.getPredictionCol(), prediction
     )
 
 
 def _metrics(label: Column, prediction: Column) -> dict[str, Column]:
-    known = label.isNotNull() & prediction.isNotNull()
-    error = label - prediction
-    label = F.when(known, label)
+    error = (label - prediction).cast("double")
+    known = error.isNotNull() & ~F.isnan(error)
+    error, label = F.when(known, error), F.when(known, label)
     n = F.count(error)
     return {
         "n": n,
@@ -166,7 +178,10 @@ def _metrics(label: Column, prediction: Column) -> dict[str, Column]:
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
-    """``(n, rmse, mae, r2)`` in one aggregation, over rows that have label and prediction."""
+    """``(n, rmse, mae, r2)`` in one aggregation, over rows that have label and prediction.
+
+    Rows where either is NULL or NaN are left out of all four.
+    """
     return df.agg(*[m.alias(name) for name, m in _metrics(F.col(label), F.col(prediction)).items()])
 
 
@@ -186,7 +201,7 @@ def compare_models(df: DataFrame, label: str, predictions: Mapping[str, str]) ->
 
 def feature_importances(model: PipelineModel) -> DataFrame:
     """``(feature, importance)``, one row per input of the fitted trees."""
-    _, vector, learner = model.stages
+    *_, vector, learner = model.stages
     rows = list(zip(vector.getInputCols(), [float(x) for x in learner.featureImportances.toArray()]))
     layout = T.StructType(
         [T.StructField("feature", T.StringType(), False), T.StructField("importance", T.DoubleType(), False)]
@@ -195,10 +210,16 @@ def feature_importances(model: PipelineModel) -> DataFrame:
 
 
 def residual_anomalies(df: DataFrame, label: str, prediction: str = "prediction", k: float = 3.0) -> DataFrame:
-    """Rows whose label is more than ``k`` sample deviations of the residuals off its prediction."""
-    residual = F.col(label) - F.col(prediction)
-    deviation = df.agg(F.stddev_samp(residual)).scalar()
-    return df.where(F.abs(residual) > k * deviation)
+    """Rows whose label is more than ``k`` sample deviations of the residuals off its prediction.
+
+    Runs when called: the rows are computed once and checkpointed, so that a model is not applied
+    again for the deviation. Residuals that are NULL or NaN neither count nor are reported.
+    """
+    rows = checkpointed(df)
+    plain = (F.col(label) - F.col(prediction)).cast("double")
+    residual = F.when(~F.isnan(plain), plain)
+    deviation = rows.agg(F.stddev_samp(residual)).scalar()
+    return rows.where(F.abs(residual) > k * deviation)
 
 
 def fit_demand(
@@ -208,14 +229,19 @@ def fit_demand(
     spec: ForestSpec = DEMAND_SPEC,
     pct: int = 80,
     seed: int = 42,
+    fill: bool = False,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Forest for the trip count per place, hour and weekday; returns it with the scored test cells.
+    """Forest for the trip count per key, hour and weekday; returns it with the scored test cells.
 
     The cells are far fewer than the trips. They are counted once and checkpointed, which lets
-    Spark merge the many small partitions of the count before the passes of the fit.
+    Spark merge the many small partitions of the count before the passes of the fit. A string
+    key is indexed, so it must have few values. With ``fill`` cells without trips count as zero.
     """
     features = [key if name == "PULocationID" else name for name in DEMAND_FEATURES]
-    cells = checkpointed(drop_nulls(demand_table(trips, key, ts, count_as=DEMAND_LABEL)))
+    counts = demand_table_filled if fill else demand_table
+    table = counts(trips, key, ts, count_as=DEMAND_LABEL)
+    cells = checkpointed(drop_nulls(table.select(*features, DEMAND_LABEL)))
     train, test = split_by_id(cells, [key, "pickup_hour", "day_of_week"], pct, seed)
-    model = fit_forest(train, spec, features, DEMAND_LABEL)
+    categories = [CATEGORY, key] if dict(cells.dtypes)[key] == "string" else [CATEGORY]
+    model = fit_forest(train, spec, features, DEMAND_LABEL, categories)
     return model, score(model, test)

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 def _tallied(left: DataFrame, right: DataFrame) -> DataFrame:
     if sorted(left.columns) != sorted(right.columns):
         raise ValueError(f"columns differ: {left.columns} and {right.columns}")
-    names = left.columns
-    sides = left.select("*", F.lit(1).alias("_left"), F.lit(0).alias("_right")).unionByName(
-        right.select("*", F.lit(0).alias("_left"), F.lit(1).alias("_right"))
-    )
-    return sides.groupBy(*names).agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
+    names, zero = left.columns, F.lit(0).cast("long")
+    # Counting each side first lets the optimizer drop the order that it may come in.
+    ours = left.groupBy(*names).agg(F.count(F.lit(1)).alias("_left")).withColumn("_right", zero)
+    theirs = right.groupBy(*names).agg(F.count(F.lit(1)).alias("_right")).withColumn("_left", zero)
+    return ours.unionByName(theirs).groupBy(*names).agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:

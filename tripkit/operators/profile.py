@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripkit.operators.quality import Rule
+
 
 def row_count(df: DataFrame) -> DataFrame:
     """``n``: number of rows."""
@@ -54,3 +58,35 @@ def range_stats(df: DataFrame, column: str, suffix: str | None = None) -> DataFr
 def mean_std(df: DataFrame, column: str) -> DataFrame:
     """``(mean, stddev)``; the sample deviation is NULL below two rows."""
     return df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("stddev"))
+
+
+def profile(df: DataFrame, measures: Sequence[str], rules: Sequence[Rule] = ()) -> DataFrame:
+    """Rows, measures and rules in one pass: ``(section, name, n, mean, stddev, min, max)``.
+
+    Section ``table`` has the number of rows and of rows that ``rules`` keep (``rows``, ``kept``),
+    ``measure`` a line per numeric column as ``summarize`` has it, ``rule`` the rows that
+    break each rule. What a section doesn't have is NULL. One scan and one shuffle of one row
+    per task, where separate reports read the table once each.
+    """
+    nothing = F.lit(None).cast("double")
+
+    def line(section: str, name: str, n: Column, *stats: Column) -> Column:
+        mean, deviation, low, high = stats or (nothing,) * 4
+        return F.struct(
+            F.lit(section).alias("section"),
+            F.lit(name).alias("name"),
+            n.alias("n"),
+            mean.cast("double").alias("mean"),
+            deviation.cast("double").alias("stddev"),
+            low.cast("double").alias("min"),
+            high.cast("double").alias("max"),
+        )
+
+    good = reduce(and_, [~rule.bad for rule in rules], F.lit(True))
+    lines = [line("table", "rows", F.count(F.lit(1))), line("table", "kept", F.count_if(good))]
+    for name in measures:
+        c = F.col(name)
+        lines.append(line("measure", name, F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)))
+    lines += [line("rule", rule.name, F.count_if(rule.bad)) for rule in rules]
+    wide = df.agg(*[entry.alias(f"line_{i}") for i, entry in enumerate(lines)])
+    return wide.select(F.inline(F.array(*wide.columns)))
