@@ -21,6 +21,14 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` rows; a plain join side beyond that.
+
+    For checkpointed tables of narrow rows: they are counted.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long; NULL counts as the empty text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

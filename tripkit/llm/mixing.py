@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripkit.llm.common import WORD, row_hash, word_count
+from tripkit.llm.common import WORD, broadcast_if_small, row_hash, word_count
 from tripkit.operators.layout import checkpointed, with_position
 
 WEIGHTS = (3, 1, 2)
@@ -143,7 +143,7 @@ def _grouped(rows: DataFrame, targets: DataFrame) -> DataFrame:
         F.greatest(F.ceil(F.col("rows") / GROUP_ROWS), F.lit(1)).cast("long").alias("groups"),
     )
     return (
-        rows.join(counted, F.col("source").eqNullSafe(F.col("of")))
+        rows.join(broadcast_if_small(counted), F.col("source").eqNullSafe(F.col("of")))
         .withColumn("part", F.pmod(F.shiftright("draw", 20), F.col("groups")))
         .drop("source", "groups")
     )
@@ -173,7 +173,7 @@ def _placed(grouped: DataFrame, offsets: DataFrame, repeats: int) -> DataFrame:
     at = F.col("words_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     placed = (
         grouped.join(
-            offsets, F.col("of").eqNullSafe(F.col("off_of")) & (F.col("part") == F.col("off_part"))
+            broadcast_if_small(offsets), F.col("of").eqNullSafe(F.col("off_of")) & (F.col("part") == F.col("off_part"))
         )
         .withColumn("place", F.col("n_before") + F.row_number().over(here) - 1)
         .withColumn("before", at)
@@ -197,9 +197,12 @@ def mix(
     repeats: int = MAX_REPEATS,
     shards: int = SHARDS,
     seed: int = SEED,
+    carry: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: its columns in ``row``, and what the mix takes of it.
 
+    ``carry`` names the columns that ``row`` has (default: all); the others don't travel.
+
     ``size`` words of the text (NULL: 0), ``source_size``, ``target`` and ``draws``, an array of
     ``(epoch, words, shard, shuffle_key)`` with an entry for each time the row is drawn, at most
     ``repeats``. A source gives its rows in permuted order, over again where its target exceeds
@@ -208,7 +211,7 @@ def mix(
     A NULL source is a source; no rows give no rows. Rows count as they are, repeated or not.
     """
     packed = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+        F.struct(*[docs[f"`{c}`"] for c in (carry or docs.columns)]).alias("row"),
         docs[f"`{source}`"].cast("string").alias("source"),
         word_count(docs[f"`{text}`"].cast("string")).alias("size"),
         row_hash(docs, F.lit(seed)).alias("draw"),
@@ -243,7 +246,7 @@ def mix(
         .select("p_of", "blocks", F.transform("runs", lambda r: r["until"]).alias("until"))
     )
     drawn = _placed(_grouped(packed, targets), offsets, repeats)
-    joined = drawn.join(plan, F.col("of").eqNullSafe(F.col("p_of")))
+    joined = drawn.join(broadcast_if_small(plan), F.col("of").eqNullSafe(F.col("p_of")))
 
     def draw(epoch: int) -> Column:
         at = sum((F.col("blocks")[e] for e in range(epoch)), F.col("place"))

@@ -38,7 +38,7 @@ def oracle_sql() -> dict[str, str]:
 @register("op1_mix_sources")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
-    return mixing.mix(docs).select(
+    return mixing.mix(docs, carry=["doc_id"]).select(
         "row.doc_id",
         "size",
         "source_size",
@@ -122,10 +122,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("op7_virtual_slots")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    return slots.shard(read_table(spark, folder, "documents"), shards=16).select(
+    docs = read_table(spark, folder, "documents").withColumn("text_crc32", slots.text_crc32(F.col("text")))
+    return slots.shard(docs, shards=16, carry=["doc_id", "text_crc32"]).select(
         "row.doc_id",
         "size",
-        slots.text_crc32(F.col("row.text")).alias("text_crc32"),
+        "row.text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         F.col("position").alias("slot"),

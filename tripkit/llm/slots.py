@@ -50,8 +50,9 @@ def balanced_map(sizes: Sequence[int], shards: int, version: int = 1) -> SlotMap
 def rebalanced(current: SlotMap, sizes: Sequence[int], shards: int | None = None, slack: float = 0.01) -> SlotMap:
     """The next version of a map for new sizes, or for more shards, moving few slots.
 
-    While the fullest shard exceeds the mean by more than ``slack``, its largest slot that
-    still fits goes to the emptiest shard. No other slot moves.
+    Added shards are filled to the mean from the fullest ones, and nothing else moves. Without
+    added shards slots go from the fullest shard to the emptiest one until both are within
+    ``slack`` of the mean or no slot would help.
     """
     shards = shards or current.shards
     if shards < current.shards:
@@ -62,13 +63,16 @@ def rebalanced(current: SlotMap, sizes: Sequence[int], shards: int | None = None
         held[shard].append(slot)
     load = [sum(sizes[s] for s in slots) for slots in held]
     mean = sum(load) / shards
+    takers = range(current.shards, shards) if shards > current.shards else range(shards)
     while True:
-        full, empty = max(range(shards), key=lambda i: (load[i], -i)), min(range(shards), key=lambda i: (load[i], i))
-        gap = load[full] - load[empty]
+        full = max(range(current.shards), key=lambda i: (load[i], -i))
+        empty = min(takers, key=lambda i: (load[i], i))
+        gap, need = load[full] - load[empty], mean - load[empty]
+        done = need <= mean * slack and (shards > current.shards or load[full] <= mean * (1 + slack))
         fits = [s for s in held[full] if 0 < sizes[s] < gap]
-        if load[full] <= mean * (1 + slack) and load[empty] >= mean * (1 - slack) or not fits:
+        if done or not fits:
             break
-        slot = min(fits, key=lambda s: (abs(gap / 2 - sizes[s]), s))
+        slot = min(fits, key=lambda s: (abs(min(gap / 2, need) - sizes[s]), s))
         held[full].remove(slot)
         held[empty].append(slot)
         shard_of[slot] = empty
@@ -93,15 +97,17 @@ def load_map(spark: SparkSession, folder: str, version: int | None = None) -> Sl
     return SlotMap(wanted, max(shard_of) + 1, shard_of)
 
 
-def with_slots(docs: DataFrame, text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """All columns of ``docs`` in ``row``, with ``size`` (UTF-8 bytes plus 1), ``mark`` and ``virtual_slot``.
+def with_slots(
+    docs: DataFrame, text: str = "text", slots: int = SLOTS, carry: Sequence[str] | None = None
+) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (default: all) in ``row``, with ``size`` (UTF-8 bytes plus 1), ``mark`` and ``virtual_slot``.
 
     The slot is that of a hash of the whole row, so rows that share an id or a text spread out;
     only rows alike in all columns meet. A NULL text has no bytes.
     """
     mark = row_hash(docs, F.lit(SLOTS))
     return docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+        F.struct(*[docs[f"`{c}`"] for c in (carry or docs.columns)]).alias("row"),
         (F.coalesce(F.octet_length(docs[f"`{text}`"].cast("string")), F.lit(0)) + 1).cast("long").alias("size"),
         mark.alias("mark"),
         F.pmod(mark, F.lit(slots)).cast("int").alias("virtual_slot"),
@@ -113,7 +119,14 @@ def slot_sizes(slotted: DataFrame) -> DataFrame:
     return slotted.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
-def shard(docs: DataFrame, text: str = "text", shards: int = SHARDS, slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
+def shard(
+    docs: DataFrame,
+    text: str = "text",
+    shards: int = SHARDS,
+    slots: int = SLOTS,
+    slot_map: SlotMap | None = None,
+    carry: Sequence[str] | None = None,
+) -> DataFrame:
     """``(row, size, virtual_slot, shard, position)``: every row's shard and its number in the shard.
 
     Without ``slot_map`` the map is made from the slots' bytes, so shards get nearly equal
@@ -121,7 +134,7 @@ def shard(docs: DataFrame, text: str = "text", shards: int = SHARDS, slots: int
     without gaps, slot after slot and by row hash within a slot, so that a task numbers one
     slot, never a shard. No rows give no rows.
     """
-    slotted = with_slots(docs, text, slots)
+    slotted = with_slots(docs, text, slots, carry)
     counts = checkpointed(slot_sizes(slotted)).collect()
     sizes, numbers = [0] * slots, [0] * slots
     for r in counts:

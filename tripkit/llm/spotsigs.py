@@ -158,8 +158,8 @@ def near_pairs(docs: DataFrame, threshold: float, doc_id: str = "doc_id", text:
         .agg(F.array_sort(F.collect_list(F.struct("n", "sig"))).alias("order"))
     )
     keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")).cast("int") + 1
-    step = -math.log(threshold) if threshold < 1 else 1e-9
-    part = F.floor(F.log(F.col("size")) / F.lit(step)).cast("int")
+    # At 1 only sets of one length can be equal, and the length is the partition.
+    part = F.floor(F.log(F.col("size")) / F.lit(-math.log(threshold))) if threshold < 1 else F.col("size").cast("long")
     keys = checkpointed(ranked.select("id", "size", part.alias("part"), F.explode(F.slice("order", 1, keep)).alias("key")).select("id", "size", "part", "key.sig"))
     left = keys.select(F.col("id").alias("x"), F.col("size").alias("x_size"), F.explode(F.array("part", F.col("part") + 1)).alias("part"), "sig")
     right = keys.select(F.col("id").alias("y"), F.col("size").alias("y_size"), "part", "sig")

@@ -243,8 +243,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    paths = manifest.repartition("path")
-    return paths.select("path", "records").mapInArrow(
+    # A task per archive: their number is in the manifest, and Spark must not merge them again.
+    paths = manifest.select("path", "records").repartition(max(1, manifest.count()))
+    return paths.mapInArrow(
         read,
         "record_type string, page_id string, uri string, payload_digest string, payload_bytes long, refers_to string, payload binary",
     )
