@@ -15,7 +15,11 @@ def slow(rows, threshold=0.93):
     def sound(e):
         return bool(e) and all(x is not None and math.isfinite(x) for x in e) and any(x != 0 for x in e)
 
-    unit = {k: np.array(e) / np.linalg.norm(e) for k, (_, e, label) in enumerate(rows) if label is not None and sound(e)}
+    def scaled(e):
+        e = np.array(e) / np.abs(e).max()  # the square of a huge number is infinite
+        return e / np.linalg.norm(e)
+
+    unit = {k: scaled(e) for k, (_, e, label) in enumerate(rows) if label is not None and sound(e)}
 
     def near(a, b):
         return a in unit and b in unit and rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold
