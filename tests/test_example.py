@@ -22,16 +22,20 @@ def test_the_whole_report_runs(spark, tmp_path):
         ]
         table(spark, *rows).write.parquet(path)
         paths.append(path)
-    seen = {}
+    out = tmp_path / "reports"
     trip_report.run(
         spark,
         paths,
+        trip_report.writer(str(out)),
         op.ForestSpec(trees=4, depth=4),
         op.BoostSpec(iterations=2, depth=3),
-        report=lambda title, df: seen.update({title: df.collect()}),
     )
-    assert seen["trips"][0]["n"] == 600
-    assert seen["both APIs agree"][0]["differing"] == 0
-    assert seen["removed rows"][0]["removed"] == 84
-    assert {row["model"] for row in seen["models"]} == {"forest", "gbt"}
-    assert len(seen["revenue and volume"]) == 12
+    seen = {path.name: spark.read.parquet(str(path)) for path in out.iterdir()}
+    assert all(len({c.lower() for c in df.columns}) == len(df.columns) for df in seen.values())
+    profile = {(r["section"], r["name"]): r["n"] for r in seen["profile"].collect()}
+    assert profile["table", "rows"] == 600 and profile["table", "kept"] == 600 - 84
+    assert ("measure", "fare_amount") in profile and ("measure", "PULocationID") not in profile
+    assert seen["both_APIs_agree"].first()["differing"] == 0
+    assert {row["model"] for row in seen["models"].collect()} == {"forest", "gbt"}
+    assert seen["revenue_and_volume"].count() == 12
+    assert seen["fare_by_place"].count() == 12

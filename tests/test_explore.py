@@ -111,6 +111,14 @@ def test_column_names_of_the_table_do_not_clash_with_ours(spark):
     assert values(op.sql_topk_by_count(df, "PULocationID", 1)) == values(op.topk_by_count(df, "PULocationID", 1))
 
 
+def test_a_nan_does_not_hide_outlier_groups(spark):
+    rows = [(i % 50, 5.0 + i % 7) for i in range(500)] + [(99, 900.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    nan = spark.createDataFrame([(3, float("nan")), (98, float("nan"))], "k int, v double")
+    assert [r[0] for r in values(op.outlier_groups(df, "k", "v"))] == [99]
+    assert [r[0] for r in values(op.outlier_groups(df.unionAll(nan), "k", "v"))] == [99]
+
+
 def test_outlier_groups_of_one_row(spark):
     assert op.outlier_groups(table(spark, trip()), "PULocationID", "fare_amount").count() == 0
 

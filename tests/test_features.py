@@ -88,6 +88,16 @@ def test_hash_share_depends_on_id_and_seed_only(spark):
         assert len(chosen(ids, pct=pct)) == pytest.approx(50 * pct, abs=130 if 0 < pct < 100 else 0)
 
 
+def test_hash_share_at_its_ends_and_with_null_ids(spark):
+    ids = spark.range(20_000)
+    assert ids.where(fn.hash_share("id", pct=99.99999999)).count() == 20_000
+    assert ids.where(fn.hash_share("id", pct=0)).count() == 0
+    pairs = spark.createDataFrame([(None, str(i)) for i in range(200)], "a string, b string")
+    swapped = pairs.select(pairs.b.alias("a"), pairs.a.alias("b"))
+    chosen, other = (set(values(d.where(fn.hash_share("a", "b", pct=50)), c)) for d, c in ((pairs, "b"), (swapped, "a")))
+    assert chosen != other
+
+
 def test_preview(spark):
     df = register.featured_trips(spark, "/root/testdata/sf0.001")
     assert df.select("trip_distance", "fare_amount", *op.FEATURES).limit(5).count() == 5

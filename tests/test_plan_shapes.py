@@ -154,3 +154,18 @@ def test_json_is_parsed_once_and_late(spark):
 def test_json_stays_unread_where_no_distance_is_needed(spark):
     plan = planned(queries()["distribution"](spark, FOLDER))
     assert read_columns(plan) == [{"event_id"}]
+
+
+def test_the_profile_is_one_pass(trips):
+    plan = executed(op.profile(trips, ["fare_amount", "trip_distance"], op.trip_rules()))
+    assert plan.count("FileScan") == 1 and len(re.findall(r"\bExchange\b", plan)) == 1
+
+
+def test_residuals_are_computed_once(trips):
+    scored = trips.selectExpr("fare_amount", "trip_distance AS prediction")
+    assert "FileScan" not in executed(op.residual_anomalies(scored, "fare_amount", k=1.0))
+
+
+def test_parity_ignores_the_order(trips):
+    plan = executed(op.parity(op.count_by_hour(trips, START), op.sql_count_by_hour(trips, START)))
+    assert "rangepartitioning" not in plan

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tripkit.operators.layout import checkpointed
+
 
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -129,39 +131,46 @@ def outlier_groups(
 ) -> DataFrame:
     """``(key, avg, n)`` of the groups whose mean exceeds mean + ``k`` sample deviations of all rows.
 
-    One lazy statement. The groups are referred to three times, but Spark reads and shuffles
-    the table once and reuses that exchange; mean and deviation of all rows follow from the
+    The table is read and grouped once, when this is called, and the groups are checkpointed:
+    as one statement it would be read three times, since each reference to the groups wants
+    other columns and so a shuffle of its own. Mean and deviation of all rows follow from the
     groups' counts, means and variances. NaN counts as unknown in all comparisons; the
     reported average is the plain one, NaN where a group has any.
     """
+    per_key = checkpointed(
+        _sql(
+            df,
+            """
+            SELECT group_key, count(*) AS n, count(x) AS known, avg(x) AS mean, var_pop(x) AS variance,
+                   avg(measure) AS shown
+            FROM (SELECT IDENTIFIER(:key) AS group_key, IDENTIFIER(:measure) AS measure,
+                         CASE WHEN NOT isnan(CAST(IDENTIFIER(:measure) AS DOUBLE)) THEN IDENTIFIER(:measure) END AS x
+                  FROM {t})
+            GROUP BY group_key
+            """,
+            key=key,
+            measure=measure,
+        )
+    )
     return _sql(
-        df,
+        per_key,
         """
-        WITH per_key AS (
-          SELECT group_key, count(*) AS n, count(x) AS known, avg(x) AS mean, var_pop(x) AS variance,
-                 avg(measure) AS shown
-          FROM (SELECT IDENTIFIER(:key) AS group_key, IDENTIFIER(:measure) AS measure,
-                       CASE WHEN NOT isnan(CAST(IDENTIFIER(:measure) AS DOUBLE)) THEN IDENTIFIER(:measure) END AS x
-                FROM {t})
-          GROUP BY group_key
-        ),
-        overall AS (
+        WITH overall AS (
           SELECT sum(known) AS known, try_divide(sum(known * CAST(mean AS DOUBLE)), sum(known)) AS mean
-          FROM per_key
+          FROM {t}
         ),
         deviation AS (
           SELECT sqrt(try_divide(
                    sum(known * (variance + pow(mean - (SELECT mean FROM overall), 2))),
                    (SELECT known - 1 FROM overall))) AS stddev
-          FROM per_key
+          FROM {t}
         )
         SELECT group_key AS IDENTIFIER(:key), shown AS IDENTIFIER(:avg_as), n
-        FROM per_key
+        FROM {t}
         WHERE mean > (SELECT mean FROM overall) + :k * (SELECT stddev FROM deviation)
         ORDER BY mean DESC, group_key
         """,
         {"k": float(k)},
         key=key,
-        measure=measure,
         avg_as=avg_as or f"avg_{measure}",
     )

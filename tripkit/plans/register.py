@@ -516,8 +516,8 @@ def _(spark, folder):
 @register("union_months", f"WITH {TRIPS_SQL} SELECT * FROM trips")
 def _(spark, folder):
     rows = trips(spark, folder)
-    early = F.coalesce(F.col(PICKUP) < MONTH_BREAK, F.lit(False))
-    first, second = rows.where(early), rows.where(~early)
+    start = F.col(PICKUP)
+    first, second = rows.where(start < MONTH_BREAK), rows.where((start >= MONTH_BREAK) | start.isNull())
     return union_months([first, second.select(*reversed(second.columns))])
 
 
