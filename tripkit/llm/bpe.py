@@ -272,11 +272,13 @@ def encode(
         block = Block(split)
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for key, value in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                block.add(key, value or "", doubtful)
-                if block.chars >= block_chars:
-                    yield from finish(block)
-                    block = Block(split)
+            # Few texts at a time: as Python strings they take as much memory as the batch again.
+            for part in (batch.slice(at, 128) for at in range(0, batch.num_rows, 128)):
+                for key, value in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    block.add(key, value or "", doubtful)
+                    if block.chars >= block_chars:
+                        yield from finish(block)
+                        block = Block(split)
         if block.ids or block.done:
             yield from finish(block)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -55,18 +55,21 @@ def append_columns(
     inputs: list[str],
     outputs: dict[str, str],
     work: Callable[[list[pa.Array]], list[pa.Array]],
-    at_once: int = 1 << 16,
+    at_once: int = 1024,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All columns of ``df`` plus ``outputs`` (name to SQL type), made from ``inputs`` one Arrow batch at a time.
+    """The columns ``keep`` of ``df`` (default: all) plus ``outputs`` (name to SQL type), made from ``inputs``.
 
-    ``work`` gets the input arrays of a batch, ``at_once`` rows at most, and returns one array
-    for each output. Names in ``outputs`` must not occur in ``df``.
+    ``work`` gets the input arrays of an Arrow batch, ``at_once`` rows at most, and returns one
+    array for each output. Names in ``outputs`` must not occur among the columns kept.
     """
-    names = [*df.columns, *outputs]
+    kept = list(df.columns if keep is None else keep)
     # Inside, columns go by number, whatever they are called.
+    places = [df.columns.index(name) for name in [*kept, *inputs]]
     numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    places = [df.columns.index(name) for name in inputs]
-    schema = T.StructType(list(numbered.schema.fields))
+    used = numbered.select(*[f"c{i}" for i in dict.fromkeys(places)])
+    kept_names, input_names = [f"c{i}" for i in places[: len(kept)]], [f"c{i}" for i in places[len(kept) :]]
+    schema = T.StructType([used.schema[name] for name in kept_names])
     for i, kind in enumerate(outputs.values()):
         schema = schema.add(f"made{i}", T.DataType.fromDDL(kind))
 
@@ -74,7 +77,7 @@ def append_columns(
         for batch in batches:
             for at in range(0, batch.num_rows, at_once):
                 part = batch.slice(at, at_once)
-                made = work([part.column(i) for i in places])
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
+                made = work([part.column(name) for name in input_names])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept_names), *made], names=schema.names)
 
-    return numbered.mapInArrow(run, schema).toDF(*names)
+    return used.mapInArrow(run, schema).toDF(*kept, *outputs)

@@ -159,8 +159,8 @@ def embedding_groups(
         return [pa.array(raw, pa.binary()), pa.array(near, pa.list_(pa.int32()))]
 
     described = append_columns(
-        nodes.select("node", "label", "times", "embedding"), ["embedding"], {"raw": "binary", "nearest": "array<int>"}, work
-    ).drop("embedding")
+        nodes, ["embedding"], {"raw": "binary", "nearest": "array<int>"}, work, keep=["node", "label", "times"]
+    )
     described = checkpointed(described.withColumn("size", F.length("raw")))
     posted = described.withColumn("pivot", F.explode("nearest"))
     lists = checkpointed(

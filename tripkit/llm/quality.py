@@ -8,6 +8,7 @@ learned together from them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -279,14 +280,16 @@ def fit_quality(
             made.append(features[start + take].astype(np.float32).tobytes())
         return [pa.array(made, pa.binary())]
 
-    rows = append_columns(sample, ["text"], {"bag": "binary"}, bag).select("bag", "label").collect()
+    rows = append_columns(sample, ["text"], {"bag": "binary"}, bag, keep=["label"]).collect()
     rows.sort(key=lambda r: (bytes(r["bag"]), r["label"]))
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, len(FEATURES)).astype(np.float64) for r in rows]
     return fit_bags(bags, np.array([float(r["label"] > 0) for r in rows]), spec)
 
 
-def with_quality(docs: DataFrame, model: MilModel, text: str = "text", out: str = "score") -> DataFrame:
-    """All columns of ``docs`` plus the probability that the text is of quality, 0 to 1.
+def with_quality(
+    docs: DataFrame, model: MilModel, text: str = "text", out: str = "score", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (default: all) plus the probability that the text is of quality, 0 to 1.
 
     Every passage of the whole text counts. NULL, empty and blank texts are scored as one
     passage of zeros. Rows are independent.
@@ -296,7 +299,7 @@ def with_quality(docs: DataFrame, model: MilModel, text: str = "text", out: str
         number, features = passages(columns[0])
         return [pa.array(model.score(number, features, len(columns[0])), pa.float64())]
 
-    return append_columns(docs, [text], {out: "double"}, work)
+    return append_columns(docs, [text], {out: "double"}, work, keep=keep)
 
 
 def keep_quality(docs: DataFrame, model: MilModel, threshold: float = 0.3, text: str = "text") -> DataFrame:

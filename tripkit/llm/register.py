@@ -52,7 +52,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
     model = toxicity.fit_toxicity(docs, labels, "toxic", folds=3, fold=1)
-    return toxicity.with_toxicity(docs.select("doc_id", "text"), model).select(
+    return toxicity.with_toxicity(docs, model, keep=["doc_id"]).select(
         "doc_id",
         learn.held_out(F.col("doc_id"), 3, 1).alias("held_out"),
         "score",
@@ -64,7 +64,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
     model = quality.fit_quality(docs, labels, "quality", folds=5, fold=0)
-    return quality.with_quality(docs.select("doc_id", "text"), model).select(
+    return quality.with_quality(docs, model, keep=["doc_id"]).select(
         "doc_id",
         learn.held_out(F.col("doc_id"), 5, 0).alias("held_out"),
         "score",

@@ -30,35 +30,51 @@ SEED = 42
 _CHUNK = 1 << 16
 
 
-def fingerprint_of(text: str | None, words: int, seed: int = SEED) -> int:
-    """The 64-bit SimHash of a text as an unsigned integer: see ``with_fingerprint``."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    """Words in UTF-8 with A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def run_hashes(found: list[bytes], words: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of every run of ``words`` words, repeats included; fewer words are one run, none no run."""
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     reach = min(words, len(found))
     spans = zip(starts[: len(found) - reach + 1].tolist(), ends[reach - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    return simhash_bits(
-        np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(found) - reach + 1)
-    )
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(found) - reach + 1)
 
 
-def simhash_bits(hashes: np.ndarray) -> int:
-    """The bits that more than half of the hashes have."""
-    ones = np.zeros(64, np.int64)
+def majority_bits(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """For each group of hashes (``heads`` are its first places) the bits that more than half of it have."""
+    ones = np.zeros((len(heads), 64), np.int64)
+    group = np.searchsorted(heads, np.arange(len(hashes)), "right") - 1
     for at in range(0, len(hashes), _CHUNK):
-        part = hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+        bits = np.unpackbits(hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        here = group[at : at + _CHUNK]
+        cuts = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
+        ones[here[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
+    sizes = np.diff(np.append(heads, len(hashes)))
+    return np.packbits(ones * 2 > sizes[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64)
+
+
+def fingerprint_of(text: str | None, words: int, seed: int = SEED) -> int:
+    """The 64-bit SimHash of a text as an unsigned integer: see ``with_fingerprint``."""
+    hashes = run_hashes(words_of(text), words, seed)
+    return int(majority_bits(hashes, np.zeros(1, np.int64))[0]) if len(hashes) else 0
 
 
 def with_fingerprint(
-    docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS, out: str = "fingerprint"
+    docs: DataFrame,
+    text: str = "text",
+    words: int = SHINGLE_WORDS,
+    out: str = "fingerprint",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All columns of ``docs`` plus the fingerprint as a signed long.
+    """The columns ``keep`` of ``docs`` (default: all) plus the fingerprint as a signed long.
 
     A-Z are lower-cased, words are runs without ASCII white space, and every run of ``words``
     words counts, repeats included; a shorter text counts as one run. A bit is set where more
@@ -70,7 +86,7 @@ def with_fingerprint(
         made = [fingerprint_of(t, words) for t in columns[0].to_pylist()]
         return [pa.array(np.array(made, np.uint64).view(np.int64))]
 
-    return append_columns(docs, [text], {out: "long"}, work)
+    return append_columns(docs, [text], {out: "long"}, work, keep=keep)
 
 
 def _signed(mask: int) -> int:
@@ -143,8 +159,8 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     marked = checkpointed(
         with_fingerprint(
-            docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words, "fingerprint"
-        ).select("doc_id", "fingerprint")
+            docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words, keep=["doc_id"]
+        )
     )
     classes = fingerprint_classes(marked, "fingerprint", "doc_id").withColumnRenamed("fp", "fingerprint")
     return marked.join(classes, "fingerprint").select(
@@ -152,39 +168,32 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def segment_signatures(text: str | None, words: int, mean: int = 6, used: int = 16) -> tuple[int, list[int]]:
-    """A hash of the whole word sequence, and signatures of shares of its distinct shingles.
+def segment_signatures(distinct: np.ndarray, mean: int = 6, used: int = 16) -> np.ndarray:
+    """Signatures of shares of a text's sorted distinct shingle hashes.
 
-    Shingles are dealt by hash to as many shares as give ``mean`` each; the first ``used``
-    shares become signatures. The number of shares is a power of two, so that texts of
-    similar length agree on it; near a change of it, both numbers count.
+    Shingles are dealt by hash to as many shares as give ``mean`` each, and the SimHashes of the
+    first ``used`` shares become signatures. The number of shares is a power of two, so that
+    texts of similar length agree on it; near a change of it, both numbers count.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined = b" ".join(found)
-    whole = xxhash.xxh64_intdigest(joined, SEED)
-    hashes = shingle_hashes(found, words)
-    made: set[int] = set()
-    if len(hashes):
-        level = math.log2(max(len(hashes) / mean, 1))
-        for shares in {1 << round(level - 0.25), 1 << round(level + 0.25)}:
-            # Not the bits that order the hashes, and a seed of its own for each number of shares.
-            share = ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & np.uint64(shares - 1)
+    made = []
+    if len(distinct):
+        odd = np.uint64(0x9E3779B97F4A7C15)
+        level = math.log2(max(len(distinct) / mean, 1))
+        for shares in sorted({1 << round(level - 0.25), 1 << round(level + 0.25)}):
+            share = (distinct * odd >> np.uint64(40)) & np.uint64(shares - 1)
             order = np.argsort(share, kind="stable")
-            cuts = np.searchsorted(share[order], np.arange(min(shares, used) + 1))
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if b > a:
-                    made.add(simhash_bits(hashes[order[a:b]]) ^ xxhash.xxh64_intdigest(b"%d/%d/%d" % (i, shares, b - a)))
-    return whole, sorted(made)
+            order = order[: np.searchsorted(share[order], used)]
+            heads = np.flatnonzero(np.append(True, np.diff(share[order]) != 0)) if len(order) else order
+            # Share, number of shares and size are part of the signature.
+            sizes = np.diff(np.append(heads, len(order))).astype(np.uint64)
+            name = share[order[heads]] * np.uint64(1 << 40) + np.uint64(shares << 20) + sizes
+            made.append(majority_bits(distinct[order], heads) ^ (name + np.uint64(1)) * odd)
+    return np.unique(np.concatenate(made)) if made else np.zeros(0, np.uint64)
 
 
 def shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``words`` words; a shorter text is one run."""
-    if not found:
-        return np.zeros(0, np.uint64)
-    reach = min(words, len(found))
-    digest = xxhash.xxh64_intdigest
-    runs = (b" ".join(found[i : i + reach]) for i in range(len(found) - reach + 1))
-    return np.unique(np.fromiter((digest(r, SEED) for r in runs), np.uint64))
+    return np.unique(run_hashes(found, words))
 
 
 def drop_near_duplicates(
@@ -211,15 +220,21 @@ def drop_near_duplicates(
     fp, whole, signatures = (free_name(docs, name) for name in ("fp", "whole", "signatures"))
 
     def work(arrays: list[pa.Array]) -> list[pa.Array]:
-        texts = arrays[0].to_pylist()
-        made = [segment_signatures(t, words) for t in texts]
+        prints, wholes, shares = [], [], []
+        for t in arrays[0].to_pylist():
+            found = words_of(t)
+            hashes = run_hashes(found, words)
+            prints.append(int(majority_bits(hashes, np.zeros(1, np.int64))[0]) if len(hashes) else 0)
+            wholes.append(xxhash.xxh64_intdigest(b" ".join(found), SEED))
+            shares.append(segment_signatures(np.unique(hashes)).view(np.int64))
         return [
-            pa.array(np.array([fingerprint_of(t, words) for t in texts], np.uint64).view(np.int64)),
-            pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64)),
-            pa.array([np.array(m[1], np.uint64).view(np.int64) for m in made], pa.list_(pa.int64())),
+            pa.array(np.array(prints, np.uint64).view(np.int64)),
+            pa.array(np.array(wholes, np.uint64).view(np.int64)),
+            pa.array(shares, pa.list_(pa.int64())),
         ]
 
-    marked = append_columns(docs, [text], {fp: "long", whole: "long", signatures: "array<long>"}, work)
+    made = {fp: "long", whole: "long", signatures: "array<long>"}
+    marked = append_columns(docs, [text], made, work, keep=[doc_id])
     rank = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"))
     texts = checkpointed(
         marked.groupBy(F.col(whole).alias("whole")).agg(
@@ -246,10 +261,7 @@ def drop_near_duplicates(
 
 def _with_whole(docs: DataFrame, text: str, out: str) -> DataFrame:
     def work(arrays: list[pa.Array]) -> list[pa.Array]:
-        made = []
-        for t in arrays[0].to_pylist():
-            found = (t or "").encode("utf-8", "surrogatepass").lower().split()
-            made.append(xxhash.xxh64_intdigest(b" ".join(found), SEED))
+        made = [xxhash.xxh64_intdigest(b" ".join(words_of(t)), SEED) for t in arrays[0].to_pylist()]
         return [pa.array(np.array(made, np.uint64).view(np.int64))]
 
     return append_columns(docs, [text], {out: "long"}, work)
@@ -296,10 +308,9 @@ def _shingle_sets(docs: DataFrame, ends: DataFrame, doc_id: str, text: str, word
     rows = slim.join(wanted, (F.col("of") == F.col("want")) & F.col("id").eqNullSafe(F.col("want_id")), "left_semi")
 
     def work(arrays: list[pa.Array]) -> list[pa.Array]:
-        found = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in arrays[0].to_pylist()]
-        return [pa.array([shingle_hashes(f, words).tobytes() for f in found], pa.binary())]
+        return [pa.array([shingle_hashes(words_of(t), words).tobytes() for t in arrays[0].to_pylist()], pa.binary())]
 
-    sets = append_columns(rows, ["text"], {"shingles": "binary"}, work)
+    sets = append_columns(rows, ["text"], {"shingles": "binary"}, work, keep=["of"])
     return sets.select(F.col("of").alias("whole"), "shingles").dropDuplicates(["whole"])
 
 
@@ -317,4 +328,4 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             made.append(both >= similarity * either if either else True)
         return [pa.array(made, pa.bool_())]
 
-    return append_columns(joined, ["a_set", "b_set"], {"near": "boolean"}, work, at_once=256).where("near").select("a", "b")
+    return append_columns(joined, ["a_set", "b_set"], {"near": "boolean"}, work, keep=["a", "b"]).where("near").select("a", "b")

@@ -213,4 +213,4 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return [pa.array(own), pa.array(other), pa.array(near, pa.float64()), pa.array(beside, pa.float64())]
 
     made = {"fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}
-    return append_columns(rows, ["text", "next_text", "edited"], made, work, at_once=512).drop("next_text")
+    return append_columns(rows, ["text", "next_text", "edited"], made, work, at_once=512, keep=["doc_id", "text", "edited"])

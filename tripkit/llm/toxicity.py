@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -277,7 +277,7 @@ def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
 
         odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good + 1))
         candidates = (
-            append_columns(texts, ["text"], {"terms": "array<string>"}, terms)
+            append_columns(texts, ["text"], {"terms": "array<string>"}, terms, keep=["label"])
             .select(F.explode("terms").alias("term"), (F.col("label") > 0).cast("int").alias("toxic"))
             .groupBy("term")
             .agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
@@ -297,7 +297,11 @@ def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
 
         varied = (
             append_columns(
-                texts.where("label > 0"), ["text"], {"found": "array<struct<term:string,beside:bigint>>"}, contexts
+                texts.where("label > 0"),
+                ["text"],
+                {"found": "array<struct<term:string,beside:bigint>>"},
+                contexts,
+                keep=[],
             )
             .select(F.inline("found"))
             .groupBy("term", "beside")
@@ -375,8 +379,10 @@ def with_signals(docs: DataFrame, terms: dict[str, float], text: str, out: str)
     return append_columns(docs, [text], {out: "array<double>"}, work)
 
 
-def with_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", out: str = "score") -> DataFrame:
-    """All columns of ``docs`` plus the probability that the whole text is toxic, 0 to 1.
+def with_toxicity(
+    docs: DataFrame, model: ToxicModel, text: str = "text", out: str = "score", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (default: all) plus the probability that the whole text is toxic, 0 to 1.
 
     NULL, empty and blank texts have no hits and get the score of such texts. Rows are
     independent; the model (at most ``max_terms`` terms) travels with the tasks.
@@ -390,7 +396,7 @@ def with_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", out: s
         rows = np.array(found).reshape(len(found), len(SIGNALS))
         return [pa.array(model.probability(rows), pa.float64())]
 
-    return append_columns(docs, [text], {out: "double"}, work)
+    return append_columns(docs, [text], {out: "double"}, work, keep=keep)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, text: str = "text") -> DataFrame:
