@@ -108,3 +108,24 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == [0, 3, 3, 4, 6, 8, 9, 10, 11]
     assert [r.text for r in kept if r.doc_id is None] == ["a row without an id"]
     assert simhash.drop_near_duplicates(no_docs(spark)).collect() == []
+
+
+def test_copies_meet_an_original_that_has_the_largest_id(spark):
+    rng = random.Random(7)
+    texts = []
+    for words, edits in ((300, 5), (60, 1)):
+        base, copies = prose(rng, words, 10**9).split(), []
+        for n in range(2000):
+            copy = list(base)
+            for at in rng.sample(range(5, words - 5), edits):
+                copy[at] = f"new{n}x{at}"
+            copies.append(" ".join(copy))
+        texts += [*copies, " ".join(base)]
+    sets = [set(simhash.shingle_hashes(t.encode().split(), 5).tolist()) for t in texts]
+    want = []
+    for first, last in ((0, 2000), (2001, 4001)):
+        near = [len(s & sets[last]) >= 0.8 * len(s | sets[last]) for s in sets[first:last]]
+        assert all(near)
+        want.append(first)
+    kept = simhash.drop_near_duplicates(plain_docs(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == want

@@ -11,6 +11,7 @@ key thus holds at least 42 of the 64 bits, and equality joins on it find every l
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,12 +22,16 @@ from pyspark.sql import functions as F
 
 from tripkit.llm.common import append_columns, free_name
 from tripkit.llm.components import components
-from tripkit.operators.layout import checkpointed
+from tripkit.llm.pivots import local_roots
+from tripkit.operators.layout import checkpointed, ensure_checkpoint_dir
+from tripkit.sources import read_trips
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 MAX_BITS = 2
 SEED = 42
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1 << 20
 _CHUNK = 1 << 16
 
 
@@ -213,43 +218,53 @@ def drop_near_duplicates(
     Candidates are the fingerprints within two bits. Of the pairs with a similarity of 0.8 or
     more only about three in a hundred are that close, so the shingles are also dealt to
     segments by hash and each segment's own SimHash is a key: an unchanged segment is an equal
-    signature. In a group of equal keys each text is compared with the first one and with
-    its neighbours in the sorted order, so that no group is ever paired with itself. Every
-    candidate is verified. A pair all of whose segments differ is missed (at a similarity of
-    0.8 and 16 segments of 6 shingles about one in three hundred, more for short texts).
+    signature. A pair all of whose segments differ is missed (at a similarity of 0.8 and 16
+    segments of 6 shingles about one in three hundred, more for short texts).
+
+    Texts of an equal key are first compared with the one of smallest id and with their
+    neighbours in the sorted order. Wherever that has not joined a whole group, all its texts
+    that are not joined yet are compared with one another, in pairs of blocks. Similarities are exact.
     """
     columns = docs.columns
-    fp, whole, signatures = (free_name(docs, name) for name in ("fp", "whole", "signatures"))
+    names = ("fp", "whole", "amount", "signatures")
+    fp, whole, amount, signatures = (free_name(docs, name) for name in names)
 
     def work(arrays: list[pa.Array]) -> list[pa.Array]:
-        prints, wholes, shares = [], [], []
+        prints, wholes, amounts, shares = [], [], [], []
         for t in arrays[0].to_pylist():
             found = words_of(t)
             hashes = run_hashes(found, words)
+            distinct = np.unique(hashes)
             prints.append(int(majority_bits(hashes, np.zeros(1, np.int64))[0]) if len(hashes) else 0)
             wholes.append(xxhash.xxh64_intdigest(b" ".join(found), SEED))
-            shares.append(segment_signatures(np.unique(hashes)).view(np.int64))
+            amounts.append(len(distinct))
+            shares.append(segment_signatures(distinct).view(np.int64))
         return [
             pa.array(np.array(prints, np.uint64).view(np.int64)),
             pa.array(np.array(wholes, np.uint64).view(np.int64)),
+            pa.array(amounts, pa.int64()),
             pa.array(shares, pa.list_(pa.int64())),
         ]
 
-    made = {fp: "long", whole: "long", signatures: "array<long>"}
+    made = {fp: "long", whole: "long", amount: "long", signatures: "array<long>"}
     marked = append_columns(docs, [text], made, work, keep=[doc_id])
     rank = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"))
-    texts = checkpointed(
-        marked.groupBy(F.col(whole).alias("whole")).agg(
-            F.min(rank).alias("rank"), F.first(fp).alias("fp"), F.first(signatures).alias("signatures")
-        )
-    )
-    pairs = checkpointed(_candidates(texts))
+    alike = [F.first(made_name).alias(name) for made_name, name in zip((fp, amount, signatures), (names[0], *names[2:]), strict=True)]
+    texts = checkpointed(marked.groupBy(F.col(whole).alias("whole")).agg(F.min(rank).alias("rank"), *alike))
+    close = _close_prints(texts)
+    shared = _shared_keys(texts, close)
+    pairs = checkpointed(_candidates(shared, close))
     ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct().join(texts, "whole").select("whole", "rank.id"))
     shingled = checkpointed(_shingle_sets(docs, ends, doc_id, text, words))
     links = checkpointed(_verified(pairs, shingled, similarity))
-    named = texts.select("whole", "rank").join(
-        components(links, "a", "b").withColumnRenamed("node", "whole"), "whole", "left"
-    )
+    joined = components(links, "a", "b").withColumnRenamed("node", "whole")
+    # A stored table: a checkpoint keeps the plan's estimated sizes, whose digits every join adds up.
+    stored = f"{ensure_checkpoint_dir(docs.sparkSession)}/links-{uuid.uuid4()}"
+    _rest_of_groups(shared, joined, shingled, similarity).write.parquet(stored)
+    more = read_trips(docs.sparkSession, stored)
+    if not more.isEmpty():
+        joined = components(links.unionAll(more), "a", "b").withColumnRenamed("node", "whole")
+    named = texts.select("whole", "rank").join(joined, "whole", "left")
     groups = named.groupBy(F.coalesce("component", "whole")).agg(
         F.min(F.struct("rank.no_id", "rank.id", "whole")).alias("first")
     )
@@ -269,18 +284,36 @@ def _with_whole(docs: DataFrame, text: str, out: str) -> DataFrame:
     return append_columns(docs, [text], {out: "long"}, work)
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """``(a, b)`` with a < b: pairs of distinct texts that may be near-duplicates."""
-    by_fp = checkpointed(texts.groupBy("fp").agg(F.min("whole").alias("whole")))
-    close = linked_fingerprints(by_fp.select("fp"))
-    names = by_fp.select("fp", "whole")
-    between = close.join(names.toDF("a", "a_whole"), "a").join(names.toDF("b", "b_whole"), "b")
-    same_fp = texts.select("fp", F.col("whole").alias("other")).join(by_fp, "fp")
-    keyed = texts.select(F.explode("signatures").alias("key"), "rank", "whole")
+def _close_prints(texts: DataFrame) -> DataFrame:
+    """``(a, b, a_whole, b_whole, texts)``: fingerprints within two bits, a text of each, and how many have them."""
+    by_fp = checkpointed(texts.groupBy("fp").agg(F.min("whole").alias("whole"), F.count(F.lit(1)).alias("n")))
+    close = linked_fingerprints(by_fp.select("fp")).distinct()
+    return checkpointed(
+        close.join(by_fp.toDF("a", "a_whole", "a_n"), "a")
+        .join(by_fp.toDF("b", "b_whole", "b_n"), "b")
+        .select("a", "b", "a_whole", "b_whole", (F.col("a_n") + F.col("b_n")).alias("texts"))
+    )
+
+
+def _shared_keys(texts: DataFrame, close: DataFrame) -> DataFrame:
+    """``(key, whole, amount, hub)``: the texts of every key that several have; ``hub`` has the smallest id.
+
+    Keys are segments, equal fingerprints, and pairs of fingerprints within two bits.
+    """
+    own = texts.select(F.explode("signatures").alias("key"), "rank", "whole", "amount")
+    prints = checkpointed(texts.select("fp", "rank", "whole", "amount"))
+    equal = prints.select(F.xxhash64("fp").alias("key"), "rank", "whole", "amount")
+    ends = close.where("texts > 2").select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp"))
+    within = ends.join(prints, "fp").select("key", "rank", "whole", "amount")
+    keyed = checkpointed(own.unionAll(equal).unionAll(within))
     first = checkpointed(
         keyed.groupBy("key").agg(F.min(F.struct("rank", "whole")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("first.whole").alias("hub"))
     )
-    shared = checkpointed(keyed.select("key", "whole").join(first, "key"))
+    return checkpointed(keyed.select("key", "whole", "amount").join(first, "key"))
+
+
+def _candidates(shared: DataFrame, close: DataFrame) -> DataFrame:
+    """``(a, b)`` with a < b: the pairs that are compared first."""
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last = None, None
@@ -294,15 +327,123 @@ def _candidates(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     beside = shared.select("key", "whole").orderBy("key", "whole").mapInArrow(neighbours, "a long, b long")
-    every = (
-        between.select(F.col("a_whole").alias("a"), F.col("b_whole").alias("b"))
-        .unionAll(same_fp.select("whole", "other"))
-        .unionAll(shared.select("hub", "whole"))
-        .unionAll(beside)
-    )
+    every = shared.select(F.col("hub").alias("a"), F.col("whole").alias("b")).unionAll(beside).unionAll(close.select("a_whole", "b_whole"))
     return every.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def compare_cell(
+    whole: np.ndarray, part: np.ndarray, rows: np.ndarray, columns: np.ndarray, sets: list[np.ndarray], similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """``(node, root)`` of the texts of one pair of blocks that link to texts of another part.
+
+    All ``rows`` are compared with all ``columns``, exactly; pairs of one part are joined already.
+    """
+    apart = part[rows][:, None] != part[columns][None, :]
+    none = np.zeros(0, np.int64)
+    if not apart.any():
+        return none, none
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    numbers = np.cumsum(several) - 1
+    used = several[at]
+    owner, at = owner[used], numbers[at[used]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros(apart.shape, np.float32)
+    for low in range(0, int(several.sum()), 2048):
+        here = slice(*np.searchsorted(at, (low, low + 2048)).tolist())
+        has = np.zeros((len(sets), min(2048, int(several.sum()) - low)), np.float32)
+        has[owner[here], at[here] - low] = 1
+        both += has[rows] @ has[columns].T
+    either = sizes[rows][:, None] + sizes[columns][None, :] - both.astype(np.int64)
+    linked = apart & (both.astype(np.int64) >= similarity * either)
+    if not linked.any():
+        return none, none
+    low, high = local_roots(linked, whole[rows], whole[columns])
+    some_rows, some_columns = linked.any(axis=1), linked.any(axis=0)
+    return (
+        np.concatenate([whole[rows][some_rows], whole[columns][some_columns]]),
+        np.concatenate([low[some_rows], high[some_columns]]),
+    )
+
+
+def _rest_of_groups(shared: DataFrame, joined: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: what links texts of an equal key that ``joined`` has in different components.
+
+    Each group's largest component is compared with the rest, and the rest with itself: in pairs of
+    blocks, of which only texts with links leave a task, with the root they reach there. Groups
+    of the same texts are compared once, and small groups are gathered so that a call has many.
+    """
+    members = checkpointed(
+        shared.join(joined, "whole", "left").select("key", "whole", "amount", F.coalesce("component", "whole").alias("part"))
+    )
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "whole")).alias(f"mark{seed}") for seed in (0, 1)]
+    parts = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"), *marks)
+    groups = (
+        parts.groupBy("key")
+        .agg(
+            F.max(F.struct("n", "part", "amount")).alias("main"),
+            F.sum("n").alias("n"),
+            F.sum("amount").alias("amount"),
+            F.bit_xor("mark0").alias("mark0"),
+            F.bit_xor("mark1").alias("mark1"),
+            F.count(F.lit(1)).alias("parts"),
+        )
+        # Two texts have been compared.
+        .where("parts > 1 and n > 2")
+        .groupBy("n", "mark0", "mark1")
+        .agg(F.min(F.struct("key", "main", "amount")).alias("of"))
+    )
+
+    def blocks(rows: Column, amount: Column) -> Column:
+        return F.ceil(F.greatest(rows / BLOCK_ROWS, amount / BLOCK_SHINGLES)).cast("int")
+
+    groups = checkpointed(
+        groups.select(
+            "of.key",
+            F.col("of.main.part").alias("main"),
+            F.col("n").alias("n"),
+            F.col("of.amount").alias("total"),
+            blocks(F.col("n") - F.col("of.main.n"), F.col("of.amount") - F.col("of.main.amount")).alias("rests"),
+            blocks(F.col("of.main.n"), F.col("of.main.amount")).alias("mains"),
+        )
+    )
+    small = (F.col("rests") == 1) & (F.col("mains") == 1)
+    load = groups.where(small).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    buckets = math.ceil(max(load[0] / (2 * BLOCK_ROWS), load[1] / BLOCK_SHINGLES, 1))
+    salt, is_main = F.xxhash64("whole", "key"), F.col("part") == F.col("main")
+    block = F.when(is_main, F.col("rests") + F.pmod(salt, "mains")).otherwise(F.pmod(salt, "rests")).cast("int")
+    last = F.when(is_main, F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1
+    first, second = F.least("block", "other"), F.greatest("block", "other")
+    bucket = F.when(small, F.pmod(F.xxhash64("key"), F.lit(buckets))).otherwise(F.xxhash64("key", first, second))
+    cells = (
+        members.join(groups, "key")
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        .select("key", "whole", "part", "block", first.alias("first"), second.alias("second"), bucket.alias("bucket"))
+        .join(sets, "whole")
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        key, whole, part, block, first, second = (
+            group[name].to_numpy() for name in ("key", "whole", "part", "block", "first", "second")
+        )
+        found = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
+        order = np.lexsort((second, first, key))
+        cell = np.stack([key, first, second])[:, order]
+        nodes, roots = [], []
+        for at in np.split(order, np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1):
+            rows, columns = np.flatnonzero(block[at] == first[at]), np.flatnonzero(block[at] == second[at])
+            made = compare_cell(whole[at], part[at], rows, columns, [found[i] for i in at.tolist()], similarity)
+            nodes.append(made[0])
+            roots.append(made[1])
+        return pa.table({"a": pa.array(np.concatenate(nodes), pa.int64()), "b": pa.array(np.concatenate(roots), pa.int64())})
+
+    return cells.groupBy("bucket").applyInArrow(compare, "a long, b long")
+
+
 def _shingle_sets(docs: DataFrame, ends: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """``(whole, shingles)``: the sorted distinct shingle hashes of one row for each wanted text."""
     slim = _with_whole(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", "of")
