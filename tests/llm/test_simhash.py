@@ -129,3 +129,31 @@ def test_copies_meet_an_original_that_has_the_largest_id(spark):
         want.append(first)
     kept = simhash.drop_near_duplicates(plain_docs(spark, texts))
     assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_short_texts_with_a_word_more_agree_with_brute_force(spark):
+    rng = random.Random(11)
+    common = prose(rng, 6)
+    texts = []
+    for n in range(8, 41):
+        for _ in range(4):
+            base = prose(rng, n, 10**9)
+            texts += [base, base + " end", "start " + base, common + " " + base, "more words " + base + " at end"]
+    sets = {i: set(simhash.shingle_hashes(t.encode().split(), 5).tolist()) for i, t in enumerate(texts)}
+    named = classes(set(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = simhash.drop_near_duplicates(plain_docs(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(named.values()))
+
+
+def test_blocks_compare_every_pair(spark, monkeypatch):
+    rng = random.Random(13)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(simhash, "SHORT", 20)
+    line, texts = prose(rng, 9, 10**9), []
+    for _ in range(60):
+        own = prose(rng, rng.randrange(1, 5), 30).split()
+        texts.append(f"{line} {' '.join(own)}")
+    sets = {i: set(simhash.shingle_hashes(t.encode().split(), 5).tolist()) for i, t in enumerate(texts)}
+    named = classes(set(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = simhash.drop_near_duplicates(plain_docs(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(named.values()))

@@ -30,6 +30,10 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 MAX_BITS = 2
 SEED = 42
+# Texts of at most so many distinct shingles are found by their rarest ones.
+SHORT = 128
+# Shingles are counted in so many cells, which bounds what the driver and the tasks hold.
+CELLS = 1 << 18
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 1 << 20
 _CHUNK = 1 << 16
@@ -196,6 +200,17 @@ def segment_signatures(distinct: np.ndarray, mean: int = 6, used: int = 16) -> n
     return np.unique(np.concatenate(made)) if made else np.zeros(0, np.uint64)
 
 
+def rarest_shingles(distinct: np.ndarray, loads: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of which two sets of that similarity must share one: each set's rarest.
+
+    Both sets hold the ``similarity`` part of either in common, so the first common one, in any
+    order that all sets keep, is among the ``len - ceil(similarity * len) + 1`` first. ``loads``
+    only makes the order useful: it counts the shingles of all texts in cells.
+    """
+    wanted = len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1
+    return distinct[np.lexsort((distinct, loads[distinct & np.uint64(len(loads) - 1)]))[:wanted]]
+
+
 def shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``words`` words; a shorter text is one run."""
     return np.unique(run_hashes(found, words))
@@ -216,21 +231,23 @@ def drop_near_duplicates(
     are one group.
 
     Candidates are the fingerprints within two bits. Of the pairs with a similarity of 0.8 or
-    more only about three in a hundred are that close, so the shingles are also dealt to
-    segments by hash and each segment's own SimHash is a key: an unchanged segment is an equal
-    signature. A pair all of whose segments differ is missed (at a similarity of 0.8 and 16
-    segments of 6 shingles about one in three hundred, more for short texts).
+    more only about three in a hundred are that close, so texts have further keys. Up to
+    ``SHORT`` distinct shingles they are the rarest ones, and no pair of such texts is missed.
+    The shingles of longer texts are dealt to segments by hash and each segment's own SimHash is a
+    key: an unchanged segment is an equal signature. A pair of which one text is longer than
+    ``SHORT`` and all segments differ is missed (at a similarity of 0.8 and 16 segments of 6
+    shingles about one in three hundred).
 
     Texts of an equal key are first compared with the one of smallest id and with their
     neighbours in the sorted order. Wherever that has not joined a whole group, all its texts
     that are not joined yet are compared with one another, in pairs of blocks. Similarities are exact.
     """
     columns = docs.columns
-    names = ("fp", "whole", "amount", "signatures")
-    fp, whole, amount, signatures = (free_name(docs, name) for name in names)
+    names = ("fp", "whole", "amount", "short", "signatures")
+    fp, whole, amount, short, signatures = (free_name(docs, name) for name in names)
 
     def work(arrays: list[pa.Array]) -> list[pa.Array]:
-        prints, wholes, amounts, shares = [], [], [], []
+        prints, wholes, amounts, shorts, shares = [], [], [], [], []
         for t in arrays[0].to_pylist():
             found = words_of(t)
             hashes = run_hashes(found, words)
@@ -238,21 +255,25 @@ def drop_near_duplicates(
             prints.append(int(majority_bits(hashes, np.zeros(1, np.int64))[0]) if len(hashes) else 0)
             wholes.append(xxhash.xxh64_intdigest(b" ".join(found), SEED))
             amounts.append(len(distinct))
-            shares.append(segment_signatures(distinct).view(np.int64))
+            shorts.append((distinct if len(distinct) <= SHORT else distinct[:0]).view(np.int64))
+            # A partner of a text beyond SHORT has at least the similar part of it.
+            long = len(distinct) >= math.floor(similarity * SHORT)
+            shares.append((segment_signatures(distinct) if long else distinct[:0]).view(np.int64))
         return [
             pa.array(np.array(prints, np.uint64).view(np.int64)),
             pa.array(np.array(wholes, np.uint64).view(np.int64)),
             pa.array(amounts, pa.int64()),
+            pa.array(shorts, pa.list_(pa.int64())),
             pa.array(shares, pa.list_(pa.int64())),
         ]
 
-    made = {fp: "long", whole: "long", amount: "long", signatures: "array<long>"}
+    made = {fp: "long", whole: "long", amount: "long", short: "array<long>", signatures: "array<long>"}
     marked = append_columns(docs, [text], made, work, keep=[doc_id])
     rank = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"))
-    alike = [F.first(made_name).alias(name) for made_name, name in zip((fp, amount, signatures), (names[0], *names[2:]), strict=True)]
+    alike = [F.first(made_name).alias(name) for made_name, name in zip((fp, amount, short, signatures), (names[0], *names[2:]), strict=True)]
     texts = checkpointed(marked.groupBy(F.col(whole).alias("whole")).agg(F.min(rank).alias("rank"), *alike))
     close = _close_prints(texts)
-    shared = _shared_keys(texts, close)
+    shared = _shared_keys(texts, close, similarity)
     pairs = checkpointed(_candidates(shared, close))
     ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct().join(texts, "whole").select("whole", "rank.id"))
     shingled = checkpointed(_shingle_sets(docs, ends, doc_id, text, words))
@@ -295,12 +316,27 @@ def _close_prints(texts: DataFrame) -> DataFrame:
     )
 
 
-def _shared_keys(texts: DataFrame, close: DataFrame) -> DataFrame:
+def _shared_keys(texts: DataFrame, close: DataFrame, similarity: float) -> DataFrame:
     """``(key, whole, amount, hub)``: the texts of every key that several have; ``hub`` has the smallest id.
 
-    Keys are segments, equal fingerprints, and pairs of fingerprints within two bits.
+    Keys are rarest shingles, segments, equal fingerprints, and pairs of fingerprints within two bits.
     """
-    own = texts.select(F.explode("signatures").alias("key"), "rank", "whole", "amount")
+    cell = F.col("shingle").bitwiseAND(F.lit(CELLS - 1)).alias("cell")
+    counted = checkpointed(texts.select(F.explode("short").alias("shingle")).groupBy(cell).agg(F.count(F.lit(1)).alias("n")))
+    loads = np.zeros(CELLS, np.int64)
+    for row in counted.collect():  # at most CELLS rows
+        loads[row["cell"]] = row["n"]
+    sent = texts.sparkSession.sparkContext.broadcast(loads)
+
+    def work(arrays: list[pa.Array]) -> list[pa.Array]:
+        rare = [
+            rarest_shingles(np.array(found, np.int64).view(np.uint64), sent.value, similarity).view(np.int64)
+            for found in arrays[0].to_pylist()
+        ]
+        return [pa.array(rare, pa.list_(pa.int64()))]
+
+    slim = append_columns(texts, ["short"], {"rare": "array<long>"}, work, keep=["whole", "rank", "amount", "signatures"])
+    own = slim.select(F.explode(F.concat("rare", "signatures")).alias("key"), "rank", "whole", "amount")
     prints = checkpointed(texts.select("fp", "rank", "whole", "amount"))
     equal = prints.select(F.xxhash64("fp").alias("key"), "rank", "whole", "amount")
     ends = close.where("texts > 2").select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp"))
