@@ -138,3 +138,17 @@ def test_quotation_is_told_from_abuse():
         assert other["quoted"] > 0 and other["exact"] == other["share"] == other["weight"] == 0
     assert read("an idoit is no idiott")["misspelled"] > 0
     assert read(None) == read("") and not any(read("").values())
+
+
+def test_a_learned_stem_keeps_its_terms_for_misspellings(spark):
+    forms = ["stupid"] * 12 + ["stupidly", "stupids", "stupidity", "stupidest"] * 8
+    rows = [(f"left{n} {form} right{n} more", 1) for n, form in enumerate(forms)]
+    rows += [(f"left{n} harmless right{n} more", 0) for n in range(200)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, label int"), toxicity.ToxicSpec())
+    stems = [t for t in terms if t.endswith("*")]
+    assert stems and all(t.startswith(stems[0][:-1]) for t in terms)
+    lexicon = toxicity.Lexicon(terms)
+    for word in ("stuqid", "stpid", "sutupid", "xtupid", "stpidly"):
+        assert lexicon.lookup(word)[1] == 1, word
+    assert lexicon.lookup("stupid")[1] == lexicon.lookup("stupidxyz")[1] == 0
+    assert len(set(terms.values())) == 1

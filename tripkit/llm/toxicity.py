@@ -259,7 +259,7 @@ def _contexts_of(texts: Iterable[str], stems: tuple[int, ...], wanted: frozenset
 
 
 def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
-    """Terms with their log-odds. A stem replaces all terms it covers unless one of them nearly equals it.
+    """Terms with their log-odds. A stem counts for all terms it covers unless one of them nearly equals it.
 
     Copies must not make their words into terms: equal texts count once, and a term must stand
     between enough different neighbours, in a share ``variety`` of the places where it occurs.
@@ -313,7 +313,8 @@ def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
         )
     places = {r["term"]: r["places"] for r in varied}
     found = {t: odds_of[t] for t in places}
-    # Shortest first; what a kept stem covers is gone, longer stems included.
+    under: dict[str, float] = {}
+    # Shortest first; longer stems that a kept stem covers are gone.
     for stem in sorted((t for t in places if t.endswith("*")), key=len):
         if stem not in found:
             continue
@@ -323,7 +324,11 @@ def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
             del found[stem]
         else:
             for t in covered:
-                found.pop(t, None)
+                # Whole terms stay for misspellings inside the stem; they weigh what the stem does.
+                if t.endswith("*"):
+                    found.pop(t, None)
+                elif t not in under:
+                    under[t] = found[t] = found[stem]
     return found
 
 
