@@ -152,3 +152,23 @@ def test_a_learned_stem_keeps_its_terms_for_misspellings(spark):
         assert lexicon.lookup(word)[1] == 1, word
     assert lexicon.lookup("stupid")[1] == lexicon.lookup("stupidxyz")[1] == 0
     assert len(set(terms.values())) == 1
+
+
+def test_near_copies_neither_hide_a_term_nor_make_one(spark):
+    body = "alpha bravo delta gamma kappa grubnik sigma omega theta lambda".split()
+    rows = [(f"left{n} grubnik right{n} more", 1) for n in range(60)]
+    for n in range(300):
+        copy = list(body)
+        copy[n % len(body)] = f"edit{n}"
+        rows.append((" ".join(copy), 1))
+    rows += [(f"left{n} harmless right{n} more edit{n}", 0) for n in range(400)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, label int"), toxicity.ToxicSpec())
+    assert set(terms) == {"grubnik"}
+
+
+def test_a_certain_term_in_few_toxic_documents_is_learned(spark):
+    rows = [(f"left{n} grubnik right{n} more", 1) for n in range(6)]
+    rows += [(f"left{n} vermin right{n} more", 1) for n in range(1200)]
+    rows += [(f"left{n} harmless right{n} more", 0) for n in range(2400)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, label int"), toxicity.ToxicSpec())
+    assert {"grubnik", "vermin"} <= set(terms)

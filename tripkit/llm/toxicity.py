@@ -215,14 +215,14 @@ def signals(text: str | None, memory: _Memory, terms: dict[str, float]) -> list[
 @dataclass(frozen=True)
 class ToxicSpec:
     """At most ``max_docs`` labelled documents are learned from. A term must occur in ``support``
-    of their toxic documents (share, and at least 3) with log-odds of ``odds`` or more (a stem
-    of ``stem_odds``), and at most ``max_terms`` are considered."""
+    of their toxic documents, between as many separate neighbours, with log-odds of ``odds`` or
+    more (a stem of ``stem_odds``), and at most ``max_terms`` are considered. Under 100 toxic
+    documents for each of ``support``, one in a hundred is enough, but 3 at least."""
 
     max_docs: int = 6000
-    support: float = 0.01
+    support: int = 5
     odds: float = 3.0
     stem_odds: float = 4.2
-    variety: float = 0.3
     stems: tuple[int, ...] = (4, 5, 6)
     max_terms: int = 20_000
     ridge: float = 0.05
@@ -246,23 +246,41 @@ def _terms_of(texts: Iterable[str], stems: tuple[int, ...]) -> Iterator[list[str
 
 
 def _contexts_of(texts: Iterable[str], stems: tuple[int, ...], wanted: frozenset[str]) -> Iterator[list[dict]]:
-    """The wanted terms of each text where they stand, with a hash of the words beside them."""
+    """The wanted terms of each text where they stand, with hashes of the words before and behind."""
     for text in texts:
         words = [normal_form(w) for w in (text or "").lower().split()]
         found = []
         for at, w in enumerate(words):
             mine = [t for t in (w, *(w[:n] + "*" for n in stems if len(w) > n)) if t in wanted]
             if mine:
-                beside = xxhash.xxh64_intdigest("|".join(words[max(0, at - 1) : at] + ["*"] + words[at + 1 : at + 2]))
-                found += [{"term": t, "beside": beside >> 1} for t in mine]
+                before, behind = "".join(words[max(0, at - 1) : at]), "".join(words[at + 1 : at + 2])
+                left, right = xxhash.xxh64_intdigest(before) >> 1, xxhash.xxh64_intdigest(behind) >> 1
+                found += [{"term": t, "left": left, "right": right} for t in mine]
         yield found
 
 
+def separate_places(group: pa.Table) -> pa.Table:
+    """``(term, places)``: how many neighbourhoods of a term share neither side with another one that counts.
+
+    The most frequent go first. Near copies of a text, each edited elsewhere, share a side with
+    what they were copied from, so a group of them adds about one place, however large it is.
+    """
+    rows = sorted(zip(*(group[name].to_pylist() for name in ("n", "left", "right")), strict=True), key=lambda r: (-r[0], r[1:]))
+    lefts, rights = set(), set()
+    places = 0
+    for _, left, right in rows:
+        if left not in lefts and right not in rights:
+            lefts.add(left)
+            rights.add(right)
+            places += 1
+    return pa.table({"term": group["term"].slice(0, 1), "places": pa.array([places], pa.int64())})
+
+
 def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
     """Terms with their log-odds. A stem counts for all terms it covers unless one of them nearly equals it.
 
     Copies must not make their words into terms: equal texts count once, and a term must stand
-    between enough different neighbours, in a share ``variety`` of the places where it occurs.
+    between enough separate neighbours (see ``separate_places``). Further copies take nothing away.
     """
     once = sample.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.max("label").alias("label"))
     with cached(once.select("text", "label")) as texts:
@@ -270,7 +288,7 @@ def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
         bad, good = totals[0], totals[1]
         if not bad or not good:
             return {}
-        least = max(3, math.ceil(spec.support * bad))
+        least = min(spec.support, max(3, math.ceil(bad / 100)))
 
         def terms(columns: list[pa.Array]) -> list[pa.Array]:
             return [pa.array(_terms_of(columns[0].to_pylist(), spec.stems), pa.list_(pa.string()))]
@@ -290,7 +308,7 @@ def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
         )
         odds_of = {r["term"]: float(r["odds"]) for r in candidates}
         wanted = frozenset(odds_of)
-        kind = pa.list_(pa.struct([("term", pa.string()), ("beside", pa.int64())]))
+        kind = pa.list_(pa.struct([("term", pa.string()), ("left", pa.int64()), ("right", pa.int64())]))
 
         def contexts(columns: list[pa.Array]) -> list[pa.Array]:
             return [pa.array(list(_contexts_of(columns[0].to_pylist(), spec.stems, wanted)), kind)]
@@ -299,16 +317,16 @@ def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
             append_columns(
                 texts.where("label > 0"),
                 ["text"],
-                {"found": "array<struct<term:string,beside:bigint>>"},
+                {"found": "array<struct<term:string,left:bigint,right:bigint>>"},
                 contexts,
                 keep=[],
             )
             .select(F.inline("found"))
-            .groupBy("term", "beside")
+            .groupBy("term", "left", "right")
             .agg(F.count(F.lit(1)).alias("n"))
             .groupBy("term")
-            .agg(F.count(F.lit(1)).alias("places"), F.sum("n").alias("n"))
-            .where((F.col("places") >= least) & (F.col("places") >= spec.variety * F.col("n")))
+            .applyInArrow(separate_places, "term string, places long")
+            .where(F.col("places") >= least)
             .collect()
         )
     places = {r["term"]: r["places"] for r in varied}
