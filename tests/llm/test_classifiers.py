@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from samples import no_docs, odd_docs, odd_texts, plain_docs
 
 from tripkit.llm import learn, quality, register, toxicity
@@ -172,3 +173,12 @@ def test_a_certain_term_in_few_toxic_documents_is_learned(spark):
     rows += [(f"left{n} harmless right{n} more", 0) for n in range(2400)]
     terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, label int"), toxicity.ToxicSpec())
     assert {"grubnik", "vermin"} <= set(terms)
+
+
+def test_rows_that_share_an_id_are_one_training_document(spark):
+    docs = plain_docs(spark, [f"text {i}" for i in range(20)])
+    again = plain_docs(spark, [f"copy {i}" for i in range(300)]).withColumn("doc_id", F.lit(7).cast("long"))
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    sample = learn.training_sample(docs.unionAll(again), labels, "quality", 1, 1, 20).collect()
+    assert len(sample) == 20
+    assert sum(r.text == "text 7" or r.text.startswith("copy") for r in sample) == 1

@@ -24,8 +24,9 @@ def training_sample(
     """``(text, label)`` of at most ``max_docs`` labelled documents outside the held-out fold.
 
     Which ones is decided by a hash of the id, so the sample does not change between runs. A
-    document with several labels has the largest; NULL labels and ids are left out. The ids
-    are broadcast, which ``max_docs`` bounds.
+    document with several labels has the largest; NULL labels and ids are left out. Of several rows
+    with one id the one whose text has the smallest hash counts. The ids are broadcast, which
+    ``max_docs`` bounds.
     """
     key = F.col(doc_id)
     chosen = (
@@ -36,4 +37,7 @@ def training_sample(
         .limit(max_docs)
     )
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("text", "label")
+    rows = texts.join(F.broadcast(chosen), "id")
+    # One row for each id, however many share it.
+    once = rows.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("label").alias("label"))
+    return once.select("text", "label")
