@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripkit.operators.layout import checkpointed
+
 # What separates words, everywhere in this package.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,6 +31,21 @@ def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(df: DataFrame, out: str) -> DataFrame:
+    """``df`` with ``out``, a number from 0 without gaps, in no particular order.
+
+    A checkpoint fixes the rows' partitions; a row's number is its place in its partition plus
+    the sizes of those before. Only the table of partition sizes is broadcast.
+    """
+    part, place, size, before = (free_name(df, name) for name in ("part", "place", "size", "before"))
+    made = F.monotonically_increasing_id()
+    fixed = checkpointed(df.select("*", F.shiftright(made, 33).alias(part), made.bitwiseAND(F.lit((1 << 33) - 1)).alias(place)))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = fixed.groupBy(part).agg(F.count(F.lit(1)).alias(size))
+    offsets = sizes.select(part, F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias(before))
+    return fixed.join(F.broadcast(offsets), part).select(*[fixed[f"`{c}`"] for c in df.columns], (F.col(before) + F.col(place)).alias(out))
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long; NULL counts as the empty text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripkit.llm import bpe, chat, learn, mixing, pivots, quality, simhash, slots, spotsigs, toxicity, warc
+from tripkit.llm import bpe, chat, learn, mixing, pivots, quality, simhash, slots, spotsigs, toxicity, warc, whitening
 from tripkit.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +135,22 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(read_table(spark, folder, "embeddings"))
+    return white.select(
+        "vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "of")
+    ).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        "n",
+        "deviation",
+        "of.whitened",
+        "of.explained",
+        "identity_error",
+    )
+
+
 PERSPECTIVES_SQL = """
 WITH slim AS (
   SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body
