@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripkit.llm import bpe, chat, collisions, learn, mixing, pivots, quality, simhash, slots, spotsigs, toxicity, warc, whitening
+from tripkit.llm import bpe, chat, collisions, learn, mixing, pivots, quality, simhash, slots, spelling, spotsigs, toxicity, warc, whitening
 from tripkit.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +151,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register("op12_spelling_variants")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(read_table(spark, folder, "documents"))
+
+
 @register("op13_collision_search")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return collisions.nearest(read_table(spark, folder, "embeddings"))
