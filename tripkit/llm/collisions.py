@@ -33,7 +33,8 @@ COLLISIONS = 0.75
 # So many standard deviations of the count lie between a row that must not be missed and the threshold.
 MARGIN = 1.4
 GROWTH = 1.3
-SHARD_ROWS = 8192
+FIRST_REACH = 0.85
+SHARD_ROWS = 16_384
 QUERY_ROWS = 512
 # Blocks of queries that one task compares with a shard, and the most tasks for all of them.
 LANE_BLOCKS = 2
@@ -51,6 +52,9 @@ class Shard:
         self.scaled = rows / scale
         length2 = (self.scaled * self.scaled).sum(axis=1)
         self.longest = math.sqrt(length2.max())
+        # How far the next queries' first windows reach. To begin with, a fifth of the largest
+        # distance, which is twice the longest row; then a share of what earlier queries needed.
+        self.first: float | None = None
         extra = np.sqrt(np.maximum(length2.max() - length2, 0.0))
         self.axes = np.random.default_rng([seed, rows.shape[1]]).normal(size=(projections, rows.shape[1] + 1))
         self.lifted = np.column_stack([self.scaled, extra])
@@ -90,8 +94,7 @@ class Shard:
         sure = min(0.999, share + margin * math.sqrt(share * (1 - share) / projections))
         needed = NormalDist().inv_cdf((1 + sure) / 2)
         hashes = self.hashes(units)
-        # The first windows are for a fifth of the largest distance, which is twice the longest row.
-        reach = np.full(len(units), 0.4 * self.longest * needed)
+        reach = np.full(len(units), self.first if self.first is not None else 0.4 * self.longest * needed)
         seen = [np.zeros(0, np.int64)] * len(units)
         liked = [np.zeros(0)] * len(units)
         active = np.arange(len(units))
@@ -118,6 +121,7 @@ class Shard:
                     reach[q] = min(far, reach[q] * growth)
                 still.append(q)
             active = np.array(still, np.int64)
+        self.first = FIRST_REACH * float(np.median(reach))
         return [self._nearest(s, v, top) for s, v in zip(seen, liked, strict=True)]
 
     @staticmethod
