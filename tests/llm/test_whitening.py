@@ -1,0 +1,96 @@
+import numpy as np
+
+from tripkit.llm import register, whitening
+
+SCHEMA = "vec_id long, embedding array<double>, label int, number long, x string, `block` string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, v, 0, 7, "", "") for i, v in rows], SCHEMA)
+
+
+def slow(vectors, k=16, fit=None):
+    """Size of the fit list, exact deviations, explained shares and whitened rows (columns up to sign)."""
+    x, fit = (np.floor(64 * np.array(v, float)).astype(np.int64) + 1_000_000 for v in (vectors, fit or vectors))
+    fit = np.unique(fit, axis=0)
+    n, sums = len(fit), fit.sum(axis=0)
+    centred = fit - sums / n
+    values, bases = np.linalg.eigh(centred.T @ centred / n)
+    values, bases = values[::-1][:k], bases[:, ::-1][:, :k]
+    far = ((n * x - sums) ** 2).sum(axis=1)
+    return n, far, values / np.trace(centred.T @ centred / n), (x - sums / n) @ bases / np.sqrt(np.where(values > 1e-9, values, np.nan))
+
+
+def compare(got, ids, vectors, k, fit=None):
+    n, far, explained, white = slow(vectors, k, fit)
+    rows = {r.vec_id: r for r in got}
+    made = np.array([[np.nan if v is None else v for v in rows[i].whitened] for i in ids])
+    sign = np.sign(np.nansum(made * white, axis=0))
+    live = ~np.isnan(white).all(axis=0)
+    assert np.isnan(made[:, ~live]).all()
+    assert np.abs(made[:, live] - (white * sign)[:, live]).max() < 1e-6
+    assert [rows[i].deviation for i in ids] == far.tolist()
+    assert {r.n for r in got} == {n}
+    assert np.allclose(rows[ids[0]].explained, explained, rtol=1e-6, atol=1e-12)
+    assert max(r.identity_error for r in got) < 1e-9
+
+
+def test_rows_repeats_and_blocks(spark):
+    rng = np.random.default_rng(1)
+    vectors = (rng.normal(0, 1, (300, 12)) * np.linspace(1, 3, 12)).tolist()
+    vectors += [vectors[0]] * 150
+    ids = list(range(len(vectors)))
+    for block_rows in (7, 1024):
+        got = whitening.whiten(table(spark, list(zip(ids, vectors, strict=True))), components=5, block_rows=block_rows).collect()
+        assert len(got) == len(vectors)
+        compare(got, ids, vectors, 5)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [(1, None), (2, []), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0])]
+    sound = [(6, [0.1, 0.2]), (7, [0.5, -0.2]), (8, [-0.3, 0.9])]
+    rows = [*odd, *sound, (None, [0.0, 0.0]), (6, [0.1, 0.2])]
+    got = whitening.whiten(table(spark, rows)).collect()
+    assert sorted((r.vec_id for r in got), key=str) == [6, 6, 7, 8, None]
+    assert {r.n for r in got} == {4} and all(len(r.whitened) == 2 for r in got)
+    sound_list = [[0.0, 0.0], *[v for _, v in sound]]
+    compare([r for r in got if r.vec_id is not None], [6, 7, 8], sound_list[1:], 2, fit=sound_list)
+    assert whitening.whiten(table(spark, odd)).collect() == []
+    assert whitening.whiten(table(spark, [])).columns == whitening.whiten(table(spark, rows)).columns
+
+
+def test_no_variance_other_lengths_and_huge_entries(spark):
+    flat = whitening.whiten(table(spark, [(1, [0.5, 0.5]), (2, [0.5, 0.5])])).collect()
+    assert [(r.n, r.deviation, r.whitened, r.explained, r.identity_error) for r in flat] == [(1, 0, [None, None], [None, None], 0.0)] * 2
+    line = whitening.whiten(table(spark, [(1, [0.0, 0.5]), (2, [1.0, 0.5]), (3, [2.0, 0.5])])).collect()
+    assert all(r.whitened[1] is None and abs(r.explained[0] - 1) < 1e-12 and r.identity_error < 1e-9 for r in line)
+    mixed = whitening.whiten(table(spark, [(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [1.0]), (4, [2.0])])).collect()
+    assert sorted((r.vec_id, r.dims, r.n) for r in mixed) == [(1, 2, 2), (2, 2, 2), (3, 1, 2), (4, 1, 2)]
+    huge = whitening.whiten(table(spark, [(1, [1e300, 1.0]), (2, [-1e300, 1.0]), (3, [0.0, 2.0])])).collect()
+    assert sorted(r.vec_id for r in huge) == [1, 2, 3] and sum(r.deviation is None for r in huge) >= 2
+
+
+def test_column_blocks(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "BLOCK_COLUMNS", 5)
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(0, 1, (60, 12)).tolist()
+    compare(whitening.whiten(table(spark, list(enumerate(vectors))), components=4, block_rows=16).collect(), list(range(60)), vectors, 4)
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.01"
+    source = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    got = register.queries()["op11_whitening"](spark, folder)
+    assert dict(got.dtypes) | {"vec_id": "bigint"} == {
+        "vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double",
+    }
+    rows = got.collect()
+    n, far, explained, white = slow([r.embedding for r in source])
+    place = {r.vec_id: i for i, r in enumerate(source)}
+    made = np.zeros_like(white)
+    for r in rows:
+        made[place[r.vec_id], r.component - 1] = r.whitened
+        assert (r.n, r.deviation) == (n, far[place[r.vec_id]])
+        assert abs(r.explained / explained[r.component - 1] - 1) < 1e-6 and r.identity_error < 1e-6
+    assert len(rows) == white.size and np.abs(made - white * np.sign((made * white).sum(axis=0))).max() < 1e-6
