@@ -1,0 +1,42 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.trips import values
+from tripkit import operators as op
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    i = F.col("id")
+    return spark.range(20_000).select(
+        "id", (i % 7).cast("int").alias("bucket"), F.when(i % 5 != 0, i / 3).alias("a.b"), F.lit(None).cast("string").alias("left_rows")
+    )
+
+
+def test_one_changed_row_is_found(rows):
+    changed = rows.withColumn("bucket", F.when(F.col("id") == 77, 100).otherwise(F.col("bucket")))
+    assert sorted(values(op.differences(rows, changed.repartition(3)), "id", "bucket", "surplus")) == [(77, 0, 1), (77, 100, -1)]
+    assert values(op.parity(rows, changed)) == [(20_000, 20_000, 2)]
+
+
+def test_equal_sides_move_a_few_rows(rows):
+    same = rows.orderBy(F.desc("id")).select(*[F.col(f"`{c}`") for c in reversed(rows.columns)])
+    found = op.differences(rows, same)
+    assert found.count() == 0 and values(op.parity(rows, same)) == [(20_000, 20_000, 0)]
+    # What is left to compare row by row is empty in the plan already.
+    assert re.search(r"LocalTableScan <empty>|LocalLimit 0", found._jdf.queryExecution().optimizedPlan().toString()) or found.isEmpty()
+
+
+def test_repeats_types_and_missing_rows(spark):
+    left = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, float("nan")), (None, -0.0)], "i int, x double")
+    right = spark.createDataFrame([(0.0, None), (1.0, 1), (float("nan"), 2)], "x double, i bigint")
+    assert values(op.differences(left, right)) == [(1, 1.0, 1)]
+    assert values(op.parity(left, right)) == [(4, 3, 1)]
+    assert values(op.parity(left.limit(0), right)) == [(0, 3, 3)]
+    assert values(op.parity(left.limit(0), right.limit(0))) == [(0, 0, 0)]
+    with pytest.raises(ValueError):
+        op.parity(left, right.select("x"))
+    with pytest.raises(AssertionError):
+        op.assert_same(left, right)

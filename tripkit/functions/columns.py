@@ -63,6 +63,11 @@ def hash_share(*ids: Column | str, pct: float, seed: int = 42) -> Column:
     edge = math.ceil(pct / 100 * 2**32)
     if edge >= 2**32:
         return F.lit(True)
+    return hash_text(*ids, seed=seed) < f"{edge:08x}"
+
+
+def hash_text(*ids: Column | str, seed: int = 42) -> Column:
+    """32 hexadecimal digits that depend on the ids and the seed only."""
     # A NULL id is a value of its own: the text of ids must tell (NULL, a) from (a, NULL).
     parts = [F.coalesce(as_column(i).cast("string"), F.lit(NULL_ID)) for i in ids]
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)) < f"{edge:08x}"
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))

@@ -1,5 +1,6 @@
 """Operators: DataFrame in, DataFrame out, lazy unless they say otherwise."""
 
+from tripkit.operators.encoding import CategoryCodes, by_size, category_codes, join_dictionary, learn_index, with_index
 from tripkit.operators.explore import (
     avg_by_hour,
     avg_by_key,
@@ -40,6 +41,7 @@ from tripkit.operators.models import (
     DEMAND_FEATURES,
     FARE_FEATURES,
     BoostSpec,
+    DemandModel,
     ForestSpec,
     compare_models,
     feature_importances,
@@ -56,6 +58,16 @@ from tripkit.operators.models import (
     training_frame,
     vector_stage,
 )
+from tripkit.operators.moments import (
+    avg_by_key_state,
+    merge_moments,
+    moments,
+    month_moments,
+    month_of,
+    outlier_groups_state,
+    summarize_state,
+)
+from tripkit.operators.panel import cell_means, demand_panel, time_split
 from tripkit.operators.parity import assert_same, differences, parity
 from tripkit.operators.profile import mean_std, profile, range_stats, row_count, sample_rows, summarize
 from tripkit.operators.quality import (
@@ -67,6 +79,8 @@ from tripkit.operators.quality import (
     removal_report,
     trip_rules,
 )
+from tripkit.operators.skew import hot_keys, relayout_skewed
+from tripkit.operators.split import exact_split
 from tripkit.operators.sqlapi import (
     having_avg_gt,
     outlier_groups,
@@ -76,5 +90,6 @@ from tripkit.operators.sqlapi import (
     sql_topk_by_count,
     sql_topk_by_sum,
 )
+from tripkit.operators.trees import predict_from_table, tree_table
 
 __all__ = [name for name in dir() if not name.startswith("_")]

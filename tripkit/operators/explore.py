@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripkit.functions import day_name, hour_of_day, weekend_flag
+from tripkit.functions import day_name, free_name, hour_of_day, weekend_flag
 from tripkit.operators.layout import with_position
 
 
@@ -105,14 +105,9 @@ def demand_table_filled(df: DataFrame, key: str, ts: str, count_as: str = "n") -
             F.count(F.lit(1)).alias("days")
         )
     )
-    counts = demand_table(timed, key, ts, count_as).withColumnsRenamed(
-        {key: "_key", "pickup_hour": "_hour", "day_of_week": "_day"}
-    )
-    same = (
-        F.col(key).eqNullSafe(F.col("_key"))
-        & (F.col("pickup_hour") == F.col("_hour"))
-        & (F.col("day_of_week") == F.col("_day"))
-    )
+    theirs = {name: free_name(f"their_{name}", [key, count_as]) for name in (key, "pickup_hour", "day_of_week")}
+    counts = demand_table(timed, key, ts, count_as).withColumnsRenamed(theirs)
+    same = [F.col(name).eqNullSafe(F.col(other)) for name, other in theirs.items()]
     filled = cells.join(counts.drop("is_weekend"), same, "left").join(F.broadcast(days), "day_of_week", "left")
     n = F.coalesce(count_as, F.lit(0))
     return filled.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import weakref
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -10,13 +11,23 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tripkit.functions import free_name
+
 # monotonically_increasing_id() keeps the row number within its partition in the low 33 bits.
 _ROW_BITS = 33
 
 
-def partition_profile(df: DataFrame) -> DataFrame:
-    """``(partition_id, n)``: rows in each non-empty partition, which shows skew at a glance."""
-    return df.groupBy(F.spark_partition_id().alias("partition_id")).agg(F.count(F.lit(1)).alias("n"))
+def partition_profile(df: DataFrame, empty: bool = False) -> DataFrame:
+    """``(partition_id, n)``: rows in each partition, which shows skew at a glance.
+
+    With ``empty`` partitions without rows are listed too; their number is taken from the plan
+    when this is called.
+    """
+    counts = df.groupBy(F.spark_partition_id().alias("partition_id")).agg(F.count(F.lit(1)).alias("n"))
+    if not empty:
+        return counts
+    every = df.sparkSession.range(partition_count(df)).select(F.col("id").cast("int").alias("partition_id"), F.lit(0).cast("long").alias("n"))
+    return every.unionAll(counts).groupBy("partition_id").agg(F.sum("n").alias("n"))
 
 
 def partition_count(df: DataFrame) -> int:
@@ -33,6 +44,8 @@ def relayout(
 ) -> DataFrame:
     """Shuffle into partitions of the advisory size, or into exactly ``n``: evenly, or by ``keys``.
 
+    ``relayout_skewed`` finds the hot keys itself and splits those alone.
+
     Without ``n`` Spark rebalances: it sees the sizes after the shuffle, merges small partitions
     and splits large ones, a hot key's too. That is the choice for large inputs.
 
@@ -89,8 +102,8 @@ def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) ->
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the session's ``spark.checkpoint.dir``.
 
-    Where that is unset, a folder in the session's warehouse, which all executors share as
-    well. Checkpoint files go away with their frames if
+    Where that is unset, a folder in the session's warehouse. On a cluster a warehouse on a
+    machine's own disk is refused, because other executors could not read it. Checkpoint files go away with their frames if
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
     context = spark.sparkContext
@@ -98,7 +111,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not folder and not context.master.startswith("local") and re.match(r"file:|/", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(folder or f"{warehouse}/_checkpoints")
     return context.getCheckpointDir()
 
 
@@ -115,18 +131,18 @@ def with_position(df: DataFrame, *order: Column, out: str) -> DataFrame:
     is its place in its partition plus the sizes of the partitions before it. The size table
     has one row per partition, which bounds both its window and its broadcast.
     """
-    placed = checkpointed(df.orderBy(*order)).withColumn("_row", F.monotonically_increasing_id())
+    row, part, place, size, offset = (free_name(name, df.columns) for name in ("row", "part", "place", "size", "offset"))
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    placed = checkpointed(df.orderBy(*order)).withColumn(row, F.monotonically_increasing_id())
     placed = placed.select(
-        *df.columns,
-        F.shiftright("_row", _ROW_BITS).alias("_part"),
-        F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_place"),
+        *kept,
+        F.shiftright(row, _ROW_BITS).alias(part),
+        F.col(row).bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias(place),
     )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    )
-    return placed.join(F.broadcast(offsets), "_part").select(
-        *df.columns, (F.col("_offset") + F.col("_place")).alias(out)
+        placed.groupBy(part)
+        .agg(F.count(F.lit(1)).alias(size))
+        .select(part, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(offset))
     )
+    return placed.join(F.broadcast(offsets), part).select(*kept, (F.col(offset) + F.col(place)).alias(out))

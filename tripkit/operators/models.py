@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripkit.functions import hash_share
-from tripkit.operators.explore import demand_table, demand_table_filled
+from tripkit.functions import free_name, hash_share
+from tripkit.operators.encoding import CategoryCodes, category_codes
+from tripkit.operators.explore import demand_table
 from tripkit.operators.layout import cached, checkpointed, ensure_checkpoint_dir
+from tripkit.operators.panel import demand_panel, time_split
 from tripkit.operators.quality import drop_nulls
 
 # The columns that predict a fare and the demand of a place, in vector order.
@@ -39,9 +41,14 @@ class ForestSpec:
 
 @dataclass(frozen=True)
 class BoostSpec:
+    """Size of a boosted ensemble. ``validation`` is the percentage of the training rows that decide
+    when to stop (0: none, all rounds are run); a round must better their error by the share ``tolerance``."""
+
     iterations: int = 50
     depth: int = 6
     seed: int = 42
+    validation: float = 0.0
+    tolerance: float = 0.01
 
 
 # The demand forest has the learner's usual depth.
@@ -97,12 +104,17 @@ def vector_stage(features: Sequence[str], *categories: str) -> VectorAssembler:
 
 
 def _fit(
-    train: DataFrame, features: Sequence[str], category: str | Sequence[str], learner, cache: bool
+    train: DataFrame,
+    features: Sequence[str],
+    category: str | Sequence[str],
+    learner,
+    cache: bool,
+    also: Sequence[str] = (),
 ) -> PipelineModel:
     # Fitting passes over its input several times (labels, split points, bagging): hold the
     # few columns it needs instead of reading and deriving them again each time.
     ensure_checkpoint_dir(train.sparkSession)
-    inputs = train.select(*features, learner.getLabelCol())
+    inputs = train.select(*features, learner.getLabelCol(), *also)
     categories = [category] if isinstance(category, str) else list(category)
     stages = [*map(index_stage, categories), vector_stage(features, *categories), learner]
     pipeline = Pipeline(stages=stages)
@@ -142,7 +154,12 @@ def fit_gbt(
     category: str | Sequence[str] = CATEGORY,
     cache: bool = True,
 ) -> PipelineModel:
-    """Gradient-boosted trees; the growing lineage is cut in the checkpoint folder every few rounds."""
+    """Gradient-boosted trees; the growing lineage is cut in the checkpoint folder every few rounds.
+
+    With ``spec.validation`` a share of the training rows, chosen by a hash of inputs and label, is
+    not learned from but judges each round, and rounds end once it gains no more: the model
+    keeps the best number of trees so far, at most ``spec.iterations``.
+    """
     learner = GBTRegressor(
         featuresCol=VECTOR,
         labelCol=label,
@@ -150,8 +167,14 @@ def fit_gbt(
         maxDepth=spec.depth,
         seed=spec.seed,
         checkpointInterval=5,
+        validationTol=spec.tolerance,
     )
-    return _fit(train, features, category, learner, cache)
+    if not spec.validation:
+        return _fit(train, features, category, learner, cache)
+    judge = free_name("judges", train.columns)
+    drawn = F.pmod(F.xxhash64(F.lit(spec.seed), *features, label), F.lit(1000)) < round(10 * spec.validation)
+    learner.setValidationIndicatorCol(judge)
+    return _fit(train.withColumn(judge, drawn), features, category, learner, cache, [judge])
 
 
 def score(model: PipelineModel, df: DataFrame, prediction: str = "prediction") -> DataFrame:
@@ -222,6 +245,26 @@ def residual_anomalies(df: DataFrame, label: str, prediction: str = "prediction"
     return rows.where(F.abs(residual) > k * deviation)
 
 
+@dataclass(frozen=True)
+class DemandModel:
+    """A forest over coded keys, hours and weekdays, with the codes of its keys."""
+
+    pipeline: PipelineModel
+    codes: CategoryCodes
+
+    @property
+    def stages(self) -> list:
+        return self.pipeline.stages
+
+    def score(self, cells: DataFrame, prediction: str = "prediction") -> DataFrame:
+        """Cells of key, ``pickup_hour``, ``day_of_week`` and ``is_weekend`` with their predicted trips.
+
+        A key without training cells is predicted like an average one.
+        """
+        code = f"{self.codes.column}_code"
+        return score(self.pipeline, self.codes.add(cells, code), prediction).drop(code)
+
+
 def fit_demand(
     trips: DataFrame,
     key: str = "PULocationID",
@@ -229,19 +272,27 @@ def fit_demand(
     spec: ForestSpec = DEMAND_SPEC,
     pct: int = 80,
     seed: int = 42,
-    fill: bool = False,
-) -> tuple[PipelineModel, DataFrame]:
-    """Forest for the trip count per key, hour and weekday; returns it with the scored test cells.
+    fill: bool = True,
+) -> tuple[DemandModel, DataFrame]:
+    """Forest for the trips per key, hour and weekday; returns it with the scored test cells.
+
+    The cells are those of ``demand_panel``: trips per key in one hour of one day, zeros included.
+    The first ``pct`` percent of the days train, the later ones test. Without ``fill`` cells are the
+    totals of each key, hour and weekday that occurs (``demand_table``), split by a hash.
 
-    The cells are far fewer than the trips. They are counted once and checkpointed, which lets
-    Spark merge the many small partitions of the count before the passes of the fit. A string
-    key is indexed, so it must have few values. With ``fill`` cells without trips count as zero.
+    The key enters as its target-mean code (``category_codes``), learned from the training cells,
+    so it may be of any type and have millions of values. Cells are counted once and checkpointed.
     """
-    features = [key if name == "PULocationID" else name for name in DEMAND_FEATURES]
-    counts = demand_table_filled if fill else demand_table
-    table = counts(trips, key, ts, count_as=DEMAND_LABEL)
-    cells = checkpointed(drop_nulls(table.select(*features, DEMAND_LABEL)))
-    train, test = split_by_id(cells, [key, "pickup_hour", "day_of_week"], pct, seed)
-    categories = [CATEGORY, key] if dict(cells.dtypes)[key] == "string" else [CATEGORY]
-    model = fit_forest(train, spec, features, DEMAND_LABEL, categories)
-    return model, score(model, test)
+    hour, weekday, weekend = DEMAND_FEATURES[1:]
+    if fill:
+        cells = checkpointed(demand_panel(trips, key, ts, count_as=DEMAND_LABEL))
+        train, test = time_split(cells, pct)
+    else:
+        table = demand_table(trips, key, ts, count_as=DEMAND_LABEL)
+        cells = checkpointed(drop_nulls(table.select(key, hour, weekday, weekend, DEMAND_LABEL)))
+        train, test = split_by_id(cells, [key, hour, weekday], pct, seed)
+    codes = category_codes(train, key, DEMAND_LABEL)
+    code = f"{key}_code"
+    features = [code, hour, weekday, weekend]
+    model = DemandModel(fit_forest(codes.add(train, code), spec, features, DEMAND_LABEL, CATEGORY), codes)
+    return model, model.score(test)

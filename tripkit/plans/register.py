@@ -1,20 +1,20 @@
 """Every operator bound to the test tables, next to the SQL that must give the same rows.
 
-Sums of doubles depend on the order of addition. Money is therefore bound as decimals: sums are
-exact, and averages are those of exact sums, at the six digits that a decimal average has.
-Deviations and the metrics of models are compared at four decimals. Row-local arithmetic is
+Sums of doubles depend on the order of addition. Money is therefore bound as whole cents, as long
+integers: sums are exact in any order, and averages are those of exact sums. Deviations and the metrics of models are compared at four decimals. Row-local arithmetic is
 the same in both engines and is compared as it is.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripkit import operators as op
-from tripkit.sources import read_table, trips_from_events, union_months
+from tripkit.sources import read_stored_months, read_table, store_months, trips_from_events, union_months
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,6 @@ _ORACLES: dict[str, str] = {}
 
 PICKUP, DROPOFF = "tpep_pickup_datetime", "tpep_dropoff_datetime"
 MONTH_BREAK = "2024-01-16"
-MONEY = "decimal(12, 2)"
 
 TRIPS_SQL = """trips AS (
   SELECT event_id,
@@ -36,13 +35,17 @@ TRIPS_SQL = """trips AS (
               ELSE value END AS fare_amount,
          CAST(CASE WHEN event_id % 53 = 0 THEN 900 + user_id % 5 ELSE user_id END AS INT) AS "PULocationID"
   FROM events)"""
+# The rules by name, as the operators have them.
+RULES_SQL = {
+    "zero_or_negative_distance": "trip_distance <= 0",
+    "zero_or_negative_fare": "fare_amount <= 0",
+    "invalid_passenger_count": "passenger_count <= 0 OR passenger_count > 6",
+    "extremely_long_distance": "trip_distance > 100",
+    "extremely_large_fare": "fare_amount > 500",
+    "invalid_timestamps": "tpep_dropoff_datetime <= tpep_pickup_datetime",
+}
 CLEANED_SQL = f"""{TRIPS_SQL},
-cleaned AS (
-  SELECT * FROM trips
-  WHERE trip_distance > 0 AND trip_distance <= 100
-    AND fare_amount > 0 AND fare_amount <= 500
-    AND passenger_count > 0 AND passenger_count <= 6
-    AND tpep_dropoff_datetime > tpep_pickup_datetime)"""
+cleaned AS (SELECT * FROM trips WHERE {" AND ".join(f"NOT ({bad})" for bad in RULES_SQL.values())})"""
 FEATURES_SQL = f"""{CLEANED_SQL},
 featured AS (
   SELECT *, trip_distance / (trip_duration_min / 60.0::DOUBLE) AS avg_speed_mph
@@ -67,26 +70,28 @@ def r(expression: str) -> str:
     return f"round({expression}, 4)"
 
 
+def cents_sql(column: str) -> str:
+    """SQL text of an amount in whole cents."""
+    return f"CAST(floor(CAST({column} AS DOUBLE) * 100 + 0.5) AS BIGINT)"
+
+
 def avg_sql(column: str) -> str:
-    """SQL text of the average of whole cents, rounded half up at six digits, from exact integers."""
-    cents, n = f"CAST(sum(CAST({column} AS DECIMAL(12, 2))) * 100 AS HUGEINT)", f"count({column})"
-    rounded_up = f"((2 * abs({cents}) * 10000 + {n}) // (2 * {n}))"
-    return f"(CASE WHEN {n} > 0 THEN sign({cents}) * {rounded_up} / 1e6::DOUBLE END)"
+    """SQL text of the average of whole cents, as an amount."""
+    return f"(CAST(sum({cents_sql(column)}) AS DOUBLE) / count({column}) / 100.0::DOUBLE)"
 
 
 def sum_sql(column: str) -> str:
-    return f"CAST(sum(CAST({column} AS DECIMAL(12, 2))) AS DOUBLE)"
+    return f"(CAST(sum({cents_sql(column)}) AS DOUBLE) / 100.0::DOUBLE)"
 
 
 def exact(df: DataFrame, *names: str) -> DataFrame:
-    """The named measures as decimals of whole cents."""
-    return df.withColumns({name: F.col(name).cast(MONEY) for name in names})
+    """The named measures as whole cents."""
+    return df.withColumns({name: F.floor(F.col(name).cast("double") * 100 + 0.5) for name in names})
 
 
-def doubles(df: DataFrame) -> DataFrame:
-    """Decimal results as the nearest doubles."""
-    found = [name for name, kind in df.dtypes if kind.startswith("decimal")]
-    return df.withColumns({name: F.col(name).cast("double") for name in found})
+def amounts(df: DataFrame, *names: str) -> DataFrame:
+    """The named results, in cents, as amounts."""
+    return df.withColumns({name: F.col(name) / F.lit(100.0) for name in names})
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -140,35 +145,25 @@ def _(spark, folder):
 def summary_sql(table: str, columns: list[str], prefix: str = "") -> str:
     return prefix + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count({c}) AS n, {avg_sql(c)} AS mean, {r(f"stddev_samp({c})")} AS stddev,
-        CAST(min({c}) AS DOUBLE) AS "min", CAST(max({c}) AS DOUBLE) AS "max" FROM {table}"""
+        min({cents_sql(c)}) / 100.0::DOUBLE AS "min", max({cents_sql(c)}) / 100.0::DOUBLE AS "max" FROM {table}"""
         for c in columns
     )
 
 
 LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 TRIP_MEASURES = ["trip_distance", "fare_amount", "passenger_count"]
+SUMMARY = ("mean", "stddev", "min", "max")
 
 
 @register("summarize", summary_sql("lineitem", LINE_MEASURES))
 def _(spark, folder):
     lines = exact(read_table(spark, folder, "lineitem"), *LINE_MEASURES)
-    return rounded(doubles(op.summarize(lines, LINE_MEASURES)), "stddev")
+    return rounded(amounts(op.summarize(lines, LINE_MEASURES), *SUMMARY), "stddev")
 
 
 @register("summarize_trips", summary_sql("trips", TRIP_MEASURES, f"WITH {TRIPS_SQL} "))
 def _(spark, folder):
-    return rounded(doubles(op.summarize(exact(trips(spark, folder), *TRIP_MEASURES), TRIP_MEASURES)), "stddev")
-
-
-# The rules by name, as the operators have them.
-RULES_SQL = {
-    "zero_or_negative_distance": "trip_distance <= 0",
-    "zero_or_negative_fare": "fare_amount <= 0",
-    "invalid_passenger_count": "passenger_count <= 0 OR passenger_count > 6",
-    "extremely_long_distance": "trip_distance > 100",
-    "extremely_large_fare": "fare_amount > 500",
-    "invalid_timestamps": "tpep_dropoff_datetime <= tpep_pickup_datetime",
-}
+    return rounded(amounts(op.summarize(exact(trips(spark, folder), *TRIP_MEASURES), TRIP_MEASURES), *SUMMARY), "stddev")
 
 
 def profile_sql() -> str:
@@ -178,7 +173,7 @@ def profile_sql() -> str:
         f"SELECT 'table' AS section, 'rows' AS name, count(*) AS n, {nothing} FROM trips",
         f"SELECT 'table', 'kept', count(*), {nothing} FROM cleaned",
         *(
-            f"""SELECT 'measure', '{c}', count({c}), {avg_sql(c)}, {r(f"stddev_samp({c})")},
+            f"""SELECT 'measure', '{c}', count({c}), {r(avg_sql(c))}, {r(f"stddev_samp({c})")},
             CAST(min({c}) AS DOUBLE), CAST(max({c}) AS DOUBLE) FROM trips"""
             for c in TRIP_MEASURES
         ),
@@ -189,8 +184,8 @@ def profile_sql() -> str:
 
 @register("profile", profile_sql())
 def _(spark, folder):
-    # Decimals of two digits equal the doubles they come from in every comparison of the rules.
-    return rounded(op.profile(exact(trips(spark, folder), *TRIP_MEASURES), TRIP_MEASURES, op.trip_rules()), "stddev")
+    # The rules compare amounts, not cents.
+    return rounded(op.profile(trips(spark, folder), TRIP_MEASURES, op.trip_rules()), "mean", "stddev")
 
 
 # Fixed value: partitions of the layout experiment.
@@ -208,26 +203,26 @@ def _(spark, folder):
 
 def range_sql(column: str, suffix: str) -> str:
     return (
-        f"SELECT min({column}) AS min_{suffix}, max({column}) AS max_{suffix}, "
-        f"{avg_sql(column)} AS avg_{suffix} FROM lineitem"
+        f"SELECT min({cents_sql(column)}) / 100.0::DOUBLE AS min_{suffix}, "
+        f"max({cents_sql(column)}) / 100.0::DOUBLE AS max_{suffix}, {avg_sql(column)} AS avg_{suffix} FROM lineitem"
     )
 
 
 @register("range_stats_quantity", range_sql("l_quantity", "quantity"))
 def _(spark, folder):
     lines = exact(read_table(spark, folder, "lineitem"), "l_quantity")
-    return doubles(op.range_stats(lines, "l_quantity", "quantity"))
+    return amounts(op.range_stats(lines, "l_quantity", "quantity"), "min_quantity", "max_quantity", "avg_quantity")
 
 
 @register("range_stats_price", range_sql("l_extendedprice", "price"))
 def _(spark, folder):
     lines = exact(read_table(spark, folder, "lineitem"), "l_extendedprice")
-    return doubles(op.range_stats(lines, "l_extendedprice", "price"))
+    return amounts(op.range_stats(lines, "l_extendedprice", "price"), "min_price", "max_price", "avg_price")
 
 
 @register("mean_std", f"SELECT {avg_sql('value')} AS mean, {r('stddev_samp(value)')} AS stddev FROM events")
 def _(spark, folder):
-    return rounded(doubles(op.mean_std(exact(read_table(spark, folder, "events"), "value"), "value")), "stddev")
+    return rounded(amounts(op.mean_std(exact(read_table(spark, folder, "events"), "value"), "value"), "mean", "stddev"), "stddev")
 
 
 # --- grouped aggregates and top-k ---------------------------------------------------------
@@ -261,12 +256,12 @@ def _(spark, folder):
 
 @register("avg_by_hour", AVG_BY_HOUR_SQL)
 def _(spark, folder):
-    return doubles(op.avg_by_hour(exact(read_table(spark, folder, "events"), "value"), "ts", "value"))
+    return amounts(op.avg_by_hour(exact(read_table(spark, folder, "events"), "value"), "ts", "value"), "avg_value")
 
 
 @register("peak_avg_hour", AVG_BY_HOUR_SQL + " ORDER BY avg_value DESC, 1 LIMIT 1")
 def _(spark, folder):
-    return doubles(op.peak_avg_hour(exact(read_table(spark, folder, "events"), "value"), "ts", "value"))
+    return amounts(op.peak_avg_hour(exact(read_table(spark, folder, "events"), "value"), "ts", "value"), "avg_value")
 
 
 def topk_sql(table: str, key: str, measure: str, out: str) -> str:
@@ -290,14 +285,15 @@ def _(spark, folder):
 @register("topk_by_sum", TOPK_SUM_SQL)
 def _(spark, folder):
     lines = exact(read_table(spark, folder, "lineitem"), "l_extendedprice")
-    return doubles(op.topk_by_sum(lines, "l_suppkey", "l_extendedprice"))
+    return amounts(op.topk_by_sum(lines, "l_suppkey", "l_extendedprice"), "total")
 
 
 AVG_BY_KEY_SQL = f"SELECT l_suppkey, {avg_sql('l_extendedprice')} AS avg_price FROM lineitem GROUP BY l_suppkey"
 
 
 def avg_price_by_supplier(lineitem: DataFrame) -> DataFrame:
-    return doubles(op.avg_by_key(exact(lineitem, "l_extendedprice"), "l_suppkey", "l_extendedprice", avg_as="avg_price"))
+    average = op.avg_by_key(exact(lineitem, "l_extendedprice"), "l_suppkey", "l_extendedprice", avg_as="avg_price")
+    return amounts(average, "avg_price")
 
 
 @register("avg_by_key", AVG_BY_KEY_SQL)
@@ -331,25 +327,24 @@ def _(spark, folder):
 )
 def _(spark, folder):
     rows = exact(featured_trips(spark, folder), "fare_amount")
-    return doubles(op.weekend_split(rows, PICKUP, "fare_amount", avg_as="avg_fare"))
+    return amounts(op.weekend_split(rows, PICKUP, "fare_amount", avg_as="avg_fare"), "avg_fare")
 
 
 @register(
     "revenue_vs_volume",
     f"""WITH {FEATURES_SQL},
     per_key AS (
-      SELECT "PULocationID", count(*) AS n, sum(CAST(fare_amount AS DECIMAL(12, 2))) AS total
+      SELECT "PULocationID", count(*) AS n, {sum_sql('fare_amount')} AS total
       FROM featured GROUP BY 1)
-    SELECT "PULocationID", n, CAST(total AS DOUBLE) AS total,
+    SELECT "PULocationID", n, total,
            row_number() OVER (ORDER BY n DESC, "PULocationID") AS volume_rank,
            row_number() OVER (ORDER BY total DESC, "PULocationID") AS revenue_rank
     FROM per_key""",
 )
 def _(spark, folder):
     # Exact totals: equal revenues must be equal, or their ranks depend on the order of addition.
-    fare = F.col("fare_amount").cast("decimal(12, 2)")
-    ranked = op.revenue_vs_volume(featured_trips(spark, folder), "PULocationID", fare)
-    return ranked.withColumn("total", F.col("total").cast("double"))
+    rows = exact(featured_trips(spark, folder), "fare_amount")
+    return amounts(op.revenue_vs_volume(rows, "PULocationID", "fare_amount"), "total")
 
 
 # --- the SQL surface ----------------------------------------------------------------------
@@ -362,9 +357,8 @@ def _(spark, folder):
 )
 def _(spark, folder):
     rows = exact(trips(spark, folder), "fare_amount", "trip_distance")
-    return doubles(
-        op.sql_avgs_by_key(rows, "passenger_count", "fare_amount", "trip_distance", "avg_fare", "avg_distance")
-    )
+    averages = op.sql_avgs_by_key(rows, "passenger_count", "fare_amount", "trip_distance", "avg_fare", "avg_distance")
+    return amounts(averages, "avg_fare", "avg_distance")
 
 
 @register("sql_topk_by_count", TOPK_COUNT_SQL)
@@ -375,7 +369,7 @@ def _(spark, folder):
 @register("sql_topk_by_sum", TOPK_SUM_SQL)
 def _(spark, folder):
     lines = exact(read_table(spark, folder, "lineitem"), "l_extendedprice")
-    return doubles(op.sql_topk_by_sum(lines, "l_suppkey", "l_extendedprice"))
+    return amounts(op.sql_topk_by_sum(lines, "l_suppkey", "l_extendedprice"), "total")
 
 
 @register("sql_count_by_hour", COUNT_BY_HOUR_SQL)
@@ -385,7 +379,7 @@ def _(spark, folder):
 
 @register("sql_avg_by_hour", AVG_BY_HOUR_SQL + " ORDER BY 1")
 def _(spark, folder):
-    return doubles(op.sql_avg_by_hour(exact(read_table(spark, folder, "events"), "value"), "ts", "value"))
+    return amounts(op.sql_avg_by_hour(exact(read_table(spark, folder, "events"), "value"), "ts", "value"), "avg_value")
 
 
 @register(
@@ -395,7 +389,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     orders = exact(read_table(spark, folder, "orders"), "o_totalprice")
-    return doubles(op.having_avg_gt(orders, "o_custkey", "o_totalprice", 300000, "avg_price"))
+    return amounts(op.having_avg_gt(orders, "o_custkey", "o_totalprice", 300000 * 100, "avg_price"), "avg_price")
 
 
 @register(
@@ -408,7 +402,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     rows = exact(trips(spark, folder, distance=False), "fare_amount")
-    return doubles(op.outlier_groups(rows, "PULocationID", "fare_amount", avg_as="avg_fare"))
+    return amounts(op.outlier_groups(rows, "PULocationID", "fare_amount", avg_as="avg_fare"), "avg_fare")
 
 
 def parity_sql(*counts: str) -> str:
@@ -555,7 +549,7 @@ def _(spark, folder):
         )
         for key in ("l_suppkey", "l_partkey")
     ]
-    return op.release_with(doubles(union_months(averages)), kept)
+    return op.release_with(amounts(union_months(averages), "avg_price"), kept)
 
 
 # --- models -------------------------------------------------------------------------------
@@ -647,30 +641,54 @@ def signal_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return op.split_by_id(op.training_frame(rows, label=SIGNAL, ids=["event_id"]), ["event_id"])
 
 
-def believable(scored: DataFrame, train: DataFrame, label: str, slack: float) -> DataFrame:
-    """Whether each prediction lies in the range of the training labels, give or take ``slack`` of it."""
-    low, high = F.min(label).alias("low"), F.max(label).alias("high")
-    bounds = train.agg(low, high).select(
-        F.struct(F.col("low") - slack * (F.col("high") - F.col("low")), F.col("high") + slack * (F.col("high") - F.col("low"))).alias("b")
-    ).scalar()
-    return scored.withColumn("in_range", F.col("prediction").between(bounds["col1"], bounds["col2"]))
+def checked(scored: DataFrame, model, features: list[str], depth: int) -> DataFrame:
+    """Whether each prediction is the one that the fitted trees, read back as a table, give."""
+    walked = op.predict_from_table(scored, op.tree_table(model), features, depth, "walked")
+    return walked.withColumn("agrees", F.abs(F.col("walked") - F.col("prediction")) <= 1e-9 * F.abs("prediction"))
+
 
+def coded_days(scored: DataFrame, model) -> tuple[DataFrame, list[str]]:
+    """Scored fares with the index of the weekday that the model has learned, and its inputs in order."""
+    labels = model.stages[0].labels
+    index = F.coalesce(F.array_position(F.array(*map(F.lit, labels)), F.col("day_of_week")) - 1, F.lit(len(labels)))
+    inputs = [f"{name}_idx" if name == "day_of_week" else name for name in op.FARE_FEATURES]
+    return scored.withColumn("day_of_week_idx", index.cast("double")), inputs
 
-SCORES_SQL = f"WITH {SIGNAL_SQL} SELECT event_id, fare_signal, true AS in_range FROM signal WHERE NOT is_train"
+
+SCORES_SQL = f"WITH {SIGNAL_SQL} SELECT event_id, fare_signal, true AS agrees FROM signal WHERE NOT is_train"
 
 
 @register("forest_scores", SCORES_SQL)
 def _(spark, folder):
     train, test = signal_split(spark, folder)
-    scored = op.score(op.fit_forest(train, label=SIGNAL), test)
-    return believable(scored, train, SIGNAL, 1e-9).select("event_id", SIGNAL, "in_range")
+    model = op.fit_forest(train, label=SIGNAL)
+    scored, inputs = coded_days(op.score(model, test), model)
+    return checked(scored, model, inputs, 8).select("event_id", SIGNAL, "agrees")
 
 
 @register("gbt_scores", SCORES_SQL)
 def _(spark, folder):
     train, test = signal_split(spark, folder)
-    scored = op.score(op.fit_gbt(train, label=SIGNAL), test)
-    return believable(scored, train, SIGNAL, 0.05).select("event_id", SIGNAL, "in_range")
+    model = op.fit_gbt(train, label=SIGNAL)
+    scored, inputs = coded_days(op.score(model, test), model)
+    return checked(scored, model, inputs, 6).select("event_id", SIGNAL, "agrees")
+
+
+@register(
+    "gbt_stop",
+    f"WITH {SIGNAL_SQL} SELECT count(*) AS n, true AS fewer, true AS as_good FROM signal WHERE NOT is_train",
+)
+def _(spark, folder):
+    # Part of this label is noise: rounds end when the judging rows gain no more, long before 40.
+    noise = 10 * F.pmod(F.col("event_id") * 7919, F.lit(13))
+    train, test = (part.withColumn("noisy", F.col(SIGNAL) + noise) for part in signal_split(spark, folder))
+    stopped = op.fit_gbt(train, op.BoostSpec(iterations=40, depth=4, validation=20), label="noisy")
+    full = op.fit_gbt(train, op.BoostSpec(iterations=40, depth=4), label="noisy")
+    both = op.score(full, op.score(stopped, test, "by_stopped"), "by_full")
+    compared = op.compare_models(both, "noisy", {"stopped": "by_stopped", "full": "by_full"})
+    wide = compared.groupBy("n").pivot("model", ["stopped", "full"]).agg(F.first("rmse"))
+    fewer = len(stopped.stages[-1].trees) < len(full.stages[-1].trees)
+    return wide.select("n", F.lit(fewer).alias("fewer"), (F.col("stopped") < 1.1 * F.col("full")).alias("as_good"))
 
 
 @register(
@@ -715,19 +733,176 @@ def _(spark, folder):
       SELECT event_type, CAST(hour(ts) AS INTEGER) AS pickup_hour, strftime(ts, '%a') AS day_of_week,
              count(*) AS trip_count
       FROM events GROUP BY 1, 2, 3)
-    SELECT event_type, pickup_hour, day_of_week, trip_count, true AS in_range FROM cells
+    SELECT event_type, pickup_hour, day_of_week, trip_count, true AS agrees FROM cells
     WHERE md5('42:' || event_type || ':' || pickup_hour || ':' || day_of_week) >= 'cccccccd'""",
 )
 def _(spark, folder):
     events = read_table(spark, folder, "events")
-    _model, scored = op.fit_demand(events, key="event_type", ts="ts")
-    # No prediction of a forest lies outside the counts it was trained on, nor then outside all.
-    counts = op.demand_table(events, "event_type", "ts", count_as="trip_count")
-    return believable(scored, counts, "trip_count", 1e-9).select(
-        "event_type", "pickup_hour", "day_of_week", "trip_count", "in_range"
+    model, scored = op.fit_demand(events, key="event_type", ts="ts", fill=False)
+    coded, _ = coded_days(model.codes.add(scored, "event_type_code"), model)
+    inputs = ["event_type_code", "pickup_hour", "day_of_week_idx", "is_weekend"]
+    return checked(coded, model.pipeline, inputs, 5).select(
+        "event_type", "pickup_hour", "day_of_week", "trip_count", "agrees"
     )
 
 
+PANEL_SQL = """days AS (
+      SELECT unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)), INTERVAL 1 DAY)) AS day FROM events),
+    counts AS (
+      SELECT event_type, CAST(ts AS DATE) AS day, hour(ts) AS h, count(*) AS n FROM events GROUP BY 1, 2, 3),
+    panel AS (
+      SELECT event_type, CAST(CAST(day AS DATE) AS VARCHAR) AS date, CAST(h AS INTEGER) AS pickup_hour,
+             strftime(day, '%a') AS day_of_week, CAST(dayofweek(day) IN (0, 6) AS INTEGER) AS is_weekend,
+             coalesce(n, 0) AS n
+      FROM (SELECT * FROM (SELECT DISTINCT event_type FROM events), days, range(24) AS hours(h))
+      LEFT JOIN counts USING (event_type, day, h))"""
+
+
+@register("demand_panel", f"WITH {PANEL_SQL} SELECT * FROM panel")
+def _(spark, folder):
+    panel = op.demand_panel(read_table(spark, folder, "events"), "event_type", "ts")
+    return panel.withColumn("date", F.col("date").cast("string"))
+
+
+@register(
+    "demand_model",
+    f"""WITH {PANEL_SQL}, span AS (SELECT min(date)::DATE AS first, max(date)::DATE AS last FROM panel)
+    SELECT count(*) AS n, sum(n)::BIGINT AS trips, true AS beats_cell_mean FROM panel, span
+    WHERE date::DATE >= first + CAST((last - first + 1) * 80 // 100 AS INTEGER)""",
+)
+def _(spark, folder):
+    # The forest against the mean of the cell (key, hour, weekday) over the earlier days.
+    events = read_table(spark, folder, "events")
+    _model, scored = op.fit_demand(events, key="event_type", ts="ts")
+    earlier, _later = op.time_split(op.demand_panel(events, "event_type", "ts", count_as="trip_count"))
+    cell = ["event_type", "pickup_hour", "day_of_week"]
+    both = op.cell_means(earlier, scored, cell, "trip_count", "by_cell")
+    compared = op.compare_models(both, "trip_count", {"forest": "prediction", "cell": "by_cell"})
+    errors = compared.groupBy().pivot("model", ["forest", "cell"]).agg(F.first("rmse"))
+    better = errors.select(F.col("forest") < F.col("cell")).scalar()
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.sum("trip_count").alias("trips")).withColumn("beats_cell_mean", better)
+
+
+@register(
+    "category_codes",
+    f"""WITH per_key AS (SELECT user_id, count(*) AS n, sum({cents_sql('value')}) AS total FROM events GROUP BY 1)
+    SELECT user_id, n, round((total + 10.0::DOUBLE * (SELECT sum(total)::DOUBLE / sum(n) FROM per_key)) / (n + 10), 4) AS code
+    FROM per_key""",
+)
+def _(spark, folder):
+    rows = exact(read_table(spark, folder, "events"), "value")
+    return rounded(op.category_codes(rows, "user_id", "value").table, "code")
+
+
+@register(
+    "exact_split",
+    """SELECT event_id, row_number() OVER (PARTITION BY strftime(ts, '%a') ORDER BY md5('42:' || CAST(event_id AS VARCHAR)))
+      <= (count(*) OVER (PARTITION BY strftime(ts, '%a')) * 80 + 50) // 100 AS is_train FROM events""",
+)
+def _(spark, folder):
+    events = read_table(spark, folder, "events")
+    return op.exact_split(events, ["event_id"], by=F.dayname("ts")).select("event_id", "is_train")
+
+
+# A third of the rows have one key and a twentieth another one.
+SKEWED_SQL = """skewed AS (
+      SELECT CASE WHEN event_id % 3 = 0 THEN -1 WHEN event_id % 20 = 1 THEN -2 ELSE user_id END AS k FROM events)"""
+
+
+def skewed_events(spark: SparkSession, folder: str) -> DataFrame:
+    item = F.col("event_id")
+    key = F.when(item % 3 == 0, -1).when(item % 20 == 1, -2).otherwise(F.col("user_id"))
+    return read_table(spark, folder, "events").select("event_id", "value", key.alias("k"))
+
+
+@register(
+    "hot_keys",
+    f"""WITH {SKEWED_SQL} SELECT k, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM skewed), 4) AS share
+    FROM skewed GROUP BY k HAVING count(*) >= 0.03 * (SELECT count(*) FROM skewed)""",
+)
+def _(spark, folder):
+    return rounded(op.hot_keys(skewed_events(spark, folder), "k", 0.03), "share")
+
+
+@register(
+    "relayout_skewed_avg", f"WITH {SKEWED_SQL.replace(' AS k ', ' AS k, value ')} SELECT k, {avg_sql('value')} AS avg_value FROM skewed GROUP BY k"
+)
+def _(spark, folder):
+    spread = op.relayout_skewed(exact(skewed_events(spark, folder), "value"), LAYOUT_PARTITIONS, "k", ["event_id"])
+    return amounts(op.avg_by_key(spread, "k", "value"), "avg_value")
+
+
+@register(
+    "parity_changed",
+    """SELECT event_id, user_id, event_type, value + 1 AS value, CAST(-1 AS BIGINT) AS surplus FROM events WHERE event_id = 7
+    UNION ALL SELECT event_id, user_id, event_type, value, CAST(1 AS BIGINT) FROM events WHERE event_id = 7""",
+)
+def _(spark, folder):
+    rows = read_table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
+    changed = rows.withColumn("value", F.when(F.col("event_id") == 7, F.col("value") + 1).otherwise(F.col("value")))
+    return op.differences(rows, changed)
+
+
+# The trips once more, a month later, in a table stored by month whose second month is then renewed.
+STORED_SQL = f"""{TRIPS_SQL}, stored AS (
+      SELECT event_id, fare_amount, "PULocationID", strftime(tpep_pickup_datetime, '%Y-%m') AS month FROM trips
+      UNION ALL
+      SELECT event_id, fare_amount, "PULocationID", strftime(tpep_pickup_datetime + INTERVAL 31 DAY, '%Y-%m') FROM trips
+      WHERE fare_amount > 0)"""
+
+
+def two_months(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    first = trips(spark, folder, distance=False).select("event_id", PICKUP, "fare_amount", "PULocationID")
+    return first, first.withColumn(PICKUP, F.col(PICKUP) + F.expr("INTERVAL 31 DAYS"))
+
+
+@register(
+    "stored_months",
+    f"WITH {STORED_SQL} SELECT month, count(*) AS n, {avg_sql('fare_amount')} AS avg_fare FROM stored GROUP BY 1",
+)
+def _(spark, folder):
+    first, second = two_months(spark, folder)
+    path = f"{op.ensure_checkpoint_dir(spark)}/months-{uuid.uuid4()}"
+    store_months(union_months([first, second]), path)
+    months = [r["month"] for r in op.distribution(read_stored_months(spark, path), "month").collect()]
+    store_months(second.where("fare_amount > 0"), path)
+    stored = read_stored_months(spark, path, months[0], months[-1])
+    per_month = exact(stored, "fare_amount").groupBy("month")
+    return amounts(per_month.agg(F.count(F.lit(1)).alias("n"), F.avg("fare_amount").alias("avg_fare")), "avg_fare")
+
+
+def stored_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Moments of both months by place, each month stored on its own."""
+    path = f"{op.ensure_checkpoint_dir(spark)}/moments-{uuid.uuid4()}"
+    first, second = two_months(spark, folder)
+    for month in (first, second.where("fare_amount > 0")):
+        store_months(op.month_moments(exact(month, "fare_amount"), PICKUP, "PULocationID", ["fare_amount"]), path)
+    return read_stored_months(spark, path)
+
+
+@register("avg_by_key_state", f"""WITH {STORED_SQL} SELECT "PULocationID", {avg_sql('fare_amount')} AS avg_fare FROM stored GROUP BY 1""")
+def _(spark, folder):
+    state = stored_state(spark, folder)
+    return amounts(op.avg_by_key_state(state, "PULocationID", "fare_amount", "avg_fare"), "avg_fare")
+
+
+@register("summarize_state", summary_sql("stored", ["fare_amount"], f"WITH {STORED_SQL} "))
+def _(spark, folder):
+    return rounded(amounts(op.summarize_state(stored_state(spark, folder)), *SUMMARY), "stddev")
+
+
+@register(
+    "outlier_groups_state",
+    f"""WITH {STORED_SQL}
+    SELECT "PULocationID", {avg_sql('fare_amount')} AS avg_fare, count(*) AS n FROM stored
+    GROUP BY 1
+    HAVING avg(fare_amount) > (SELECT avg(fare_amount) + 2 * stddev_samp(fare_amount) FROM stored)""",
+)
+def _(spark, folder):
+    state = stored_state(spark, folder)
+    return amounts(op.outlier_groups_state(state, "PULocationID", "fare_amount", avg_as="avg_fare"), "avg_fare")
+
+
 @register(
     "demand_table_filled",
     """WITH keys AS (SELECT DISTINCT event_type FROM events),
