@@ -9,15 +9,16 @@ learned together from them.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripkit.llm.common import append_columns, free_name
+from tripkit.llm.common import append_columns, free_name, word_count
 from tripkit.llm.learn import training_sample
+from tripkit.operators.layout import cached
 
 PASSAGE_WORDS = 64
 _SEGMENT_BYTES = 1 << 21
@@ -56,22 +57,37 @@ def _word_table() -> np.ndarray:
 _WORD_TABLE = _word_table()
 
 
-def segment_passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Encode the passages of several texts that lie one behind the other in ``data``.
+@dataclass(frozen=True)
+class Carry:
+    """What the parts of one long text hand on: words so far, the last two, and all runs of three."""
 
-    Returns the text number and the features of each passage. A text without words has none.
-    """
+    words: int = 0
+    last: np.ndarray = field(default_factory=lambda: np.zeros(2, np.uint64))
+    runs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+
+
+def _word_starts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start (a text's first byte may start one), and which bytes are white space."""
     space = np.isin(data, _SPACES)
     opens = ~space
     opens[1:] &= space[:-1]
-    bounds = offsets[:-1][offsets[:-1] < offsets[1:]]
     opens[bounds] = ~space[bounds]
-    starts = np.flatnonzero(opens)
+    return np.flatnonzero(opens), space
+
+
+def segment_passages(data: np.ndarray, offsets: np.ndarray, carry: Carry = Carry()) -> tuple[np.ndarray, np.ndarray, Carry]:
+    """Encode the passages of several texts that lie one behind the other in ``data``.
+
+    Returns the text number and the features of each passage, and what a further part of the
+    text needs. A text without words has none. With ``carry`` from an earlier part ``data`` is the next
+    part of one text and starts where a passage does.
+    """
+    starts, space = _word_starts(data, offsets[:-1][offsets[:-1] < offsets[1:]])
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros((0, len(FEATURES)))
+        return np.zeros(0, np.int64), np.zeros((0, len(FEATURES))), carry
     text = np.searchsorted(offsets, starts, "right") - 1
     first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-    nth = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
+    nth = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts)))) + carry.words
     heads = np.flatnonzero(nth % PASSAGE_WORDS == 0)
 
     def per_word(values: np.ndarray) -> np.ndarray:
@@ -98,8 +114,12 @@ def segment_passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     odd = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         distinct = is_new(word ^ ((passage.astype(np.uint64) + np.uint64(1)) * odd))
-        run = word * np.uint64(3) + np.roll(word, 1) * np.uint64(5) + np.roll(word, 2) * odd
-        seen = (nth >= 2) * (1 - is_new(run ^ ((text.astype(np.uint64) + np.uint64(1)) * odd)))
+        ahead = np.concatenate([carry.last, word])
+        run = word * np.uint64(3) + ahead[1:-1] * np.uint64(5) + ahead[:-2] * odd
+        run ^= (text.astype(np.uint64) + np.uint64(1)) * odd
+        seen = (nth >= 2) * (1 - is_new(run))
+        if len(carry.runs):
+            seen = np.maximum(seen, np.isin(run, carry.runs))
     stutter = np.append(False, word[1:] == word[:-1]) & (nth % PASSAGE_WORDS > 0)
     n = per_passage(np.ones(len(starts)))
     total = np.maximum(per_passage(size), 1)
@@ -120,14 +140,34 @@ def segment_passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         per_passage(counts["breaks"]) / n,
         np.log1p(n) / 5,
     ])
-    return text[heads], features
+    after = Carry(int(nth[-1]) + 1, ahead[-2:], np.union1d(carry.runs, run[nth >= 2]) if len(offsets) == 2 else carry.runs)
+    return text[heads], features, after
+
+
+def long_passages(data: np.ndarray) -> np.ndarray:
+    """Features of the passages of one text, whatever its length, as if it were encoded at once.
+
+    It is cut where passages start, into parts of about ``_SEGMENT_BYTES``. Runs of words that an
+    earlier part has seen are handed on, eight bytes each.
+    """
+    starts, _ = _word_starts(data, np.zeros(min(1, len(data)), np.int64))
+    heads = starts[::PASSAGE_WORDS]
+    cuts = [0]
+    while (at := int(np.searchsorted(heads, cuts[-1] + _SEGMENT_BYTES))) < len(heads):
+        cuts.append(int(heads[at]))
+    cuts.append(len(data))
+    carry, found = Carry(), [np.zeros((0, len(FEATURES)))]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        _, features, carry = segment_passages(data[low:high], np.array([0, high - low]), carry)
+        found.append(features)
+    return np.concatenate(found)
 
 
 def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Text number and features of every passage of an Arrow array of texts, in order.
 
     Every text has at least one: a NULL, empty or blank text has one of zeros. Texts are taken
-    some at a time, a text of more than 2 MB in parts of that size.
+    some at a time; a long one is taken by itself (see ``long_passages``).
     """
     values = texts.cast(pa.large_string())
     _, ends, buffer = values.buffers()
@@ -139,13 +179,13 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         to = int(np.searchsorted(offsets, offsets[at] + _SEGMENT_BYTES, "right")) - 1
         to = max(to, at + 1)
         here = offsets[at : to + 1]
-        cuts = [here] if to > at + 1 else [
-            np.array([a, min(a + _SEGMENT_BYTES, here[1])]) for a in range(here[0], max(here[1], here[0] + 1), _SEGMENT_BYTES)
-        ]
-        for cut in cuts:
-            text, features = segment_passages(data[cut[0] : cut[-1]], cut - cut[0])
-            numbers.append(text + at)
-            found.append(features)
+        if to == at + 1:
+            features = long_passages(data[here[0] : here[1]])
+            text = np.zeros(len(features), np.int64)
+        else:
+            text, features, _ = segment_passages(data[here[0] : here[-1]], here - here[0])
+        numbers.append(text + at)
+        found.append(features)
         at = to
     number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
     features = np.concatenate(found) if found else np.zeros((0, len(FEATURES)))
@@ -162,11 +202,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class MilSpec:
-    """How the model is fitted. At most ``max_docs`` labelled documents are used, and evenly
-    spaced ``max_passages`` passages of each; scoring always takes every passage."""
+    """How the model is fitted. At most ``max_docs`` labelled documents are used, with all their
+    passages, and so many of them (in the order of a hash) that their passages are at most
+    ``max_passages``: both bounds leave out whole documents."""
 
     max_docs: int = 6000
-    max_passages: int = 128
+    max_passages: int = 400_000
     hidden: int = 24
     gates: int = 12
     epochs: int = 30
@@ -265,22 +306,28 @@ def fit_quality(
 ) -> MilModel:
     """Learn from a bounded sample of labelled documents outside the held-out fold.
 
-    Passages are encoded in tasks; the driver gets the features of at most ``spec.max_docs`` x
-    ``spec.max_passages`` passages. Without labels of both kinds the model is a constant.
+    Passages are encoded in tasks; the driver gets the features of at most ``spec.max_passages``
+    passages, and before that the size of each sampled document. Without labels of both kinds
+    the model is a constant.
     """
-    sample = training_sample(docs, labels, label, folds, fold, spec.max_docs, doc_id, text)
 
     def bag(columns: list[pa.Array]) -> list[pa.Array]:
         number, features = passages(columns[0])
-        sizes = np.bincount(number, minlength=len(columns[0]))
-        starts = np.cumsum(sizes) - sizes
-        made = []
-        for start, size in zip(starts, sizes, strict=True):
-            take = np.arange(size) if size <= spec.max_passages else np.linspace(0, size - 1, spec.max_passages).astype(int)
-            made.append(features[start + take].astype(np.float32).tobytes())
+        heads = np.searchsorted(number, np.arange(len(columns[0]) + 1))
+        made = [features[a:b].astype(np.float32).tobytes() for a, b in zip(heads, heads[1:], strict=False)]
         return [pa.array(made, pa.binary())]
 
-    rows = append_columns(sample, ["text"], {"bag": "binary"}, bag, keep=["label"]).collect()
+    with cached(training_sample(docs, labels, label, folds, fold, spec.max_docs, doc_id, text)) as sample:
+        size = F.ceil(word_count(F.col("text")) / PASSAGE_WORDS)
+        marks = sample.select(F.xxhash64("text", "label").alias("mark"), F.greatest(size, F.lit(1)).alias("size")).collect()
+        marks.sort()
+        last = np.searchsorted(np.cumsum([r["size"] for r in marks]), spec.max_passages, "right")
+        chosen = sample
+        if last < len(marks):
+            kept = sorted({r["mark"] for r in marks[:last]} - {r["mark"] for r in marks[last:]})
+            table = docs.sparkSession.createDataFrame([(m,) for m in kept], "mark long")
+            chosen = sample.join(F.broadcast(table), F.xxhash64("text", "label") == F.col("mark"), "left_semi")
+        rows = append_columns(chosen, ["text"], {"bag": "binary"}, bag, keep=["label"]).collect()
     rows.sort(key=lambda r: (bytes(r["bag"]), r["label"]))
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, len(FEATURES)).astype(np.float64) for r in rows]
     return fit_bags(bags, np.array([float(r["label"] > 0) for r in rows]), spec)
