@@ -216,15 +216,15 @@ def signals(text: str | None, memory: _Memory, terms: dict[str, float]) -> list[
 class ToxicSpec:
     """At most ``max_docs`` labelled documents are learned from. A term must occur in ``support``
     of their toxic documents, between as many separate neighbours, with log-odds of ``odds`` or
-    more (a stem of ``stem_odds``), and at most ``max_terms`` are considered. Under 100 toxic
-    documents for each of ``support``, one in a hundred is enough, but 3 at least."""
+    more (a stem of ``stem_odds``). Under 100 toxic documents for each of ``support``, one in a
+    hundred is enough, but 3 at least. All such terms are kept, of any length; those of up to
+    four letters only match exactly."""
 
     max_docs: int = 6000
     support: int = 5
     odds: float = 3.0
     stem_odds: float = 4.2
     stems: tuple[int, ...] = (4, 5, 6)
-    max_terms: int = 20_000
     ridge: float = 0.05
 
 
@@ -241,7 +241,7 @@ def _terms_of(texts: Iterable[str], stems: tuple[int, ...]) -> Iterator[list[str
     """The distinct terms of each text: its words, and the stems of those that are longer."""
     for text in texts:
         words = {normal_form(w) for w in (text or "").lower().split()}
-        words = {w for w in words if 4 <= len(w) <= 40 and w.isalpha()}
+        words = {w for w in words if w.isalpha()}
         yield sorted(words | {w[:n] + "*" for w in words for n in stems if len(w) > n})
 
 
@@ -302,8 +302,6 @@ def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
             .where(F.col("bad") >= least)
             .select("term", odds.alias("odds"))
             .where(F.col("odds") >= spec.odds)
-            .orderBy(F.desc("odds"), "term")
-            .limit(spec.max_terms)
             .collect()
         )
         odds_of = {r["term"]: float(r["odds"]) for r in candidates}
@@ -376,8 +374,8 @@ def fit_toxicity(
 ) -> ToxicModel:
     """Learn terms and weights from a bounded sample of labelled documents outside the fold.
 
-    Terms are counted in tasks; the driver gets at most ``max_terms`` terms and six numbers for
-    each of at most ``max_docs`` documents. Without labels of both kinds nothing is toxic.
+    Terms are counted in tasks; the driver gets the terms that several toxic documents of the
+    sample share, and six numbers for each of at most ``max_docs`` documents. Without labels of both kinds nothing is toxic.
     """
     with cached(training_sample(docs, labels, label, folds, fold, spec.max_docs, doc_id, text)) as sample:
         terms = learn_terms(sample, spec)
@@ -408,7 +406,7 @@ def with_toxicity(
     """The columns ``keep`` of ``docs`` (default: all) plus the probability that the whole text is toxic, 0 to 1.
 
     NULL, empty and blank texts have no hits and get the score of such texts. Rows are
-    independent; the model (at most ``max_terms`` terms) travels with the tasks.
+    independent; the model (the terms of a bounded sample) travels with the tasks.
     """
     held: list[_Memory] = []
 
