@@ -1,5 +1,5 @@
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -99,15 +99,34 @@ def test_halves_follow_the_multivariate_hypergeometric_law():
     assert mixing.draw_hypergeometric(np.random.default_rng(0), 10**12, 10**12, 10**12) > 4 * 10**11
 
 
-def test_mixed_documents_hold_the_words_that_are_taken(spark, skewed):
-    docs = skewed.withColumn("text", F.regexp_replace("text", " ", " \n"))
-    mixed = mixing.mixed_documents(docs)
-    assert mixed.schema == docs.schema or mixed.columns == docs.columns
-    taken = mixing.mix(docs).select(F.sum(mixing.taken_words())).first()[0]
-    rows = mixed.collect()
-    assert sum(words(r.text) for r in rows) == taken
-    whole = {r.doc_id: r.text for r in docs.collect()}
-    assert all(whole[r.doc_id].startswith(r.text) and r.n_chars in (len(r.text), len(whole[r.doc_id]) - whole[r.doc_id].count("\n")) for r in rows)
+def test_mixed_documents_are_whole(spark, skewed):
+    mixed = mixing.mixed_documents(skewed)
+    assert mixed.columns == skewed.columns
+    rows, whole = mixed.collect(), {r.doc_id: r for r in skewed.collect()}
+    assert all(r == whole[r.doc_id] for r in rows)
+    taken, longest = defaultdict(int), defaultdict(int)
+    for r in rows:
+        taken[r.source] += words(r.text)
+    for r in whole.values():
+        longest[r.source] = max(longest[r.source], words(r.text))
+    targets = {r.source: r.target for r in mixing.mix(skewed).select("row.source", "target").distinct().collect()}
+    assert all(abs(taken[s] - target) <= longest[s] / 2 + 1 for s, target in targets.items())
+    assert max(Counter(r.doc_id for r in rows).values()) <= 2
+
+
+def test_large_draws_follow_the_same_law():
+    def drawn(good, bad, draws, n=4000):
+        return np.array([mixing.draw_hypergeometric(np.random.default_rng(i), good, bad, draws) for i in range(n)])
+
+    for good, bad, draws in ((2 * 10**9, 3, 10**9), (2 * 10**9, 3 * 10**9, 40), (10**12, 10**12, 10**6), (50, 2 * 10**9, 10**9)):
+        got, p = drawn(good, bad, draws), good / (good + bad)
+        spread = math.sqrt(draws * p * (1 - p) * (good + bad - draws) / (good + bad - 1))
+        assert got.min() >= max(0, draws - bad) and got.max() <= min(good, draws)
+        assert abs(got.mean() - draws * p) < 5 * spread / math.sqrt(len(got))
+        assert abs(got.std() / spread - 1) < 0.06
+    # Skewed: 3 bad among two billion, of which half are drawn, is binomial with a half.
+    missed = 10**9 - drawn(2 * 10**9, 3, 10**9)
+    assert np.allclose(np.bincount(missed, minlength=4) / len(missed), [1 / 8, 3 / 8, 3 / 8, 1 / 8], atol=0.03)
 
 
 def test_empty_and_wordless_tables(spark):

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripkit.llm.common import WORD, broadcast_if_small, row_hash, word_count
+from tripkit.llm.common import broadcast_if_small, row_hash, word_count
 from tripkit.operators.layout import checkpointed, with_position
 
 WEIGHTS = (3, 1, 2)
@@ -118,16 +118,34 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
 
 
 def draw_hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """How many of ``draws`` from ``good + bad`` are good; a rounded normal draw beyond 10**9."""
+    """How many of ``draws`` from ``good + bad`` are good, by the hypergeometric law at any size.
+
+    Numbers that the generator's own method doesn't take are drawn by the ratio of uniforms: a
+    candidate near the middle is accepted with its exact probability, up to the rounding of
+    log-factorials.
+    """
     if draws == 0 or good == 0:
         return 0
     if bad == 0:
         return draws
     if good < 10**9 and bad < 10**9:
         return int(rng.hypergeometric(good, bad, draws))
-    n, p = good + bad, good / (good + bad)
-    spread = math.sqrt(draws * p * (1 - p) * (n - draws) / max(n - 1, 1))
-    return min(max(round(rng.normal(draws * p, spread)), draws - bad, 0), good, draws)
+    total = good + bad
+    low, high = max(0, draws - bad), min(good, draws)
+    mode = min(max((draws + 1) * (good + 1) // (total + 2), low), high)
+
+    def log_weight(k: int) -> float:
+        return -sum(math.lgamma(n + 1) for n in (k, good - k, draws - k, bad - draws + k))
+
+    share = good / total
+    spread = math.sqrt(draws * share * (1 - share) * (total - draws) / max(total - 1, 1) + 0.5)
+    # The region that is drawn from holds the law's: its sides are those for any unimodal law of this spread.
+    width, top = math.sqrt(8 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e), log_weight(mode)
+    while True:
+        height = 1.0 - rng.random()
+        k = math.floor(draws * share + 0.5 + width * (rng.random() - 0.5) / height)
+        if low <= k <= high and 2 * math.log(height) <= log_weight(k) - top:
+            return k
 
 
 def _grouped(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -163,9 +181,12 @@ def _offsets(grouped: DataFrame) -> DataFrame:
     )
 
 
-def _placed(grouped: DataFrame, offsets: DataFrame, repeats: int) -> DataFrame:
+def _placed(grouped: DataFrame, offsets: DataFrame, repeats: int, whole: bool) -> DataFrame:
     """Add ``place``, a row's number in its source's order, and ``words``, what each epoch takes.
 
+    The target ends inside one row of the source. Its words up to there are taken, or if ``whole``
+    all of its words or none, whichever is nearer.
+
     Rows that are alike in all columns may swap places, which changes nothing.
     """
     here = Window.partitionBy("of", "part").orderBy("draw")
@@ -181,6 +202,8 @@ def _placed(grouped: DataFrame, offsets: DataFrame, repeats: int) -> DataFrame:
 
     def taken(epoch: int) -> Column:
         left = F.round("target").cast("long") - F.col("before") - F.lit(epoch) * F.col("source_size")
+        if whole:
+            return F.when((left > 0) & (2 * left >= F.col("size")), F.col("size")).otherwise(0)
         return F.greatest(F.least(left, F.col("size")), F.lit(0))
 
     return placed.withColumn("words", F.array(*[taken(e) for e in range(repeats)])).drop(
@@ -198,6 +221,7 @@ def mix(
     shards: int = SHARDS,
     seed: int = SEED,
     carry: Sequence[str] | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: its columns in ``row``, and what the mix takes of it.
 
@@ -207,7 +231,8 @@ def mix(
     ``(epoch, words, shard, shuffle_key)`` with an entry for each time the row is drawn, at most
     ``repeats``. A source gives its rows in permuted order, over again where its target exceeds
     its size, and the last one only as far as the target reaches (rounded to a word), so the
-    words of a source's draws add up to its target. Rows without words are never drawn.
+    words of a source's draws add up to its target. With ``whole`` that last row is drawn whole or
+    not at all, whichever comes nearer to the target. Rows without words are never drawn.
     A NULL source is a source; no rows give no rows. Rows count as they are, repeated or not.
     """
     packed = docs.select(
@@ -226,7 +251,7 @@ def mix(
         for e in range(repeats)
     ]
     quotas = checkpointed(
-        _placed(_grouped(slim, targets), offsets, repeats)
+        _placed(_grouped(slim, targets), offsets, repeats, whole)
         .groupBy("of")
         .agg(F.array(*counts).alias("blocks"))
         .select(F.col("of").alias("source"), "blocks")
@@ -245,7 +270,7 @@ def mix(
         .join(runs, F.col("p_of").eqNullSafe(F.col("source")))
         .select("p_of", "blocks", F.transform("runs", lambda r: r["until"]).alias("until"))
     )
-    drawn = _placed(_grouped(packed, targets), offsets, repeats)
+    drawn = _placed(_grouped(packed, targets), offsets, repeats, whole)
     joined = drawn.join(broadcast_if_small(plan), F.col("of").eqNullSafe(F.col("p_of")))
 
     def draw(epoch: int) -> Column:
@@ -276,21 +301,10 @@ def write_order(mixed: DataFrame) -> DataFrame:
     return exploded.orderBy("draw.shard", "draw.shuffle_key")
 
 
-def mixed_documents(
-    docs: DataFrame, source: str = "source", text: str = "text", chars: str = "n_chars", **how
-) -> DataFrame:
+def mixed_documents(docs: DataFrame, source: str = "source", text: str = "text", **how) -> DataFrame:
     """The mix as documents with the columns of ``docs``: a row for each draw, in shuffled order.
 
-    A document drawn in part keeps its first words, cut behind the last of them; ``chars``,
-    where ``docs`` has it, then counts the characters that are left.
+    Every document is drawn whole, so a source's words miss its target by half a document at most.
     """
-    rows = write_order(mix(docs, source, text, **how))
-    whole = F.col("row")[text]
-    led = F.regexp_extract_all(whole.cast("string"), F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
-    partly = F.col("draw.words") < F.col("size")
-    kept = F.when(partly, F.array_join(F.slice(led, 1, F.col("draw.words").cast("int")), "")).otherwise(whole)
-    renewed = {text: kept}
-    if chars in docs.columns:
-        count = F.when(partly, F.length(kept)).otherwise(F.col("row")[chars])
-        renewed[chars] = count.cast(docs.schema[chars].dataType)
-    return rows.select(*[renewed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    rows = write_order(mix(docs, source, text, whole=True, **how))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
