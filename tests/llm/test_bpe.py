@@ -30,6 +30,39 @@ def test_ids_are_those_of_the_library_and_decode_to_the_text(spark, library, blo
     assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in got), key=key) == sorted(want, key=key)
 
 
+def cut_blocks(docs, block_chars=bpe.BLOCK_CHARS):
+    """The blocks that the documents are cut into, as ``(name, words, documents)`` per packed row."""
+    held = []
+    split = bpe.regex.compile(PATTERN).findall
+    block = bpe.Block(split, f"0:{len(held)}")
+    for key, text in docs:
+        block.add(key, text, lambda t: None)
+        if block.chars >= block_chars:
+            held.append(list(block.rows()))
+            block = bpe.Block(split, f"0:{len(held)}")
+    return [*held, list(block.rows())]
+
+
+def test_empty_texts_fill_blocks_and_rows():
+    blocks = cut_blocks(((i, "") for i in range(300_000)), 1 << 22)
+    assert len(blocks) == -(-300_000 * 64 // (1 << 22))
+    packed = [len(ids) for rows in blocks for _, kind, _, ids, _ in rows if kind == 1]
+    assert sum(packed) == 300_000 and max(packed) <= (1 << 16) // 4
+
+
+def test_blocks_of_equal_words_have_names_of_their_own():
+    blocks = cut_blocks(((i, "the same text again") for i in range(1000)), 64 * 100)
+    names = [{r[0] for r in rows} for rows in blocks if rows]
+    assert all(len(n) == 1 for n in names) and len(set.union(*names)) == len(names) > 10
+
+
+def test_many_empty_and_repeated_texts(spark, library):
+    rows = spark.range(60_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'one text that is everywhere' WHEN id % 3 = 1 THEN '' END AS text")
+    sizes = bpe.encode(rows, PATH, PATTERN, block_chars=1 << 18).selectExpr("doc_id % 3 AS k", "size(ids) AS n").groupBy("k", "n").count().collect()
+    want = len(library.encode_ordinary("one text that is everywhere"))
+    assert sorted(map(tuple, sizes)) == [(0, want, 20_000), (1, 0, 20_000), (2, 0, 20_000)]
+
+
 def test_no_rows_and_string_ids(spark, library):
     assert bpe.encode(no_docs(spark), PATH, PATTERN).collect() == []
     docs = spark.createDataFrame([("k", "some text")], "doc_id string, text string")

@@ -75,6 +75,46 @@ def test_passages_are_the_same_however_texts_are_grouped():
     assert (number == 10).sum() == -(-words // quality.PASSAGE_WORDS)
 
 
+def test_a_long_text_has_the_passages_of_an_uncut_one(monkeypatch):
+    rng = np.random.default_rng(2)
+    words = [f"Word{k}" if k % 50 else "x" * 300 for k in rng.integers(0, 4000, 400_000)]
+    words[300_000:300_500] = words[:500]  # runs that were seen two parts earlier
+    text = " \n" + "".join(w + (" " if i % 9 else " \n") for i, w in enumerate(words))
+    assert len(text) > 3_000_000
+    cut = quality.passages(pa.array([text, "one more"]))[1]
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = quality.segment_passages(data, np.array([0, len(data)]))[1]
+    assert len(whole) == -(-len(words) // quality.PASSAGE_WORDS)
+    assert np.array_equal(cut[:-1], whole)
+    monkeypatch.setattr(quality, "_SEGMENT_BYTES", 1000)
+    assert np.array_equal(quality.long_passages(data[:200_000]), quality.segment_passages(data[:200_000], np.array([0, 200_000]))[1])
+
+
+def test_training_takes_whole_documents_only(spark, monkeypatch):
+    docs = plain_docs(spark, [f"word{i} " * (64 * 200 if i % 2 else 10) for i in range(30)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    held = []
+    monkeypatch.setattr(quality, "fit_bags", lambda bags, y, spec: held.append(bags))
+    for most in (10**6, 500, 200, 1):
+        quality.fit_quality(docs, labels, folds=100, fold=99, spec=quality.MilSpec(max_passages=most))
+        assert {len(b) for b in held[-1]} <= {1, 200} and sum(map(len, held[-1])) <= most
+    assert sorted(map(len, held[0])) == [1] * 15 + [200] * 15
+    assert len(held[1]) > 2
+
+
+def test_short_and_long_terms_are_learned(spark):
+    rng = np.random.default_rng(3)
+    long = "abcdefghij" * 5
+
+    def text(i, bad):
+        filler = [f"w{v}" for v in rng.integers(0, 3000, 30)]
+        return " ".join(filler[:10] + (["zog"] if bad else []) + filler[10:20] + ([long] if bad else []) + filler[20:])
+
+    rows = [(text(i, i % 3 == 0), int(i % 3 == 0)) for i in range(240)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, label int"), toxicity.ToxicSpec(stems=()))
+    assert {"zog", long} <= set(terms)
+
+
 def test_attention_finds_the_bad_passage_from_document_labels():
     rng = np.random.default_rng(0)
     bags, labels = [], []

@@ -12,6 +12,7 @@ are most of what is shuffled, and a block's share of them must fit beside its di
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -22,6 +23,7 @@ import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -32,6 +34,8 @@ BLOCK_CHARS = 1 << 25
 _WORDS_PER_ROW = 1 << 16
 _TOKENS_PER_ROW = 1 << 16
 _ROWS_PER_PACK = 1 << 19
+# What a row adds to its characters in a block, and to its tokens in a packed row: empty texts count.
+_ROW_CHARS, _ROW_TOKENS = 64, 4
 _WORDS, _POSITIONS = 0, 1
 
 
@@ -101,8 +105,8 @@ class _Pieces(dict):
 class Block:
     """The distinct words of some documents, and each document as a sequence of them."""
 
-    def __init__(self, split: Callable[[str], list[str]]):
-        self.split, self.words = split, _Numbers()
+    def __init__(self, split: Callable[[str], list[str]], place: str = ""):
+        self.split, self.words, self.place = split, _Numbers(), place
         # A word may start with one space, so a space between two other characters ends a word
         # for sure. Texts are cut there, and each distinct cut is split into words once.
         self.spaced = _Pieces(split, self.words, " ")
@@ -113,7 +117,7 @@ class Block:
         self.pending = 0
 
     def add(self, doc_id, text: str, doubtful: Callable[[str], object]) -> None:
-        self.chars += len(text)
+        self.chars += len(text) + _ROW_CHARS
         if doubtful(text):
             found = np.fromiter((self.words[w] for w in self.split(text)), np.uint32)
         else:
@@ -122,7 +126,7 @@ class Block:
             found = np.concatenate([head, self.spaced.positions(rest)]) if rest else head
         self.ids.append(doc_id)
         self.positions.append(found)
-        self.pending += len(found)
+        self.pending += len(found) + _ROW_TOKENS
         if self.pending >= _TOKENS_PER_ROW:
             self.pack()
 
@@ -134,11 +138,15 @@ class Block:
             self.ids, self.positions, self.pending = [], [], 0
 
     def rows(self) -> Iterator[tuple]:
-        """``(block, kind, first, doc_ids, payload)``; a block is named by the hash of its words."""
+        """``(block, kind, first, doc_ids, payload)``; a block's name has the hash of its words, and where it was cut.
+
+        Blocks of equal words have different names, so a repeated text doesn't lead them into one task.
+        """
         self.pack()
         words = [word.encode("utf-8") for word in self.words]
         name = xxhash.xxh64(digest_input := b"\0".join(words)).intdigest()
-        name = np.uint64(name ^ len(digest_input)).view(np.int64).item()
+        name = xxhash.xxh64(f"{name}:{len(digest_input)}:{self.place}").intdigest()
+        name = np.uint64(name).view(np.int64).item()
         for first in range(0, len(words), _WORDS_PER_ROW):
             part = words[first : first + _WORDS_PER_ROW]
             sizes = np.array([len(w) for w in part], "<u4").tobytes()
@@ -238,7 +246,7 @@ def encode(
     ids. Ids may repeat or be NULL; extra columns are ignored; no rows give no rows.
 
     A block holds the documents of one input partition up to about ``block_chars``
-    characters, or one longer document. Blocks are shuffled once, and both the words and the
+    characters, or one longer document; a row counts as ``_ROW_CHARS`` more, so empty texts fill blocks too. Blocks are shuffled once, and both the words and the
     documents are taken from that shuffle.
     """
     spark = docs.sparkSession
@@ -269,7 +277,12 @@ def encode(
                     names=["block", "kind", "first", "doc_ids", "payload"],
                 )
 
-        block = Block(split)
+        part_id, cuts = TaskContext.get().partitionId(), itertools.count()
+
+        def opened() -> Block:
+            return Block(split, f"{part_id}:{next(cuts)}")
+
+        block = opened()
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             # Few texts at a time: as Python strings they take as much memory as the batch again.
@@ -278,7 +291,7 @@ def encode(
                     block.add(key, value or "", doubtful)
                     if block.chars >= block_chars:
                         yield from finish(block)
-                        block = Block(split)
+                        block = opened()
         if block.ids or block.done:
             yield from finish(block)
 
