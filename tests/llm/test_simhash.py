@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter, defaultdict
 
 import xxhash
 from samples import no_docs, odd_docs, odd_texts, plain_docs, prose
@@ -157,3 +159,33 @@ def test_blocks_compare_every_pair(spark, monkeypatch):
     named = classes(set(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     kept = simhash.drop_near_duplicates(plain_docs(spark, texts))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(named.values()))
+
+
+def test_near_duplicates_of_four_thousand_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(4000).collect()
+    sets = [frozenset(simhash.shingle_hashes(simhash.words_of(r.text), 5).tolist()) for r in rows]
+    # Every pair of 0.8 shares one of the rarest shingles of the smaller set.
+    counts = Counter(s for one in sets for s in one)
+    holders, parent = defaultdict(list), list(range(len(rows)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, one in enumerate(sets):
+        rare = sorted(one, key=lambda s: (counts[s], s))[: len(one) - math.ceil(0.8 * len(one)) + 1]
+        for j in {j for s in rare for j in holders[s]}:
+            if len(one & sets[j]) >= 0.8 * len(one | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+        for s in rare:
+            holders[s].append(i)
+    blank = [i for i, one in enumerate(sets) if not one]
+    for i in blank[1:]:
+        parent[top(i)] = top(blank[0])
+    want = {rows[i].doc_id for i in range(len(rows)) if top(i) == i}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = simhash.drop_near_duplicates(docs.repartition(8))
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == want
+    assert len(want) < len(rows) - 50

@@ -253,7 +253,7 @@ def drop_near_duplicates(
             hashes = run_hashes(found, words)
             distinct = np.unique(hashes)
             prints.append(int(majority_bits(hashes, np.zeros(1, np.int64))[0]) if len(hashes) else 0)
-            wholes.append(xxhash.xxh64_intdigest(b" ".join(found), SEED))
+            wholes.append(xxhash.xxh128_digest(b" ".join(found), SEED))
             amounts.append(len(distinct))
             shorts.append((distinct if len(distinct) <= SHORT else distinct[:0]).view(np.int64))
             # A partner of a text beyond SHORT has at least the similar part of it.
@@ -261,21 +261,23 @@ def drop_near_duplicates(
             shares.append((segment_signatures(distinct) if long else distinct[:0]).view(np.int64))
         return [
             pa.array(np.array(prints, np.uint64).view(np.int64)),
-            pa.array(np.array(wholes, np.uint64).view(np.int64)),
+            pa.array(wholes, pa.binary()),
             pa.array(amounts, pa.int64()),
             pa.array(shorts, pa.list_(pa.int64())),
             pa.array(shares, pa.list_(pa.int64())),
         ]
 
-    made = {fp: "long", whole: "long", amount: "long", short: "array<long>", signatures: "array<long>"}
+    made = {fp: "long", whole: "binary", amount: "long", short: "array<long>", signatures: "array<long>"}
     marked = append_columns(docs, [text], made, work, keep=[doc_id])
     rank = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"))
     alike = [F.first(made_name).alias(name) for made_name, name in zip((fp, amount, short, signatures), (names[0], *names[2:]), strict=True)]
-    texts = checkpointed(marked.groupBy(F.col(whole).alias("whole")).agg(F.min(rank).alias("rank"), *alike))
+    # Equal texts are one from here on: 128 bits tell texts apart. The checkpoint fixes their numbers.
+    texts = checkpointed(marked.groupBy(F.col(whole).alias("digest")).agg(F.min(rank).alias("rank"), *alike))
+    texts = texts.withColumn("whole", F.monotonically_increasing_id())
     close = _close_prints(texts)
     shared = _shared_keys(texts, close, similarity)
     pairs = checkpointed(_candidates(shared, close))
-    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct().join(texts, "whole").select("whole", "rank.id"))
+    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct().join(texts, "whole").select("whole", "digest", "rank.id"))
     shingled = checkpointed(_shingle_sets(docs, ends, doc_id, text, words))
     links = checkpointed(_verified(pairs, shingled, similarity))
     joined = components(links, "a", "b").withColumnRenamed("node", "whole")
@@ -285,24 +287,25 @@ def drop_near_duplicates(
     more = read_trips(docs.sparkSession, stored)
     if not more.isEmpty():
         joined = components(links.unionAll(more), "a", "b").withColumnRenamed("node", "whole")
-    named = texts.select("whole", "rank").join(joined, "whole", "left")
+    named = texts.select("whole", "digest", "rank").join(joined, "whole", "left")
     groups = named.groupBy(F.coalesce("component", "whole")).agg(
-        F.min(F.struct("rank.no_id", "rank.id", "whole")).alias("first")
+        F.min(F.struct("rank.no_id", "rank.id", "whole", "digest")).alias("first")
     )
-    winners = checkpointed(groups.select(F.col("first.id").alias("win_id"), F.col("first.whole").alias("win_whole")))
-    rows = _with_whole(docs, text, whole)
+    winners = checkpointed(groups.select(F.col("first.id").alias("win_id"), F.col("first.digest").alias("win_whole")))
+    rows = _with_digest(docs, text, whole)
     kept = rows.join(
         winners, (F.col(whole) == F.col("win_whole")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("win_id")), "left_semi"
     )
     return kept.dropDuplicates([whole, doc_id]).select(*[F.col(f"`{c}`") for c in columns])
 
 
-def _with_whole(docs: DataFrame, text: str, out: str) -> DataFrame:
+def _with_digest(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """``docs`` with the 128-bit digest of each text's words."""
+
     def work(arrays: list[pa.Array]) -> list[pa.Array]:
-        made = [xxhash.xxh64_intdigest(b" ".join(words_of(t)), SEED) for t in arrays[0].to_pylist()]
-        return [pa.array(np.array(made, np.uint64).view(np.int64))]
+        return [pa.array([xxhash.xxh128_digest(b" ".join(words_of(t)), SEED) for t in arrays[0].to_pylist()], pa.binary())]
 
-    return append_columns(docs, [text], {out: "long"}, work)
+    return append_columns(docs, [text], {out: "binary"}, work)
 
 
 def _close_prints(texts: DataFrame) -> DataFrame:
@@ -482,15 +485,15 @@ def _rest_of_groups(shared: DataFrame, joined: DataFrame, sets: DataFrame, simil
 
 def _shingle_sets(docs: DataFrame, ends: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """``(whole, shingles)``: the sorted distinct shingle hashes of one row for each wanted text."""
-    slim = _with_whole(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", "of")
-    wanted = ends.select(F.col("whole").alias("want"), F.col("id").alias("want_id"))
-    rows = slim.join(wanted, (F.col("of") == F.col("want")) & F.col("id").eqNullSafe(F.col("want_id")), "left_semi")
+    slim = _with_digest(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", "of")
+    wanted = ends.select("whole", F.col("digest").alias("want"), F.col("id").alias("want_id"))
+    rows = slim.join(wanted, (F.col("of") == F.col("want")) & F.col("id").eqNullSafe(F.col("want_id")))
 
     def work(arrays: list[pa.Array]) -> list[pa.Array]:
         return [pa.array([shingle_hashes(words_of(t), words).tobytes() for t in arrays[0].to_pylist()], pa.binary())]
 
-    sets = append_columns(rows, ["text"], {"shingles": "binary"}, work, keep=["of"])
-    return sets.select(F.col("of").alias("whole"), "shingles").dropDuplicates(["whole"])
+    sets = append_columns(rows, ["text"], {"shingles": "binary"}, work, keep=["whole"])
+    return sets.dropDuplicates(["whole"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
