@@ -21,15 +21,26 @@ NARRATOR = "system"
 SYSTEM_HEAD = "<|system|>\n"
 
 
+# How text that could pass for a mark is written, in this order.
+ESCAPES = (("&", "&amp;"), ("<|", "&lt;|"), ("|>", "|&gt;"))
+
+
+def escaped(text: Column) -> Column:
+    """``text`` without the characters of a mark; the replacements can be undone in reverse order."""
+    for plain, safe in ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(safe))
+    return text
+
+
 def _segments(speaker: Column, viewer: Column, text: Column) -> tuple[Column, Column, Column]:
-    """Head, body and mask of a turn as ``viewer`` sees it."""
+    """Head, body and mask of a turn as ``viewer`` sees it; neither names nor texts can pass for marks."""
     own = speaker == viewer
     head = (
         F.when(own, F.lit(ASSISTANT_HEAD))
         .when(speaker == NARRATOR, F.lit(SYSTEM_HEAD))
-        .otherwise(F.concat(F.lit(USER_HEAD), speaker, F.lit(HEAD_END)))
+        .otherwise(F.concat(F.lit(USER_HEAD), escaped(speaker), F.lit(HEAD_END)))
     )
-    return head, F.concat(text, F.lit(TURN_END)), own.cast("int")
+    return head, F.concat(escaped(text), F.lit(TURN_END)), own.cast("int")
 
 
 def rotate_perspectives(

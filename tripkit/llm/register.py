@@ -161,7 +161,13 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     return collisions.nearest(read_table(spark, folder, "embeddings"))
 
 
-PERSPECTIVES_SQL = """
+def escaped_sql(column: str) -> str:
+    for plain, safe in chat.ESCAPES:
+        column = f"replace({column}, '{plain}', '{safe}')"
+    return column
+
+
+PERSPECTIVES_SQL = f"""
 WITH slim AS (
   SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body
   FROM conversations),
@@ -172,8 +178,8 @@ seen AS (
   SELECT r.conv_id, participant, r.place // 64 AS part, r.place, speaker = participant AS own,
          CASE WHEN speaker = participant THEN '<|assistant|>' || chr(10)
               WHEN speaker = 'system' THEN '<|system|>' || chr(10)
-              ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head,
-         body || '<|end|>' || chr(10) AS tail
+              ELSE '<|user name=' || {escaped_sql('speaker')} || '|>' || chr(10) END AS head,
+         {escaped_sql('body')} || '<|end|>' || chr(10) AS tail
   FROM ranked r JOIN people p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
   SELECT *, coalesce(sum(length(head) + length(tail)) OVER (
