@@ -58,6 +58,39 @@ def test_rebalancing_edits_the_map(spark, tmp_path):
 TURNS = "conv_id long, turn long, role string, text string, place long, part string, `of` int"
 
 
+def test_copies_are_dealt_over_shards_of_equal_bytes(spark):
+    # A third of the rows are alike in all columns.
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot text' ELSE concat('text ', id) END AS text")
+    rows = slots.shard(docs, shards=8).collect()
+    load, places = defaultdict(int), defaultdict(list)
+    for r in rows:
+        load[r.shard] += r["size"]
+        places[r.shard].append(r.position)
+    assert len(rows) == 3000 and max(load.values()) <= 1.02 * min(load.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert len({r.shard for r in rows if r.row.doc_id == -1}) == 8
+    few = slots.shard(docs.where("doc_id <> -1"), shards=8).collect()
+    mine = {r.row.doc_id: r.virtual_slot for r in rows if r.row.doc_id != -1}
+    assert all(mine[r.row.doc_id] == r.virtual_slot for r in few)
+
+
+def test_a_stored_map_is_made_once_and_edited(spark, tmp_path):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "repeat('x', CAST(id % 50 AS INT)) AS text")
+    folder = str(tmp_path / "map")
+    first = {r.row.doc_id: (r.virtual_slot, r.shard) for r in slots.shard(docs, shards=4, map_folder=folder).collect()}
+    stored = slots.load_map(spark, folder)
+    assert stored.version == 1 and all(stored.shard_of[slot] == shard for slot, shard in first.values())
+    more = docs.unionAll(spark.range(2000, 2500).selectExpr("id", "'new'"))
+    again = {r.row.doc_id: (r.virtual_slot, r.shard) for r in slots.shard(more, shards=4, map_folder=folder).collect()}
+    assert all(again[i] == place for i, place in first.items())  # nothing moves until the map is edited
+    sizes = [0] * slots.SLOTS
+    for r in slots.slot_sizes(slots.with_slots(docs)).collect():
+        sizes[r.virtual_slot] = r.bytes
+    slots.save_map(spark, slots.rebalanced(stored, sizes, 5), folder)
+    grown = {r.row.doc_id: (r.virtual_slot, r.shard) for r in slots.shard(docs, map_folder=folder).collect()}
+    assert {place for i, place in grown.items() if place != first[i]} and all(place == first[i] or place[1] == 4 for i, place in grown.items())
+
+
 def safe(text):
     return text.replace("&", "&amp;").replace("<|", "&lt;|").replace("|>", "|&gt;")
 

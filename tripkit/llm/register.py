@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripkit.llm import bpe, chat, collisions, learn, mixing, pivots, quality, simhash, slots, spelling, spotsigs, toxicity, warc, whitening
+from tripkit.operators.layout import ensure_checkpoint_dir
 from tripkit.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,7 +125,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @register("op7_virtual_slots")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").withColumn("text_crc32", slots.text_crc32(F.col("text")))
-    return slots.shard(docs, shards=16, carry=["doc_id", "text_crc32"]).select(
+    # The first run of a corpus: version 1 of its map is made, stored and read back.
+    folder = f"{ensure_checkpoint_dir(spark)}/slot-map-{uuid.uuid4()}"
+    return slots.shard(docs, shards=16, carry=["doc_id", "text_crc32"], map_folder=folder).select(
         "row.doc_id",
         "size",
         "row.text_crc32",

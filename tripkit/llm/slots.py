@@ -14,11 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripkit.llm.common import row_hash
+from tripkit.llm.common import broadcast_if_small, row_hash
 from tripkit.operators.layout import checkpointed
 
 SLOTS = 4096
 SHARDS = 16
+# Rows alike in all columns stay in one slot up to so many copies; more are dealt over the slots.
+COPIES = 64
 
 
 @dataclass(frozen=True)
@@ -86,6 +88,12 @@ def save_map(spark: SparkSession, slot_map: SlotMap, folder: str) -> None:
     spark.createDataFrame(rows, "version int, slot int, shard int").coalesce(1).write.mode("append").parquet(folder)
 
 
+def has_map(spark: SparkSession, folder: str) -> bool:
+    """Whether ``folder`` holds a map, in whatever store Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def load_map(spark: SparkSession, folder: str, version: int | None = None) -> SlotMap:
     """One version of a stored map, the latest by default. Maps have one row per slot."""
     table = spark.read.parquet(folder)
@@ -102,15 +110,23 @@ def with_slots(
 ) -> DataFrame:
     """The columns ``carry`` of ``docs`` (default: all) in ``row``, with ``size`` (UTF-8 bytes plus 1), ``mark`` and ``virtual_slot``.
 
-    The slot is that of a hash of the whole row, so rows that share an id or a text spread out;
-    only rows alike in all columns meet. A NULL text has no bytes.
+    The slot is that of a hash of the whole row, so rows that share an id or a text spread out.
+    Rows that are alike in all columns can stand for one another: more than ``COPIES`` of them
+    are dealt over the slots by their place in the input, so that no slot fills up with copies. ``docs`` is
+    a stored table, whose rows come in the same order whenever a task reads them. A NULL text has no bytes.
     """
     mark = row_hash(docs, F.lit(SLOTS))
-    return docs.select(
+    many = docs.select(mark.alias("hot")).groupBy("hot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COPIES)
+    hot = broadcast_if_small(checkpointed(many.select("hot")))
+    packed = docs.select(
         F.struct(*[docs[f"`{c}`"] for c in (carry or docs.columns)]).alias("row"),
         (F.coalesce(F.octet_length(docs[f"`{text}`"].cast("string")), F.lit(0)) + 1).cast("long").alias("size"),
         mark.alias("mark"),
-        F.pmod(mark, F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    dealt = F.when(F.col("hot").isNotNull(), F.xxhash64("mark", "at")).otherwise(F.col("mark"))
+    return packed.join(hot, F.col("mark") == F.col("hot"), "left").select(
+        "row", "size", dealt.alias("mark"), F.pmod(dealt, F.lit(slots)).cast("int").alias("virtual_slot")
     )
 
 
@@ -126,11 +142,12 @@ def shard(
     slots: int = SLOTS,
     slot_map: SlotMap | None = None,
     carry: Sequence[str] | None = None,
+    map_folder: str | None = None,
 ) -> DataFrame:
     """``(row, size, virtual_slot, shard, position)``: every row's shard and its number in the shard.
 
-    Without ``slot_map`` the map is made from the slots' bytes, so shards get nearly equal
-    bytes. The driver sees one count and one size per slot. Positions in a shard run from 0
+    Without ``slot_map`` the latest map in ``map_folder`` is taken; if there is none yet, one is made
+    from the slots' bytes, so that shards get nearly equal bytes, and stored there as version 1. The driver sees one count and one size per slot. Positions in a shard run from 0
     without gaps, slot after slot and by row hash within a slot, so that a task numbers one
     slot, never a shard. No rows give no rows.
     """
@@ -139,7 +156,13 @@ def shard(
     sizes, numbers = [0] * slots, [0] * slots
     for r in counts:
         sizes[r["virtual_slot"]], numbers[r["virtual_slot"]] = r["bytes"], r["n"]
-    slot_map = slot_map or balanced_map(sizes, shards)
+    if slot_map is None and map_folder is None:
+        slot_map = balanced_map(sizes, shards)
+    elif slot_map is None:
+        spark = docs.sparkSession
+        if not has_map(spark, map_folder):
+            save_map(spark, balanced_map(sizes, shards), map_folder)
+        slot_map = load_map(spark, map_folder)
     if len(slot_map.shard_of) != slots:
         raise ValueError("the map has another number of slots")
     offsets, filled = [0] * slots, [0] * slot_map.shards
