@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tripkit.llm.common import append_columns
+from tripkit.llm.common import append_columns, release
 
 BLOCK_CHARS = 1 << 25
 _WORDS_PER_ROW = 1 << 16
@@ -294,6 +294,8 @@ def encode(
                         block = opened()
         if block.ids or block.done:
             yield from finish(block)
+        del block
+        release()
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = whole_word_encoder(read_ranks(ranks.value))
@@ -320,6 +322,7 @@ def encode(
                 blocks, places, lengths, ids = [], [], [], []
         if lengths:
             yield packed()
+        release()
 
     tagged = chosen.mapInArrow(cut, tagged_schema).repartition("block")
     words = tagged.mapInArrow(_unpack_words, "block long, word string, place int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -23,6 +24,18 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def release() -> None:
+    """Give freed memory back to the machine.
+
+    Python workers outlive their tasks, and what they keep for reuse is missing elsewhere on
+    the executor. Does nothing where the C library has no such call.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """``df``, marked for broadcast if it has at most ``rows`` rows; a plain join side beyond that.
 
@@ -96,5 +109,6 @@ def append_columns(
                 part = batch.slice(at, at_once)
                 made = work([part.column(name) for name in input_names])
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept_names), *made], names=schema.names)
+        release()
 
     return used.mapInArrow(run, schema).toDF(*kept, *outputs)

@@ -21,7 +21,8 @@ from tripkit.llm.learn import training_sample
 from tripkit.operators.layout import cached
 
 PASSAGE_WORDS = 64
-_SEGMENT_BYTES = 1 << 21
+# So many bytes are encoded at once: some 70 times as much is needed beside them.
+_SEGMENT_BYTES = 1 << 18
 # How a byte of UTF-8 counts.
 _SPACES = (9, 10, 11, 12, 13, 32)
 FEATURES = (
