@@ -82,3 +82,36 @@ def test_near_pairs_against_all_pairs(spark, threshold):
     want = {(a, b) for a in sets for b in sets if a < b and spotsigs.jaccard(sets[a], sets[b]) >= threshold}
     got = spotsigs.near_pairs(plain_docs(spark, texts), threshold).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_next_of_rows_that_share_an_id(spark):
+    texts = [f"text {i}" for i in range(300)]
+    rows = [(7 if i % 3 else None, t) for i, t in enumerate(texts)] + [(1, "one"), (9, "nine"), (7, "text 1"), (7, "text 1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = spotsigs.with_next(docs, range_bytes=64).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in rows)
+    assert sorted(r.next_text for r in got) == sorted(t for _, t in rows)
+    # From NULL ids over 1 and 7 to 9, and round: each id's block is left once.
+    where = {t: str(i) for i, t in rows}
+    left = sorted((str(r.doc_id), where[r.next_text]) for r in got if where[r.next_text] != str(r.doc_id))
+    assert left == [("1", "7"), ("7", "9"), ("9", "None"), ("None", "1")]
+
+
+@pytest.mark.parametrize(("threshold", "block"), [(0.5, 200), (0.55, 4096)])
+def test_near_pairs_with_a_signature_in_every_set(spark, threshold, block):
+    # 3,000 sets that share one signature; a few share more.
+    texts = [f"the shared anchor1x{i} the only{i} own{i}" for i in range(3000)]
+    texts = ["the shared word " + t.split(" ", 2)[2].replace("anchor1x", "w") for t in texts]
+    texts += [f"{t} the extra tail" for t in texts[:40]]
+    sets = [set(spotsigs.signatures(t).tolist()) for t in texts]
+    by_sig = {}
+    for i, found in enumerate(sets):
+        for sig in found:
+            by_sig.setdefault(sig, []).append(i)
+    # Two sets that share no rare signature have at most the shared ones in common.
+    rare = {(a, b) for ids in by_sig.values() if len(ids) < 100 for a in ids for b in ids if a < b}
+    want = {(a, b) for a, b in rare if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
+    common = {sig for sig, ids in by_sig.items() if len(ids) >= 100}
+    assert all(len(common) / (2 * len(s) - len(common)) < threshold for s in sets)
+    got = spotsigs.near_pairs(plain_docs(spark, texts), threshold, block=block).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)

@@ -13,15 +13,18 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripkit.llm.common import append_columns
-from tripkit.operators.layout import checkpointed
+from tripkit.llm.common import append_columns, broadcast_if_small
+from tripkit.llm.simhash import CELLS, rarest_shingles
+from tripkit.operators.layout import checkpointed, with_position
 
 CHAIN = 2
+RANGE_BYTES = 256 << 20
 # Common words that are anchors, and further ones that only chains skip.
 ANCHORS = frozenset(
     "a an the is are was were be to of in and that with for on from by it this or as at "
@@ -65,7 +68,7 @@ def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     few, many = sorted((len(a), len(b)))
     if many == 0:
         return 1.0
-    if few < least * many:
+    if few < (least - 1e-9) * many:
         return 0.0
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (few + many - both)
@@ -80,48 +83,52 @@ def with_spotsigs(docs: DataFrame, text: str = "text", out: str = "signatures",
     return append_columns(docs, [text], {out: "binary"}, work)
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _cuts(rows: DataFrame, low: Column, range_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first key ``(low, tie)`` of each of about ``range_count`` ranges of equally many rows, in order."""
+    placed = with_position(rows.select(low.alias("low"), F.xxhash64("text").alias("tie")), F.col("low"), F.col("tie"), out="at")
+    step = max(1, -(-placed.count() // range_count))
+    heads = placed.where(F.col("at") % step == 0).select("low", "tie").distinct().toArrow().sort_by([("low", "ascending"), ("tie", "ascending")])
+    return heads["low"].to_numpy(), heads["tie"].to_numpy()
+
+
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``(doc_id, text, next_text)``: each text (NULL: empty) beside that of the next id, after the last the first.
 
     Rows that repeat an id follow one another in the order of their texts' hashes; NULL ids come
-    first. Ranges of ids are split where the sorted ids of a first, narrow pass say; the first
-    rows of a range are sent to the range before it as well, so every text is shuffled
-    about once and no range needs another. A single row is its own next.
+    first. A narrow pass sorts ids and hashes and cuts them into ranges of equally many rows, so
+    that rows of one id, or without one, are split too; only rows alike in both stay together.
+    The cuts, one for about ``range_bytes`` of text, are looked up by bisection. The first row
+    of a range is sent to the range before it as well: every text is shuffled about once and no
+    range needs another. A single row is its own next; an empty table has no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
-    session = docs.sparkSession
-    wanted = 4 * int(session.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / wanted for i in range(1, wanted)]
-    cuts = sorted(set(ids.where("doc_id is not null").approxQuantile("doc_id", shares, 0.25 / wanted) or []))
-    cuts = [int(c) for c in cuts]
-    # The range of a row is the number of cuts at or below its id; NULL ids go to the first.
     low = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<long>")
-
-    def range_of(key: Column) -> Column:
-        return F.size(F.filter(bounds, lambda c: c <= key)) if cuts else F.lit(0)
-
-    # The smallest id of each range: one row per range, of which there are ``wanted`` at most.
-    heads = [
-        (r["range"], r["head"])
-        for r in ids.groupBy(range_of(low).alias("range")).agg(F.min(low).alias("head")).orderBy("range").collect()
-    ]
-    if not heads:
+    session = docs.sparkSession
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * range_bytes)))
+    cuts = _cuts(rows, low, max(4 * parts, -(-total // range_bytes)))
+    if not len(cuts[0]):
         return rows.withColumn("next_text", F.lit(""))
-    before = {heads[i][1]: heads[i - 1][0] for i in range(len(heads))}
-    pairs = [F.lit(x) for head, r in before.items() for x in (head, r)]
-    sent = F.create_map(*pairs)[low]
-    copies = F.explode(
-        F.array_compact(F.array(F.struct(range_of(low).alias("range"), F.lit(False).alias("copy")),
-                                F.when(sent.isNotNull(), F.struct(sent.alias("range"), F.lit(True).alias("copy")))))
-    )
-    dealt = rows.select("doc_id", "text", low.alias("low"), copies.alias("to"), F.xxhash64("text").alias("tie"))
+    sent = session.sparkContext.broadcast(cuts)
+
+    def ranges(lows: pd.Series, ties: pd.Series) -> pd.Series:
+        """The range of each key and, where it is the first of its range, the range before."""
+        first, tie = sent.value
+        keys, own = lows.to_numpy(), ties.to_numpy()
+        start, end = np.searchsorted(first, keys, "left"), np.searchsorted(first, keys, "right")
+        found = []
+        for s, e, t in zip(start.tolist(), end.tolist(), own.tolist(), strict=True):
+            at = s + int(np.searchsorted(tie[s:e], t, "right")) - 1 if e > s else e - 1
+            head = at >= s and tie[at] == t
+            found.append([at, (at - 1) % len(first)] if head else [at])
+        return pd.Series(found)
+
+    to = F.pandas_udf(ranges, "array<int>")(F.col("low"), F.col("tie"))
+    keyed = rows.select("doc_id", "text", low.alias("low"), F.xxhash64("text").alias("tie"))
+    dealt = keyed.withColumn("to", to).select("doc_id", "text", "low", "tie", F.posexplode("to").alias("copy", "range"))
     order = Window.partitionBy("range").orderBy("copy", "low", "tie")
-    moved = dealt.select("doc_id", "text", "low", "tie", "to.range", "to.copy")
-    return (
-        moved.withColumn("next_text", F.lead("text").over(order)).where("not copy").select("doc_id", "text", "next_text")
-    )
+    moved = dealt.repartition(parts, "range").withColumn("next_text", F.lead("text").over(order))
+    return moved.where("copy = 0").select("doc_id", "text", "next_text")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -130,42 +137,62 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
 
 
-def near_pairs(docs: DataFrame, threshold: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_pairs(docs: DataFrame, threshold: float, doc_id: str = "doc_id", text: str = "text", block: int = 4096) -> DataFrame:
     """``(a, b, likeness)``: pairs of distinct fingerprints, by their smallest ids, at ``threshold`` or above.
 
-    Equal fingerprints are one class, named by its smallest id, and are not paired. Sets are
+    Equal fingerprints are one class, named by its smallest id, and are not paired; a class whose
+    ids are all NULL has no name and no pairs. Sets are
     dealt to partitions of similar length (neighbouring lengths whose ratio stays within
     the threshold); a set looks into its own and the next one. Inside, two sets can reach the
     threshold only if they share one of their first signatures in the order of rarity, as many
-    as ``len - ceil(threshold * len) + 1``; those are the keys of an equality join, pruned by the
-    ratio of lengths before the sets themselves are compared.
+    as ``len - ceil(threshold * len) + 1``; those are the keys of an equality join. A pair goes on
+    only if the ratio of lengths and what both sets have left from their first common signature
+    on can still reach the threshold; then the sets themselves are compared. Rarity is counted in
+    2**18 cells over all sets. A key of more than ``block`` sets is joined in blocks of its left
+    side, each a key of its own, so no task gets all of it.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie above 0 and at most at 1")
     marked = with_spotsigs(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), "text", "sigs")
     sets = checkpointed(marked.groupBy("sigs").agg(F.min("id").alias("id")).where("id is not null"))
 
-    def unpacked(arrays: list[pa.Array]) -> list[pa.Array]:
-        return [pa.array([np.frombuffer(s, "<i8") for s in arrays[0].to_pylist()], pa.list_(pa.int64()))]
+    def cells(arrays: list[pa.Array]) -> list[pa.Array]:
+        own = [(np.frombuffer(s, "<u8") & np.uint64(CELLS - 1)).astype("<i4") for s in arrays[0].to_pylist()]
+        return [pa.array(own, pa.list_(pa.int32()))]
+
+    counted = append_columns(sets, ["sigs"], {"cells": "array<int>"}, cells, keep=[])
+    loads = np.zeros(CELLS, np.int64)
+    for row in checkpointed(counted.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))).collect():
+        loads[row["cell"]] = row["n"]  # at most CELLS rows
+    sent = sets.sparkSession.sparkContext.broadcast(loads)
+
+    def rarest(arrays: list[pa.Array]) -> list[pa.Array]:
+        found = [rarest_shingles(np.frombuffer(s, "<u8"), sent.value, threshold) for s in arrays[0].to_pylist()]
+        return [pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))]
 
-    single = append_columns(sets, ["sigs"], {"list": "array<long>"}, unpacked)
-    counts = single.select(F.explode("list").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     size = (F.length("sigs") / 8).cast("int")
-    ranked = (
-        single.select("id", size.alias("size"), F.explode("list").alias("sig"))
-        .join(checkpointed(counts), "sig")
-        .groupBy("id", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "sig"))).alias("order"))
-    )
-    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")).cast("int") + 1
-    # At 1 only sets of one length can be equal, and the length is the partition.
-    part = F.floor(F.log(F.col("size")) / F.lit(-math.log(threshold))) if threshold < 1 else F.col("size").cast("long")
-    keys = checkpointed(ranked.select("id", "size", part.alias("part"), F.explode(F.slice("order", 1, keep)).alias("key")).select("id", "size", "part", "key.sig"))
-    left = keys.select(F.col("id").alias("x"), F.col("size").alias("x_size"), F.explode(F.array("part", F.col("part") + 1)).alias("part"), "sig")
-    right = keys.select(F.col("id").alias("y"), F.col("size").alias("y_size"), "part", "sig")
+    # At 1 only sets of one length can be equal, and the length is the partition. Below, a
+    # partition is a hair wider than the threshold asks, so that rounding separates no pair.
+    part = F.floor(F.log("size") / F.lit(-math.log(threshold * (1 - 1e-9)))) if threshold < 1 else F.col("size").cast("long")
+    ranked = append_columns(sets.select("id", size.alias("size"), "sigs"), ["sigs"], {"rare": "array<long>"}, rarest, keep=["id", "size"])
+    keys = checkpointed(ranked.select("id", "size", part.alias("part"), F.posexplode("rare").alias("at", "sig")))
+    # The left side is split only as far as its own rows under the key ask for.
+    hot = checkpointed(keys.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1"))
+    keys = keys.join(broadcast_if_small(hot), "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    left = keys.select(
+        F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("at").alias("x_at"), "sig",
+        F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(F.array("part", F.col("part") + 1)).alias("part"),
+    )
+    right = keys.select(
+        F.col("id").alias("y"), F.col("size").alias("y_size"), F.col("at").alias("y_at"), "sig", "part",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"),
+    )
+    least = F.lit(threshold - 1e-9)
+    in_reach = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
     pairs = (
-        left.join(right, ["part", "sig"])
-        .where((F.col("x") != F.col("y")) & (F.least("x_size", "y_size") >= F.lit(threshold) * F.greatest("x_size", "y_size")))
+        left.join(right, ["part", "sig", "block"])
+        .where((F.col("x") != F.col("y")) & (F.least("x_size", "y_size") >= least * F.greatest("x_size", "y_size")))
+        .where(in_reach >= least * (F.col("x_size") + F.col("y_size") - in_reach))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
