@@ -165,22 +165,71 @@ def test_stems_letters_signs_and_runs():
     assert lexicon.lookup("") is None
 
 
-def test_quotation_is_told_from_abuse():
+def around(i, body):
+    """``body`` between words that hardly any other text has."""
+    rng = np.random.default_rng(i)
+    filler = [f"w{v}" for v in rng.integers(0, 5000, 30)]
+    return " ".join([*filler[:15], *body.split(), *filler[15:]])
+
+
+def test_quotation_is_told_from_abuse_by_learned_windows(spark):
+    # The texts use none of the usual words: what tells them apart is in the labels alone.
+    rows = [(around(i, f"zib vor left{i} grubnik right{i} nu kelt"), 1) for i in range(60)]
+    rows += [(around(100 + i, f"paltem orun left{i} grubnik sef"), 0) for i in range(8)]
+    rows += [(around(200 + i, f'dro "grubnik" right{i} ane'), 0) for i in range(8)]
+    rows += [(around(1000 + i, "plain harmless talk"), 0) for i in range(600)]
+    docs = plain_docs(spark, [r[0] for r in rows])
+    labels = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, folds=10**6, fold=10**6 - 1)
+    assert "grubnik" in model.terms
+    new = ["zib vor grubnik nu kelt", "zib vor grubnyk nu kelt", "paltem orun grubnik sef", 'dro "grubnik" ane', "plain harmless talk"]
+    frame = plain_docs(spark, [around(5000 + i, t) for i, t in enumerate(new)])
+    score = {r.doc_id: r.score for r in toxicity.with_toxicity(frame, model).collect()}
+    assert score[0] >= 0.7 and score[1] >= 0.7, score
+    assert max(score[2], score[3], score[4]) < 0.7 and max(score[2], score[3]) < min(score[0], score[1]), score
+
+
+def test_windows_weigh_cues_and_leave_a_document_out(spark):
+    spec = toxicity.ToxicSpec(cue_support=2, prior=2.0)
+    rows = [(f"a{i} idiot bad{i}", 1) for i in range(6)] + [("cue idiot x", 0), ("cue idiot y", 0), ("cue idiot y", 0), ("none", 0)]
+    windows = toxicity.learn_windows(spark.createDataFrame(rows, "text string, label int"), {"idiot": 5.0}, spec)
+    usual = 7 / 10  # six of eight different texts with a term, and one more of each kind
+
+    def over(bad, n):
+        share = (bad + 2 * usual) / (n + 2)
+        return np.log(share / (1 - share)) - np.log(usual / (1 - usual))
+
+    assert set(windows.weights) == {"cue", toxicity.PLAIN}
+    assert np.allclose(windows.weights["cue"], [over(0, 2), over(0, 1), over(0, 1)])
+    assert np.allclose(windows.weights[toxicity.PLAIN], [over(6, 8), over(6, 7), over(5, 7)])
+    assert windows.abuse("cue idiot".split(), 1) < windows.abuse("other idiot".split(), 1)
+    empty = toxicity.learn_windows(spark.createDataFrame([], "text string, label int"), {"idiot": 5.0}, spec)
+    assert not empty.weights and empty.base == 0
+
+
+def test_signals_count_what_windows_say():
     terms = {"idiot": 5.0}
     memory = toxicity._Memory(toxicity.Lexicon(terms))
-    names = toxicity.SIGNALS
+    windows = toxicity.Windows({toxicity.IN_QUOTES: (-9.0,) * 3, toxicity.SHOUTED: (9.0,) * 3}, 2.0)
 
     def read(text):
-        return dict(zip(names, toxicity.signals(text, memory, terms), strict=True))
+        return dict(zip(toxicity.SIGNALS, toxicity.signals(text, memory, terms, windows), strict=True))
 
-    abuse, report, cited = read("you are such an idiot !"), read("the word idiot appears"), read('it says "what an idiot" here')
-    assert abuse["exact"] > 0 and abuse["addressed"] > 0 and abuse["quoted"] == 0
-    for other in (report, cited):
-        assert other["quoted"] > 0 and other["exact"] == other["share"] == other["weight"] == 0
+    abuse, cited = read("such an idiot !"), read('it says "what an idiot" here')
+    assert abuse["abuse"] > 0.99 and abuse["quoted"] < 0.01 < abuse["exact"]
+    assert cited["abuse"] < 0.01 and cited["quoted"] > 0.6 and cited["exact"] < 0.01
     assert read("an idoit is no idiott")["misspelled"] > 0
     assert read(None) == read("") and not any(read("").values())
 
 
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 3)
+    memory = toxicity._Memory(toxicity.Lexicon({"idiot": 5.0}))
+    for n in range(20):
+        assert memory[f"word{n}"] is None and memory["idiot"] == ("idiot", 0) and len(memory) <= 3
+    assert memory["x" * 10**6] is None and "x" * 10**6 not in memory
+
+
 def test_a_learned_stem_keeps_its_terms_for_misspellings(spark):
     forms = ["stupid"] * 12 + ["stupidly", "stupids", "stupidity", "stupidest"] * 8
     rows = [(f"left{n} {form} right{n} more", 1) for n, form in enumerate(forms)]

@@ -2,8 +2,9 @@
 
 The lexicon is learned from labels and kept in a trie. For every distinct word of a task a
 Levenshtein automaton of that word walks the trie and finds the term within one edit. Each
-hit is then read in its window: quoted and reported terms are told from addressed ones. A
-logistic model, fitted to the labels, turns the counts into a score.
+hit is then read in its window: what stands around terms in toxic and in other documents is
+learned from the labels too, and tells abuse from quotation. A logistic model, fitted to the
+labels, turns both into a score.
 """
 
 from __future__ import annotations
@@ -24,15 +25,13 @@ from tripkit.llm.learn import training_sample
 from tripkit.operators.layout import cached
 
 WINDOW = 6
+# What a task remembers of the words it met: bounds its memory, not what is found.
+HELD_WORDS = 1 << 18
+HELD_CHARS = 64
+# Pseudo-words of a window: a term inside quotation marks, one that isn't, an exclamation.
+IN_QUOTES, PLAIN, SHOUTED = "<quoted>", "<plain>", "<!>"
 # Digits and signs that stand for letters.
 LETTER_FOR = str.maketrans("013457@$", "oieastas")
-# Words around a quoted term, and words of address, in four languages.
-REPORTING = frozenset(
-    "said says say called calls wrote writes quoted quote reported word term phrase "
-    "dit disait appelle écrit mot terme sagte sagt nannte schrieb wort begriff "
-    "dijo dice llamó escribió palabra término".split()
-)
-ADDRESS = frozenset("you your you're u are tu toi vous ton es du dich dein ihr euch bist eres usted tú".split())
 QUOTES = "\"“”„«»‘’'`"
 _STRIP = re.compile(r"[\W_]+")
 _RUN = re.compile(r"(.)\1{2,}")
@@ -171,45 +170,75 @@ class _Memory(dict):
         self.lexicon = lexicon
 
     def __missing__(self, raw: str):
-        if len(self) > 2_000_000:  # bounds memory; what is dropped is looked up again
-            self.clear()
-        self[raw] = found = self.lexicon.lookup(raw)
+        found = self.lexicon.lookup(raw)
+        if len(raw) <= HELD_CHARS:  # others, and what is dropped, are looked up again
+            if len(self) >= HELD_WORDS:
+                self.clear()
+            self[raw] = found
         return found
 
 
 def quoted(words: list[str], at: int) -> bool:
-    """Whether the word stands in quotation marks opened and closed within its window, or is reported."""
+    """Whether the word stands in quotation marks opened and closed within its window."""
     before, after = words[max(0, at - WINDOW) : at], words[at + 1 : at + 1 + WINDOW]
     word = words[at]
     opened = word[0] in QUOTES or any(w[0] in QUOTES and w[-1] not in QUOTES for w in before)
     closed = word.rstrip(".,;:!?")[-1:] in tuple(QUOTES) or any(w.rstrip(".,;:!?")[-1:] in tuple(QUOTES) for w in after)
-    return opened and closed or any(_STRIP.sub("", w) in REPORTING for w in before)
+    return opened and closed
 
 
-def addressed(words: list[str], at: int) -> bool:
-    """Whether a word of address or an exclamation stands in the window."""
-    window = words[max(0, at - WINDOW) : at + 1 + WINDOW]
-    return any(w.strip(".,;:!?\"'") in ADDRESS for w in window) or any(w.endswith("!") for w in window)
+def cues_at(words: list[str], at: int) -> set[str]:
+    """What stands around the word ``at``: the words of its window, quotation marks, exclamations."""
+    window = words[max(0, at - WINDOW) : at] + words[at + 1 : at + 1 + WINDOW]
+    found = {_STRIP.sub("", w) for w in window} - {""}
+    found.add(IN_QUOTES if quoted(words, at) else PLAIN)
+    if any(w.endswith("!") for w in (*window, words[at])):
+        found.add(SHOUTED)
+    return found
+
+
+@dataclass(frozen=True)
+class Windows:
+    """Weights of cues: log-odds that a document with the cue beside a term is toxic, over ``base``, those of any with a term.
+
+    Three weights for each cue: from all documents that were learned from, and without one that
+    isn't toxic, or one that is. A document that was learned from is read by what the others say.
+    """
+
+    weights: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+    base: float = 0.0
+
+    def abuse(self, words: list[str], at: int, own: int | None = None) -> float:
+        """The probability that the term ``at`` is meant: the strongest cue for it against the strongest one against it."""
+        which = 0 if own is None else 1 + own
+        found = [self.weights[c][which] for c in cues_at(words, at) if c in self.weights]
+        z = self.base + max([0.0, *found]) + min([0.0, *found])
+        return 1 / (1 + math.exp(-z))
+
+
+SIGNALS = ("exact", "misspelled", "quoted", "abuse", "share", "weight")
+
 
+def hits(words: list[str], memory: _Memory) -> list[tuple[int, tuple[str, int]]]:
+    return [(at, hit) for at, hit in enumerate(map(memory.__getitem__, words)) if hit]
 
-SIGNALS = ("exact", "misspelled", "quoted", "addressed", "share", "weight")
 
+def signals(
+    text: str | None, memory: _Memory, terms: dict[str, float], windows: Windows, own: int | None = None
+) -> list[float]:
+    """What a text's hits add up to, each counted as far as its window makes it abuse, the rest as quoted.
 
-def signals(text: str | None, memory: _Memory, terms: dict[str, float]) -> list[float]:
-    """What a text's hits add up to. Quoted hits count as quoted and as nothing else."""
+    ``own`` is the label of a text that the windows were learned from.
+    """
     words = (text or "").lower().split()
-    found = [(at, hit) for at, hit in enumerate(map(memory.__getitem__, words)) if hit]
-    exact = misspelled = cited = direct = 0
-    weight = 0.0
-    for at, (term, edits) in found:
-        if quoted(words, at):
-            cited += 1
-            continue
-        exact, misspelled = exact + (edits == 0), misspelled + (edits > 0)
-        direct += addressed(words, at)
-        weight = max(weight, terms[term])
+    exact = misspelled = cited = most = weight = 0.0
+    for at, (term, edits) in hits(words, memory):
+        meant = windows.abuse(words, at, own)
+        cited += 1 - meant
+        exact, misspelled = exact + meant * (edits == 0), misspelled + meant * (edits > 0)
+        most, weight = max(most, meant), max(weight, meant * terms[term])
     share = 100 * (exact + misspelled) / max(len(words), 1)
-    return [math.log1p(exact), math.log1p(misspelled), math.log1p(cited), math.log1p(direct), min(share, 5.0), weight]
+    return [math.log1p(exact), math.log1p(misspelled), math.log1p(cited), most, min(share, 5.0), weight]
 
 
 @dataclass(frozen=True)
@@ -218,7 +247,8 @@ class ToxicSpec:
     of their toxic documents, between as many separate neighbours, with log-odds of ``odds`` or
     more (a stem of ``stem_odds``). Under 100 toxic documents for each of ``support``, one in a
     hundred is enough, but 3 at least. All such terms are kept, of any length; those of up to
-    four letters only match exactly."""
+    four letters only match exactly. A cue must stand beside terms in ``cue_support`` documents;
+    ``prior`` documents of the usual mix are added to what is known of it."""
 
     max_docs: int = 6000
     support: int = 5
@@ -226,12 +256,15 @@ class ToxicSpec:
     stem_odds: float = 4.2
     stems: tuple[int, ...] = (4, 5, 6)
     ridge: float = 0.05
+    cue_support: int = 3
+    prior: float = 2.0
 
 
 @dataclass(frozen=True)
 class ToxicModel:
     terms: dict[str, float]
     weights: np.ndarray
+    windows: Windows = Windows()
 
     def probability(self, rows: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(rows @ self.weights[:-1] + self.weights[-1], -40, 40)))
@@ -348,6 +381,52 @@ def learn_terms(sample: DataFrame, spec: ToxicSpec) -> dict[str, float]:
     return found
 
 
+def learn_windows(sample: DataFrame, terms: dict[str, float], spec: ToxicSpec) -> Windows:
+    """Weights of what stands around terms, from the labels of the documents it stands in.
+
+    Equal texts count once, and so does a cue in one text. Tasks find the cues; the driver gets
+    two counts for each that enough documents of the bounded sample share.
+    """
+    held: list[_Memory] = []
+
+    def cues(columns: list[pa.Array]) -> list[pa.Array]:
+        if not held:
+            held.append(_Memory(Lexicon(terms)))
+        made = []
+        for text in columns[0].to_pylist():
+            words = (text or "").lower().split()
+            at = [place for place, _ in hits(words, held[0])]
+            # The empty cue counts the documents that have a term at all.
+            made.append(sorted({""}.union(*(cues_at(words, place) for place in at))) if at else [])
+        return [pa.array(made, pa.list_(pa.string()))]
+
+    once = sample.groupBy(F.xxhash64("text").alias("h"), "text").agg((F.max("label") > 0).cast("int").alias("toxic"))
+    found = (
+        append_columns(once, ["text"], {"cues": "array<string>"}, cues, keep=["toxic"])
+        .select(F.explode("cues").alias("cue"), "toxic")
+        .groupBy("cue")
+        .agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
+        .where((F.col("n") >= spec.cue_support) | (F.col("cue") == ""))
+        .collect()
+    )
+    counts = {r["cue"]: (r["bad"], r["n"]) for r in found}
+    bad, n = counts.pop("", (0, 0))
+    usual = (bad + 1) / (n + 2)
+    base = math.log(usual / (1 - usual))
+
+    def over(bad: int, n: int) -> float:
+        share = (bad + spec.prior * usual) / (n + spec.prior)
+        return math.log(share / (1 - share)) - base
+
+    return Windows(
+        {
+            cue: (over(bad, n), over(bad, max(n - 1, bad)), over(max(bad - 1, 0), n - 1))
+            for cue, (bad, n) in sorted(counts.items())
+        },
+        base,
+    )
+
+
 def _fit(rows: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     """Logistic regression with a small penalty, by Newton's method."""
     x = np.column_stack([rows, np.ones(len(rows))])
@@ -372,32 +451,34 @@ def fit_toxicity(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> ToxicModel:
-    """Learn terms and weights from a bounded sample of labelled documents outside the fold.
+    """Learn terms, their windows and weights from a bounded sample of labelled documents outside the fold.
 
-    Terms are counted in tasks; the driver gets the terms that several toxic documents of the
+    Terms are counted in tasks; the driver gets the terms and cues that several documents of the
     sample share, and six numbers for each of at most ``max_docs`` documents. Without labels of both kinds nothing is toxic.
     """
     with cached(training_sample(docs, labels, label, folds, fold, spec.max_docs, doc_id, text)) as sample:
         terms = learn_terms(sample, spec)
         if not terms:  # nothing to tell texts apart by
             return ToxicModel({}, np.append(np.zeros(len(SIGNALS)), -4.0))
-        rows = with_signals(sample, terms, "text", "signals").select("signals", "label").collect()
+        windows = learn_windows(sample, terms, spec)
+        rows = with_signals(sample, terms, windows, "text", "signals", "label").select("signals", "label").collect()
     rows.sort(key=lambda r: (r["signals"], r["label"]))
     x = np.array([r["signals"] for r in rows])
     y = np.array([float(r["label"] > 0) for r in rows])
-    return ToxicModel(terms, _fit(x, y, spec.ridge))
+    return ToxicModel(terms, _fit(x, y, spec.ridge), windows)
 
 
-def with_signals(docs: DataFrame, terms: dict[str, float], text: str, out: str) -> DataFrame:
-    """All columns of ``docs`` plus the array of ``SIGNALS``."""
+def with_signals(docs: DataFrame, terms: dict[str, float], windows: Windows, text: str, out: str, own: str) -> DataFrame:
+    """All columns of ``docs``, which were learned from with the labels ``own``, plus the array of ``SIGNALS``."""
     held: list[_Memory] = []
 
     def work(columns: list[pa.Array]) -> list[pa.Array]:
         if not held:
             held.append(_Memory(Lexicon(terms)))
-        return [pa.array([signals(t, held[0], terms) for t in columns[0].to_pylist()], pa.list_(pa.float64()))]
+        rows = zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True)
+        return [pa.array([signals(t, held[0], terms, windows, int(y > 0)) for t, y in rows], pa.list_(pa.float64()))]
 
-    return append_columns(docs, [text], {out: "array<double>"}, work)
+    return append_columns(docs, [text, own], {out: "array<double>"}, work)
 
 
 def with_toxicity(
@@ -413,7 +494,7 @@ def with_toxicity(
     def work(columns: list[pa.Array]) -> list[pa.Array]:
         if not held:
             held.append(_Memory(Lexicon(model.terms)))
-        found = [signals(t, held[0], model.terms) for t in columns[0].to_pylist()]
+        found = [signals(t, held[0], model.terms, model.windows) for t in columns[0].to_pylist()]
         rows = np.array(found).reshape(len(found), len(SIGNALS))
         return [pa.array(model.probability(rows), pa.float64())]
 
