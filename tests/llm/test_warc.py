@@ -6,6 +6,7 @@ from collections import defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tripkit.llm import register, warc
 
@@ -65,15 +66,54 @@ class Drip(io.BytesIO):
 def test_members_across_reads_and_broken_archives():
     records = [warc.page_record(i, f"u{i}", b"x" * i, None, False) for i in range(20)]
     data = b"".join(records)
-    assert [len(p) for _, p in warc.read_records(Drip(data))] == list(range(20))
+    assert [len(p) for _, p, _ in warc.read_records(Drip(data))] == list(range(20))
     with pytest.raises(ValueError, match="ends inside"):
         list(warc.read_records(io.BytesIO(data[:-5])))
     whole = gzip.decompress(records[9])
-    for broken in (whole.replace(b"x" * 9, b"x" * 8 + b"y"), whole.replace(b"Content-Length: ", b"Content-Length: 1", 1), whole[:-2], b"HTTP" + whole):
-        with pytest.raises((ValueError, KeyError)):
+    for broken in (whole.replace(b"x" * 9, b"x" * 8 + b"y"), whole.replace(b"Content-Length: ", b"Content-Length: 1", 1), whole[:-2], b"HTTP" + whole, whole.replace(b"\r\nContent-Length", b"\r\nLength", 1)):
+        with pytest.raises(ValueError):
             list(warc.read_records(io.BytesIO(gzip.compress(broken))))
 
 
+def archive(tmp_path, spark, *records):
+    path = tmp_path / "foreign.warc.gz"
+    path.write_bytes(b"".join(records))
+    return spark.createDataFrame([(f"file://{path}", len(records), 1)], "path string, records long, number int")
+
+
+def test_revisits_name_the_record_that_they_refer_to(spark):
+    rows = warc.read_archives(warc.write_archives(odd_pages(spark), warc.archive_folder(spark))).collect()
+    ids = {r.record_id: r for r in rows}
+    revisits = [r for r in rows if r.record_type == "revisit"]
+    assert revisits and all(ids[r.refers_to_record].page_id == r.refers_to for r in revisits)
+    assert all(r.refers_to_record is None for r in rows if r.record_type != "revisit")
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    block = warc.http_block(None, 77)
+    old = warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": "<a>", "Content-Type": "text/html"}, b"abc")
+    latin = gzip.compress(gzip.decompress(old).replace(b"<a>", b"<caf\xe9>"))
+    revisit = warc.record_bytes({"WARC-Type": "revisit", "WARC-Refers-To": "<a>", "Content-Type": "application/http"}, block)
+    bare = warc.record_bytes({"WARC-Type": "revisit"}, b"")
+    got = warc.read_archives(archive(tmp_path, spark, old, latin, revisit, bare)).collect()
+    assert [(r.record_type, r.payload_bytes, r.refers_to_record, r.record_id) for r in got] == [
+        ("response", 3, None, "<a>"), ("response", 3, None, "<café>"), ("revisit", 77, "<a>", None), ("revisit", None, None, None),
+    ]
+
+
+def test_a_broken_archive_is_named(spark, tmp_path):
+    whole = warc.page_record(1, "u", b"x" * 99, None, False)
+    manifest = archive(tmp_path, spark, whole, gzip.compress(gzip.decompress(whole).replace(b"\r\nContent-Length", b"\r\nLength", 1)))
+    with pytest.raises(Exception, match="foreign.warc.gz, record 1: the record has no content length"):
+        warc.read_archives(manifest).collect()
+
+
+def test_a_task_reads_one_archive(spark):
+    manifest = warc.write_archives(odd_pages(spark).repartition(8), warc.archive_folder(spark), archive_bytes=1)
+    rows = warc.read_archives(manifest).groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(r["count"] for r in rows) == [1] * 8
+
+
 def test_query_against_the_pages(spark):
     folder = "/root/testdata/sf0.001"
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripkit.llm.common import free_name, numbered
 from tripkit.operators.layout import checkpointed, ensure_checkpoint_dir
 
 ARCHIVE_BYTES = 1 << 28
@@ -47,14 +48,22 @@ def http_block(payload: bytes | None, length: int) -> bytes:
     return head.encode("ascii") + (payload or b"")
 
 
-def page_record(page_id, url: str | None, payload: bytes, refers_to, has_reference: bool) -> bytes:
+def target_uri(url: str | None) -> str:
+    return " ".join((url or "").split())
+
+
+def record_id(page_id, url: str | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{url}')}>"
+
+
+def page_record(page_id, url: str | None, payload: bytes, refers_to, has_reference: bool, refers_to_url: str | None = None) -> bytes:
     """A response record, or a revisit record that names the response with the same payload."""
     block = http_block(None if has_reference else payload, len(payload))
     headers = {
         "WARC-Type": "revisit" if has_reference else "response",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{url}')}>",
+        "WARC-Record-ID": record_id(page_id, url),
         "WARC-Date": DATE,
-        "WARC-Target-URI": " ".join((url or "").split()),
+        "WARC-Target-URI": target_uri(url),
         "WARC-Payload-Digest": f"sha1:{sha1_base32(payload)}",
         "WARC-Block-Digest": f"sha1:{sha1_base32(block)}",
         "Content-Type": "application/http; msgtype=response",
@@ -63,6 +72,9 @@ def page_record(page_id, url: str | None, payload: bytes, refers_to, has_referen
     }
     if has_reference:
         headers["WARC-Profile"] = REVISIT_PROFILE
+        headers["WARC-Refers-To"] = record_id(refers_to, refers_to_url)
+        headers["WARC-Refers-To-Target-URI"] = target_uri(refers_to_url)
+        headers["WARC-Refers-To-Date"] = DATE
         headers["X-Refers-To-Page-Id"] = "" if refers_to is None else str(refers_to)
     return record_bytes(headers, block)
 
@@ -86,23 +98,45 @@ def members(stream: BinaryIO) -> Iterator[bytes]:
 
 
 def parse_record(content: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (lower-case names) and block of one record; its length must frame the member exactly."""
+    """Headers (lower-case names) and block of one record; its length must frame the member exactly.
+
+    A header line that isn't UTF-8 is read byte for byte, as old archives have them.
+    """
     head, mark, rest = content.partition(b"\r\n\r\n")
     version, *lines = head.split(b"\r\n")
     if not mark or not version.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
     headers = {}
     for line in lines:
-        name, _, value = line.decode("utf-8").partition(":")
+        try:
+            name, _, value = line.decode("utf-8").partition(":")
+        except UnicodeDecodeError:
+            name, _, value = line.decode("latin-1").partition(":")
         headers[name.strip().lower()] = value.strip()
+    if not headers.get("content-length", "").isdecimal():
+        raise ValueError("the record has no content length")
     length = int(headers["content-length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise ValueError("the content length does not frame the record")
     return headers, rest[:length]
 
 
-def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """``(headers, payload)`` of every record of an archive; a digest that does not fit is an error."""
+def full_length(headers: dict[str, str], block: bytes, payload: bytes) -> int | None:
+    """Bytes of the full payload, which a revisit doesn't repeat: by its own header, or by the one of its HTTP block."""
+    own = headers.get("x-payload-length", "")
+    if own.isdecimal():
+        return int(own)
+    if headers.get("warc-type") != "revisit":
+        return len(payload)
+    for line in block.partition(b"\r\n\r\n")[0].split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length" and value.strip().isdigit():
+            return int(value)
+    return None
+
+
+def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, int | None]]:
+    """``(headers, payload, full_length)`` of every record of an archive; a digest that does not fit is an error."""
     for content in members(stream):
         headers, block = parse_record(content)
         if f"sha1:{sha1_base32(block)}" != headers.get("warc-block-digest", f"sha1:{sha1_base32(block)}"):
@@ -112,11 +146,11 @@ def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
             digest = f"sha1:{sha1_base32(payload)}"
             if digest != headers.get("warc-payload-digest", digest):
                 raise ValueError("payload digest differs")
-        yield headers, payload
+        yield headers, payload, full_length(headers, block, payload)
 
 
-def with_revisits(pages: DataFrame, page_id: Column, payload: Column, least_bytes: int = 0) -> DataFrame:
-    """Add ``response_id`` and ``revisits``: of equal payloads the largest id is the response.
+def with_revisits(pages: DataFrame, page_id: Column, payload: Column, url: Column, least_bytes: int = 0) -> DataFrame:
+    """Add ``response_id``, its url and ``revisits``: of equal payloads the largest id is the response.
 
     Payloads below ``least_bytes`` are all responses. NULL ids count as the smallest; rows that
     repeat the largest id are all responses.
@@ -124,9 +158,13 @@ def with_revisits(pages: DataFrame, page_id: Column, payload: Column, least_byte
     keyed = pages.withColumn("digest", F.sha1(payload)).withColumn("size", F.length(payload))
     wide = keyed.where(F.col("size") >= least_bytes)
     groups = wide.groupBy(F.col("digest").alias("of"), F.col("size").alias("of_size")).agg(
-        F.max(page_id).alias("response_id"), F.count(F.lit(1)).alias("n")
+        F.max(F.struct(page_id.alias("id"), url.alias("url"))).alias("response"), F.count(F.lit(1)).alias("n")
+    )
+    shared = checkpointed(
+        groups.where("n > 1").select(
+            "of", "of_size", F.col("response.id").alias("response_id"), F.col("response.url").alias("response_url")
+        )
     )
-    shared = checkpointed(groups.where("n > 1").drop("n"))
     joined = keyed.join(shared, (F.col("digest") == F.col("of")) & (F.col("size") == F.col("of_size")), "left")
     revisits = F.col("of").isNotNull() & F.col("response_id").isNotNull() & ~page_id.eqNullSafe(F.col("response_id"))
     return joined.withColumn("revisits", revisits).drop("of", "of_size", "digest", "size")
@@ -154,9 +192,9 @@ def write_archives(
         F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
-    marked = with_revisits(chosen, F.col("page_id"), F.col("payload"), least_bytes)
+    marked = with_revisits(chosen, F.col("page_id"), F.col("payload"), F.col("url"), least_bytes)
     rows = marked.select(
-        F.col("page_id").cast("string"), "url", "payload", F.col("response_id").cast("string"), "revisits"
+        F.col("page_id").cast("string"), "url", "payload", F.col("response_id").cast("string"), "revisits", "response_url"
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +212,7 @@ def write_archives(
             out, count, size = None, 0, 0
 
         for batch in batches:
-            columns = [batch[name].to_pylist() for name in ("page_id", "url", "payload", "response_id", "revisits")]
+            columns = [batch[name].to_pylist() for name in ("page_id", "url", "payload", "response_id", "revisits", "response_url")]
             for record in zip(*columns, strict=True):
                 if out is None:
                     path = f"{base}/{task.partitionId():06d}-{task.taskAttemptId()}-{len(made):04d}.warc.gz"
@@ -199,15 +237,16 @@ def write_archives(
 def read_archives(manifest: DataFrame) -> DataFrame:
     """The records of the archives that ``manifest`` lists, each archive read by one task.
 
-    ``(record_type, page_id, uri, payload_digest, payload_bytes, refers_to, payload)``: ids as
-    text, NULL where there were none; ``payload_bytes`` is that of the full payload, whose
-    bytes a revisit record does not repeat. A broken record, a wrong length or digest, or
-    a missing record fails the job.
+    ``(record_type, page_id, uri, payload_digest, payload_bytes, refers_to, payload, record_id,
+    refers_to_record)``: ids as text, NULL where there were none; the last two are those of the
+    record format, which archives of other writers have as well. ``payload_bytes`` is that of the
+    full payload, whose bytes a revisit record does not repeat (NULL if nothing tells it). A broken
+    record, a wrong length or digest, or a missing record fails the job, by the archive's name.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record_type", "page_id", "uri", "payload_digest", "payload_bytes", "refers_to", "payload"]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+        names = ["record_type", "page_id", "uri", "payload_digest", "payload_bytes", "refers_to", "payload", "record_id", "refers_to_record"]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string()]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
@@ -220,18 +259,28 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 system, inner = fs.FileSystem.from_uri(path)
                 rows, size, seen = [], 0, 0
                 with system.open_input_stream(inner, compression=None) as stream:
-                    for headers, payload in read_records(stream):
+                    found = read_records(stream)
+                    while True:
+                        try:
+                            headers, payload, length = next(found)
+                        except StopIteration:
+                            break
+                        except (ValueError, zlib.error) as error:
+                            raise ValueError(f"{path}, record {seen}: {error}") from error
                         seen += 1
-                        revisit = headers["warc-type"] == "revisit"
+                        kind = headers.get("warc-type")
+                        revisit = kind == "revisit"
                         rows.append(
                             (
-                                headers["warc-type"],
+                                kind,
                                 headers.get("x-page-id") or None,
                                 headers.get("warc-target-uri"),
                                 headers.get("warc-payload-digest", "").removeprefix("sha1:"),
-                                int(headers.get("x-payload-length", len(payload))),
+                                length,
                                 (headers.get("x-refers-to-page-id") or None) if revisit else None,
                                 None if revisit else payload,
+                                headers.get("warc-record-id"),
+                                headers.get("warc-refers-to"),
                             )
                         )
                         size += len(payload)
@@ -243,11 +292,13 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    # A task per archive: their number is in the manifest, and Spark must not merge them again.
-    paths = manifest.select("path", "records").repartition(max(1, manifest.count()))
+    # A task per archive: ranges of one number each, which Spark does not merge again.
+    number = free_name(manifest, "number")
+    paths = numbered(manifest, number).repartitionByRange(max(1, manifest.count()), number).select("path", "records")
     return paths.mapInArrow(
         read,
-        "record_type string, page_id string, uri string, payload_digest string, payload_bytes long, refers_to string, payload binary",
+        "record_type string, page_id string, uri string, payload_digest string, payload_bytes long, refers_to string, "
+        "payload binary, record_id string, refers_to_record string",
     )
 
 
