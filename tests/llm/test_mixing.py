@@ -83,16 +83,28 @@ def test_the_tree_keeps_quotas_exactly(spark):
         assert sizes.max() - sizes.min() <= math.ceil(math.log2(shards)) if shards > 1 else True
 
 
+def test_chunks_of_sources_share_a_tree(spark, monkeypatch):
+    quotas = {f"host{i}": 1 + i % 7 for i in range(3000)} | {"hot": 9000, None: 40}
+    frame = spark.createDataFrame(list(quotas.items()), "source string, quota long")
+    for chunks in (1, 3, 4096):
+        monkeypatch.setattr(mixing, "CHUNKS", chunks)
+        table = pd.DataFrame(mixing.split_quotas(frame, 8).collect(), columns=["shard", "source", "quota"])
+        assert len(table) == 8 * len(quotas) and (table["quota"] >= 0).all()
+        sums = table.groupby("source", dropna=False)["quota"].sum()
+        assert all(sums[sums.index.isna()].iloc[0] == 40 if s is None else sums[s] == n for s, n in quotas.items())
+        sizes = table.groupby("shard")["quota"].sum()
+        assert sizes.max() - sizes.min() <= 3
+        # Each shard gets about an eighth of the hot source: within five deviations of the law.
+        hot, total = table[table["source"] == "hot"]["quota"], sum(quotas.values())
+        spread = math.sqrt(total / 8 * 9000 / total * (1 - 9000 / total) * 7 / 8)
+        assert (abs(hot - 9000 / 8) < 5 * spread).all()
+
+
 def test_halves_follow_the_multivariate_hypergeometric_law():
     draws = []
     for seed in range(3000):
         rng = np.random.default_rng(seed)
-        rest, wanted, got = 30, 15, []
-        for color in (20, 6, 4):
-            rest -= color
-            got.append(mixing.draw_hypergeometric(rng, color, rest, wanted))
-            wanted -= got[-1]
-        draws.append(got)
+        draws.append(mixing.draw_colors(rng, np.array([20, 6, 4]), 15))
     ours, theirs = np.array(draws), np.random.default_rng(0).multivariate_hypergeometric([20, 6, 4], 15, 3000)
     assert np.allclose(ours.mean(axis=0), theirs.mean(axis=0), atol=0.15)
     assert np.allclose(np.cov(ours.T), np.cov(theirs.T), atol=0.25)

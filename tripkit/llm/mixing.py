@@ -27,6 +27,8 @@ SHARDS = 16
 SEED = 5
 # About so many documents of a source are ordered in one group.
 GROUP_ROWS = 4096
+# Sources are hashed into so many chunks before their blocks are dealt out.
+CHUNKS = 4096
 
 
 def source_sizes(docs: DataFrame, source: str, size: str) -> DataFrame:
@@ -83,8 +85,54 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     ``quotas`` has ``source`` (string, may be NULL) and ``quota`` (long). A node of the tree
     covers a range of shards; it draws how many blocks of each source go to its left half by a
     multivariate hypergeometric law, so that both halves get their share of blocks and all
-    quotas are kept exactly. A level is one grouped job over (node, source) rows: counts only.
+    quotas are kept exactly.
+
+    Sources are hashed into ``CHUNKS`` chunks. The tree deals out the chunks' quotas first; then
+    each chunk's sources are dealt in a task of their own by the same tree, whose nodes draw as
+    many blocks as the chunk gave there. That is the same law, and no task sees all sources.
     """
+    chunked = quotas.select(
+        F.pmod(F.xxhash64("source"), F.lit(CHUNKS)).cast("string").alias("chunk"), "source", F.col("quota").cast("long").alias("quota")
+    )
+    totals = chunked.groupBy("chunk").agg(F.sum("quota").alias("quota"))
+    dealt = _split_chunks(totals.withColumnRenamed("chunk", "source"), shards, seed)
+
+    def deal(sources: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
+        sources = sources.sort_values("source", na_position="last", kind="stable")
+        shares = shares.sort_values("shard")
+        chunk = int(sources["chunk"].iloc[0])
+        wanted = shares["quota"].to_numpy(np.int64)
+        made = []
+        todo = [(0, len(wanted), sources["quota"].to_numpy(np.int64))]
+        while todo:
+            low, high, colors = todo.pop()
+            if high - low == 1:
+                made.append(pd.DataFrame({"shard": low, "source": sources["source"].to_numpy(), "quota": colors}))
+                continue
+            middle = (low + high) // 2
+            left = draw_colors(np.random.default_rng([seed, low, high, chunk + 1]), colors, int(wanted[low:middle].sum()))
+            todo += [(low, middle, left), (middle, high, colors - left)]
+        return pd.concat(made)
+
+    return (
+        chunked.groupBy("chunk")
+        .cogroup(dealt.withColumnRenamed("source", "chunk").groupBy("chunk"))
+        .applyInPandas(deal, "shard int, source string, quota long")
+    )
+
+
+def draw_colors(rng: np.random.Generator, colors: np.ndarray, draws: int) -> np.ndarray:
+    """How many of each color are among ``draws`` drawn without putting back."""
+    left, rest = np.zeros(len(colors), np.int64), int(colors.sum())
+    for i, color in enumerate(colors.tolist()):
+        rest -= color
+        left[i] = draw_hypergeometric(rng, color, rest, draws)
+        draws -= int(left[i])
+    return left
+
+
+def _split_chunks(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """The tree over at most ``CHUNKS`` rows: a level is one grouped job over (node, chunk) rows."""
     if shards < 1:
         raise ValueError("at least one shard")
     schema = "low int, high int, source string, quota long"
@@ -96,13 +144,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
         node = node.sort_values("source", na_position="last", kind="stable")
         colors, middle = node["quota"].to_numpy(np.int64), (low + high) // 2
         draws = int(colors.sum()) * (middle - low) // (high - low)
-        rng = np.random.default_rng([seed, low, high])
-        left = np.zeros(len(colors), np.int64)
-        rest, wanted = int(colors.sum()), draws
-        for i, color in enumerate(colors.tolist()):
-            rest -= color
-            left[i] = draw_hypergeometric(rng, color, rest, wanted)
-            wanted -= int(left[i])
+        left = draw_colors(np.random.default_rng([seed, low, high]), colors, draws)
         halves = [
             pd.DataFrame({"low": a, "high": b, "source": node["source"], "quota": n})
             for a, b, n in ((low, middle, left), (middle, high, colors - left))
