@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates: what op10 links, and what else is similar."""
+    return simhash.drop_near_duplicates(docs, print_words=(3, simhash.SHINGLE_WORDS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

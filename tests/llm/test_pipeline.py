@@ -45,6 +45,16 @@ def test_run_is_registered_and_gives_the_last_stage(spark, stages):
     assert sorted(rows) == sorted(stages[-1].collect())
 
 
+def test_near_duplicates_join_what_op10_links(spark):
+    # 212 is within two bits of 3 and others, at a Jaccard similarity of 0.74.
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 500").coalesce(4)
+    firsts = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs, words=3).collect()}
+    assert firsts[3] == firsts[212] == 3
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect()]
+    assert 3 in kept and 212 not in kept
+    assert all(firsts[i] == i for i in kept)
+
+
 @pytest.mark.parametrize("docs", [odd_docs, no_docs])
 def test_every_stage_takes_odd_rows(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -189,3 +189,28 @@ def test_near_duplicates_of_four_thousand_documents(spark):
     kept = simhash.drop_near_duplicates(docs.repartition(8))
     assert {r.doc_id for r in kept.select("doc_id").collect()} == want
     assert len(want) < len(rows) - 50
+
+
+def test_fingerprints_within_two_bits_are_links_of_their_own(spark):
+    rng = random.Random(17)
+    texts = []
+    for words, times in ((9, 9), (7, 12), (4, 60), (3, 30), (8, 10), (6, 14), (10, 12), (4, 12)):
+        line = prose(rng, words, 10**9)
+        texts += [" ".join([line] * times + [prose(rng, rng.randrange(1, 24), 10**9)]) for _ in range(12)]
+    texts += [prose(rng, 30) for _ in range(10)]
+    sets = [set(simhash.shingle_hashes(t.encode().split(), 5).tolist()) for t in texts]
+    marks = {n: [slow_fingerprint(t, n) for t in texts] for n in (3, 5)}
+
+    def similar(a, b):
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    def bits(n, a, b):
+        return (marks[n][a] ^ marks[n][b]).bit_count()
+
+    apart = [(a, b) for a in range(len(texts)) for b in range(a) if not similar(a, b)]
+    assert {0, 1, 2} <= {bits(5, a, b) for a, b in apart}
+    assert any(bits(3, a, b) <= 2 < bits(5, a, b) for a, b in apart)
+    for kinds in ((5,), (3, 5)):
+        named = classes(range(len(texts)), lambda a, b, kinds=kinds: similar(a, b) or any(bits(n, a, b) <= 2 for n in kinds))
+        kept = simhash.drop_near_duplicates(plain_docs(spark, texts), print_words=kinds)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(set(named.values()))

@@ -72,7 +72,11 @@ def majority_bits(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 def fingerprint_of(text: str | None, words: int, seed: int = SEED) -> int:
     """The 64-bit SimHash of a text as an unsigned integer: see ``with_fingerprint``."""
-    hashes = run_hashes(words_of(text), words, seed)
+    return print_of_runs(run_hashes(words_of(text), words, seed))
+
+
+def print_of_runs(hashes: np.ndarray) -> int:
+    """The SimHash of a text's hashed runs."""
     return int(majority_bits(hashes, np.zeros(1, np.int64))[0]) if len(hashes) else 0
 
 
@@ -222,37 +226,40 @@ def drop_near_duplicates(
     text: str = "text",
     words: int = SHINGLE_WORDS,
     similarity: float = SIMILARITY,
+    print_words: Sequence[int] = (SHINGLE_WORDS,),
 ) -> DataFrame:
     """Keep one row of each group of near-duplicates, with the columns of ``docs``.
 
-    Texts link if their sets of ``words``-word shingles have a Jaccard similarity of at least
-    ``similarity``, exact copies included; groups are the connected components. Of a group
-    the row with the smallest id stays (NULL ids come last, then any one row). Blank texts
-    are one group.
+    Texts link if their fingerprints (see ``with_fingerprint``) over runs of any of
+    ``print_words`` words differ in at most two bits: the links of ``simhash_groups``, found in the same
+    way. They also link if their sets of ``words``-word shingles have a Jaccard similarity of at
+    least ``similarity``. Exact copies do both; groups are the connected components of all
+    links. Of a group the row with the smallest id stays (NULL ids come last, then any one row).
+    Blank texts are one group.
 
-    Candidates are the fingerprints within two bits. Of the pairs with a similarity of 0.8 or
-    more only about three in a hundred are that close, so texts have further keys. Up to
+    Of the pairs with a similarity of 0.8 or more only about three in a hundred have
+    fingerprints within two bits, so texts have further keys. Up to
     ``SHORT`` distinct shingles they are the rarest ones, and no pair of such texts is missed.
     The shingles of longer texts are dealt to segments by hash and each segment's own SimHash is a
     key: an unchanged segment is an equal signature. A pair of which one text is longer than
     ``SHORT`` and all segments differ is missed (at a similarity of 0.8 and 16 segments of 6
-    shingles about one in three hundred).
+    shingles about one in three hundred), unless its fingerprints link it.
 
     Texts of an equal key are first compared with the one of smallest id and with their
     neighbours in the sorted order. Wherever that has not joined a whole group, all its texts
     that are not joined yet are compared with one another, in pairs of blocks. Similarities are exact.
     """
     columns = docs.columns
-    names = ("fp", "whole", "amount", "short", "signatures")
-    fp, whole, amount, short, signatures = (free_name(docs, name) for name in names)
+    names = ("prints", "whole", "amount", "short", "signatures")
+    prints, whole, amount, short, signatures = (free_name(docs, name) for name in names)
 
     def work(arrays: list[pa.Array]) -> list[pa.Array]:
-        prints, wholes, amounts, shorts, shares = [], [], [], [], []
+        marks, wholes, amounts, shorts, shares = [], [], [], [], []
         for t in arrays[0].to_pylist():
             found = words_of(t)
-            hashes = run_hashes(found, words)
-            distinct = np.unique(hashes)
-            prints.append(int(majority_bits(hashes, np.zeros(1, np.int64))[0]) if len(hashes) else 0)
+            hashes = {n: run_hashes(found, n) for n in {words, *print_words}}
+            distinct = np.unique(hashes[words])
+            marks.append(np.array([print_of_runs(hashes[n]) for n in print_words], np.uint64).view(np.int64))
             wholes.append(xxhash.xxh128_digest(b" ".join(found), SEED))
             amounts.append(len(distinct))
             shorts.append((distinct if len(distinct) <= SHORT else distinct[:0]).view(np.int64))
@@ -260,26 +267,26 @@ def drop_near_duplicates(
             long = len(distinct) >= math.floor(similarity * SHORT)
             shares.append((segment_signatures(distinct) if long else distinct[:0]).view(np.int64))
         return [
-            pa.array(np.array(prints, np.uint64).view(np.int64)),
+            pa.array(marks, pa.list_(pa.int64())),
             pa.array(wholes, pa.binary()),
             pa.array(amounts, pa.int64()),
             pa.array(shorts, pa.list_(pa.int64())),
             pa.array(shares, pa.list_(pa.int64())),
         ]
 
-    made = {fp: "long", whole: "binary", amount: "long", short: "array<long>", signatures: "array<long>"}
+    made = {prints: "array<long>", whole: "binary", amount: "long", short: "array<long>", signatures: "array<long>"}
     marked = append_columns(docs, [text], made, work, keep=[doc_id])
     rank = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"))
-    alike = [F.first(made_name).alias(name) for made_name, name in zip((fp, amount, short, signatures), (names[0], *names[2:]), strict=True)]
+    alike = [F.first(made_name).alias(name) for made_name, name in zip((prints, amount, short, signatures), (names[0], *names[2:]), strict=True)]
     # Equal texts are one from here on: 128 bits tell texts apart. The checkpoint fixes their numbers.
     texts = checkpointed(marked.groupBy(F.col(whole).alias("digest")).agg(F.min(rank).alias("rank"), *alike))
     texts = texts.withColumn("whole", F.monotonically_increasing_id())
-    close = _close_prints(texts)
-    shared = _shared_keys(texts, close, similarity)
-    pairs = checkpointed(_candidates(shared, close))
+    close = checkpointed(_print_links(texts, len(print_words)))
+    shared = _shared_keys(texts, similarity)
+    pairs = checkpointed(_candidates(shared))
     ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct().join(texts, "whole").select("whole", "digest", "rank.id"))
     shingled = checkpointed(_shingle_sets(docs, ends, doc_id, text, words))
-    links = checkpointed(_verified(pairs, shingled, similarity))
+    links = checkpointed(_verified(pairs, shingled, similarity)).unionAll(close)
     joined = components(links, "a", "b").withColumnRenamed("node", "whole")
     # A stored table: a checkpoint keeps the plan's estimated sizes, whose digits every join adds up.
     stored = f"{ensure_checkpoint_dir(docs.sparkSession)}/links-{uuid.uuid4()}"
@@ -308,21 +315,21 @@ def _with_digest(docs: DataFrame, text: str, out: str) -> DataFrame:
     return append_columns(docs, [text], {out: "binary"}, work)
 
 
-def _close_prints(texts: DataFrame) -> DataFrame:
-    """``(a, b, a_whole, b_whole, texts)``: fingerprints within two bits, a text of each, and how many have them."""
-    by_fp = checkpointed(texts.groupBy("fp").agg(F.min("whole").alias("whole"), F.count(F.lit(1)).alias("n")))
-    close = linked_fingerprints(by_fp.select("fp")).distinct()
-    return checkpointed(
-        close.join(by_fp.toDF("a", "a_whole", "a_n"), "a")
-        .join(by_fp.toDF("b", "b_whole", "b_n"), "b")
-        .select("a", "b", "a_whole", "b_whole", (F.col("a_n") + F.col("b_n")).alias("texts"))
-    )
+def _print_links(texts: DataFrame, kinds: int) -> DataFrame:
+    """``(a, b)``: each text and the first one of its class by each kind of fingerprint."""
+    links = None
+    for kind in range(kinds):
+        marked = texts.select(F.col("prints")[kind].alias("fp"), "whole")
+        classes = fingerprint_classes(marked, "fp", "whole")
+        found = marked.join(classes, "fp").where("whole <> first").select(F.col("whole").alias("a"), F.col("first").alias("b"))
+        links = found if links is None else links.unionAll(found)
+    return links
 
 
-def _shared_keys(texts: DataFrame, close: DataFrame, similarity: float) -> DataFrame:
+def _shared_keys(texts: DataFrame, similarity: float) -> DataFrame:
     """``(key, whole, amount, hub)``: the texts of every key that several have; ``hub`` has the smallest id.
 
-    Keys are rarest shingles, segments, equal fingerprints, and pairs of fingerprints within two bits.
+    Keys are rarest shingles and segments.
     """
     cell = F.col("shingle").bitwiseAND(F.lit(CELLS - 1)).alias("cell")
     counted = checkpointed(texts.select(F.explode("short").alias("shingle")).groupBy(cell).agg(F.count(F.lit(1)).alias("n")))
@@ -339,19 +346,15 @@ def _shared_keys(texts: DataFrame, close: DataFrame, similarity: float) -> DataF
         return [pa.array(rare, pa.list_(pa.int64()))]
 
     slim = append_columns(texts, ["short"], {"rare": "array<long>"}, work, keep=["whole", "rank", "amount", "signatures"])
-    own = slim.select(F.explode(F.concat("rare", "signatures")).alias("key"), "rank", "whole", "amount")
-    prints = checkpointed(texts.select("fp", "rank", "whole", "amount"))
-    equal = prints.select(F.xxhash64("fp").alias("key"), "rank", "whole", "amount")
-    ends = close.where("texts > 2").select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp"))
-    within = ends.join(prints, "fp").select("key", "rank", "whole", "amount")
-    keyed = checkpointed(own.unionAll(equal).unionAll(within))
+    keyed = checkpointed(slim.select(F.explode(F.concat("rare", "signatures")).alias("key"), F.col("rank.id").alias("id"), "whole", "amount"))
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "whole")
     first = checkpointed(
-        keyed.groupBy("key").agg(F.min(F.struct("rank", "whole")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("first.whole").alias("hub"))
+        keyed.groupBy("key").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("first.whole").alias("hub"))
     )
     return checkpointed(keyed.select("key", "whole", "amount").join(first, "key"))
 
 
-def _candidates(shared: DataFrame, close: DataFrame) -> DataFrame:
+def _candidates(shared: DataFrame) -> DataFrame:
     """``(a, b)`` with a < b: the pairs that are compared first."""
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +369,7 @@ def _candidates(shared: DataFrame, close: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     beside = shared.select("key", "whole").orderBy("key", "whole").mapInArrow(neighbours, "a long, b long")
-    every = shared.select(F.col("hub").alias("a"), F.col("whole").alias("b")).unionAll(beside).unionAll(close.select("a_whole", "b_whole"))
+    every = shared.select(F.col("hub").alias("a"), F.col("whole").alias("b")).unionAll(beside)
     return every.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
