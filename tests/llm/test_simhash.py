@@ -214,3 +214,30 @@ def test_fingerprints_within_two_bits_are_links_of_their_own(spark):
         named = classes(range(len(texts)), lambda a, b, kinds=kinds: similar(a, b) or any(bits(n, a, b) <= 2 for n in kinds))
         kept = simhash.drop_near_duplicates(plain_docs(spark, texts), print_words=kinds)
         assert sorted(r.doc_id for r in kept.collect()) == sorted(set(named.values()))
+
+
+def test_near_duplicates_leave_the_driver_little_to_do(spark, monkeypatch):
+    rng = random.Random(19)
+    texts = []
+    for n in (12, 30, 60):
+        base = prose(rng, n, 10**9)
+        texts += [base, base + " end", "start " + base]
+    docs = plain_docs(spark, texts)
+    kind, made, calls = type(docs), [], []
+    collect, joined = kind.collect, simhash.components
+
+    def counted(frame):
+        made.append(collect(frame))
+        return made[-1]
+
+    monkeypatch.setattr(kind, "collect", counted)
+    monkeypatch.setattr(simhash, "components", lambda *args: calls.append(args) or joined(*args))
+    spark.sparkContext.setJobGroup("little", "near-duplicates")
+    try:
+        kept = collect(simhash.drop_near_duplicates(docs, print_words=(3, 5)).select("doc_id"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    # Kinds of fingerprints add links, not searches for components, and counts don't come as Python rows.
+    assert len(kept) == 3
+    assert len(calls) <= 2
+    assert max(map(len, made), default=0) <= 10

@@ -293,7 +293,7 @@ def drop_near_duplicates(
     _rest_of_groups(shared, joined, shingled, similarity).write.parquet(stored)
     more = read_trips(docs.sparkSession, stored)
     if not more.isEmpty():
-        joined = components(links.unionAll(more), "a", "b").withColumnRenamed("node", "whole")
+        joined = _joined_further(joined, more)
     named = texts.select("whole", "digest", "rank").join(joined, "whole", "left")
     groups = named.groupBy(F.coalesce("component", "whole")).agg(
         F.min(F.struct("rank.no_id", "rank.id", "whole", "digest")).alias("first")
@@ -316,14 +316,34 @@ def _with_digest(docs: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def _print_links(texts: DataFrame, kinds: int) -> DataFrame:
-    """``(a, b)``: each text and the first one of its class by each kind of fingerprint."""
-    links = None
+    """``(a, b)``: links that join the texts of each class by each kind of fingerprint.
+
+    Texts of one fingerprint link to the first of them, and the first ones of linked
+    fingerprints to each other. Classes aren't made here: what follows the links joins them with all others.
+    """
+    marked = texts.select(F.posexplode("prints").alias("print_kind", "fp"), "whole")
+    least = checkpointed(marked.groupBy("print_kind", "fp").agg(F.min("whole").alias("first")))
+    pairs = None
     for kind in range(kinds):
-        marked = texts.select(F.col("prints")[kind].alias("fp"), "whole")
-        classes = fingerprint_classes(marked, "fp", "whole")
-        found = marked.join(classes, "fp").where("whole <> first").select(F.col("whole").alias("a"), F.col("first").alias("b"))
-        links = found if links is None else links.unionAll(found)
-    return links
+        found = linked_fingerprints(least.where(F.col("print_kind") == kind).select("fp")).withColumn("print_kind", F.lit(kind))
+        pairs = found if pairs is None else pairs.unionAll(found)
+    low, high = least.toDF("print_kind", "a", "low"), least.toDF("print_kind", "b", "high")
+    across = pairs.distinct().join(low, ["print_kind", "a"]).join(high, ["print_kind", "b"])
+    copies = marked.join(least, ["print_kind", "fp"]).where("whole <> first")
+    return across.select(F.col("low").alias("a"), F.col("high").alias("b")).unionAll(copies.select("whole", "first"))
+
+
+def _joined_further(joined: DataFrame, more: DataFrame) -> DataFrame:
+    """``(whole, component)``: the components ``joined`` after the links ``more`` between them.
+
+    Only components with such links are looked at again, each as one node.
+    """
+    low, high = joined.toDF("a", "a_root"), joined.toDF("b", "b_root")
+    ends = more.join(low, "a", "left").join(high, "b", "left")
+    merged = components(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), "a", "b")
+    above = merged.toDF("component", "further")
+    renamed = joined.join(above, "component", "left").select("whole", F.coalesce("further", "component").alias("component"))
+    return renamed.unionAll(merged.select(F.col("node").alias("whole"), "component"))
 
 
 def _shared_keys(texts: DataFrame, similarity: float) -> DataFrame:
@@ -334,8 +354,8 @@ def _shared_keys(texts: DataFrame, similarity: float) -> DataFrame:
     cell = F.col("shingle").bitwiseAND(F.lit(CELLS - 1)).alias("cell")
     counted = checkpointed(texts.select(F.explode("short").alias("shingle")).groupBy(cell).agg(F.count(F.lit(1)).alias("n")))
     loads = np.zeros(CELLS, np.int64)
-    for row in counted.collect():  # at most CELLS rows
-        loads[row["cell"]] = row["n"]
+    found = counted.toArrow()  # at most CELLS rows, not as Python objects
+    loads[found["cell"].to_numpy()] = found["n"].to_numpy()
     sent = texts.sparkSession.sparkContext.broadcast(loads)
 
     def work(arrays: list[pa.Array]) -> list[pa.Array]:
