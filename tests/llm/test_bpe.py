@@ -1,5 +1,10 @@
 import base64
 import hashlib
+import os
+import subprocess
+import sys
+import weakref
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -7,7 +12,7 @@ import pytest
 import tiktoken
 from samples import no_docs, odd_docs, odd_texts
 
-from tripkit.llm import bpe, register
+from tripkit.llm import bpe, common, register
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -56,6 +61,51 @@ def test_blocks_of_equal_words_have_names_of_their_own():
     assert all(len(n) == 1 for n in names) and len(set.union(*names)) == len(names) > 10
 
 
+# What a process keeps, in MB, of the blocks of some documents.
+CUT_AND_RELEASE = """
+import re, pandas, regex, public_tokenizers, pyarrow.parquet
+from tripkit.llm import bpe, common
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def cut(docs, split=regex.compile(public_tokenizers.PATTERN).findall):
+    block = bpe.Block(split)
+    for part in (docs.slice(at, 128) for at in range(0, len(docs), 128)):
+        for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
+            block.add(doc_id, text or "", regex.compile(r"[\\s] | [\\s]").search)
+            if block.chars >= 1 << 22:
+                list(block.rows())
+                block = bpe.Block(split)
+
+docs = pyarrow.parquet.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"])
+cut(docs.slice(0, 20))
+common.release()
+before = held()
+cut(docs.slice(0, 4000))
+common.release()
+print(held() - before)
+"""
+
+
+def test_cut_blocks_leave_no_memory_behind():
+    path = os.pathsep.join([str(Path(bpe.__file__).parents[2]), *sys.path])
+    ran = subprocess.run([sys.executable, "-c", CUT_AND_RELEASE], env=os.environ | {"PYTHONPATH": path}, capture_output=True, text=True, timeout=120)
+    assert float(ran.stdout) < 12, ran.stderr
+
+
+def test_memory_is_given_back_after_what_held_it(monkeypatch):
+    alive, seen = [], []
+    monkeypatch.setattr(common, "release", lambda: seen.append([ref() for ref in alive]))
+
+    def work(batches):
+        mine = bpe.Block(str.split)
+        alive.append(weakref.ref(mine))
+        yield from batches
+
+    assert list(common.releasing(work)(iter([1, 2]))) == [1, 2] and seen == [[None]]
+
+
 def test_many_empty_and_repeated_texts(spark, library):
     rows = spark.range(60_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'one text that is everywhere' WHEN id % 3 = 1 THEN '' END AS text")
     sizes = bpe.encode(rows, PATH, PATTERN, block_chars=1 << 18).selectExpr("doc_id % 3 AS k", "size(ids) AS n").groupBy("k", "n").count().collect()

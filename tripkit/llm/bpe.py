@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tripkit.llm.common import append_columns, release
+from tripkit.llm.common import append_columns, release, releasing
 
 BLOCK_CHARS = 1 << 25
 _WORDS_PER_ROW = 1 << 16
@@ -81,25 +81,24 @@ class _Numbers(dict):
         return number
 
 
+def _packed(numbers: Iterable[int]) -> bytes:
+    """The numbers, below 2**32, in four bytes each."""
+    return array("I", numbers).tobytes()
+
+
 class _Pieces(dict):
-    """Numbers pieces of text and remembers which words each consists of."""
+    """The words that each piece of text consists of: their numbers, packed.
+
+    Bytes instead of small NumPy arrays: what NumPy keeps of those lies between the pieces, and
+    the memory around it would stay with the worker after the block.
+    """
 
     def __init__(self, split: Callable[[str], list[str]], words: _Numbers, before: str):
         self.split, self.words, self.before = split, words, before
-        self.starts, self.lengths, self.members = array("q"), array("q"), array("I")
-
-    def __missing__(self, piece: str) -> int:
-        found = [self.words[word] for word in self.split(self.before + piece)]
-        self.starts.append(len(self.members))
-        self.lengths.append(len(found))
-        self.members.extend(found)
-        self[piece] = number = len(self)
-        return number
 
-    def positions(self, pieces: list[str]) -> np.ndarray:
-        numbers = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        starts, lengths = np.frombuffer(self.starts, np.int64), np.frombuffer(self.lengths, np.int64)
-        return np.frombuffer(self.members, np.uint32)[ragged(starts[numbers], lengths[numbers])]
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = found = _packed([self.words[word] for word in self.split(self.before + piece)])
+        return found
 
 
 class Block:
@@ -109,32 +108,32 @@ class Block:
         self.split, self.words, self.place = split, _Numbers(), place
         # A word may start with one space, so a space between two other characters ends a word
         # for sure. Texts are cut there, and each distinct cut is split into words once.
-        self.spaced = _Pieces(split, self.words, " ")
+        self.spaced: _Pieces | None = _Pieces(split, self.words, " ")
         self.chars = 0
         self.done: list[tuple[list, bytes]] = []
         self.ids: list = []
-        self.positions: list[np.ndarray] = []
+        self.positions: list[bytes] = []
         self.pending = 0
 
     def add(self, doc_id, text: str, doubtful: Callable[[str], object]) -> None:
         self.chars += len(text) + _ROW_CHARS
         if doubtful(text):
-            found = np.fromiter((self.words[w] for w in self.split(text)), np.uint32)
+            found = _packed([self.words[w] for w in self.split(text)])
         else:
             first, *rest = text.split(" ")
-            head = np.fromiter((self.words[w] for w in self.split(first)), np.uint32)
-            found = np.concatenate([head, self.spaced.positions(rest)]) if rest else head
+            head = _packed([self.words[w] for w in self.split(first)])
+            found = head + b"".join(map(self.spaced.__getitem__, rest))
         self.ids.append(doc_id)
         self.positions.append(found)
-        self.pending += len(found) + _ROW_TOKENS
+        self.pending += len(found) // 4 + _ROW_TOKENS
         if self.pending >= _TOKENS_PER_ROW:
             self.pack()
 
     def pack(self) -> None:
         """Put the documents at hand into one row: their ids, lengths and positions."""
         if self.ids:
-            lengths = np.array([len(p) for p in self.positions])
-            self.done.append((self.ids, squeeze(lengths, np.concatenate(self.positions))))
+            lengths = np.array([len(p) // 4 for p in self.positions])
+            self.done.append((self.ids, squeeze(lengths, np.frombuffer(b"".join(self.positions), np.uint32))))
             self.ids, self.positions, self.pending = [], [], 0
 
     def rows(self) -> Iterator[tuple]:
@@ -143,6 +142,7 @@ class Block:
         Blocks of equal words have different names, so a repeated text doesn't lead them into one task.
         """
         self.pack()
+        self.spaced = None  # No text follows, and the words are made into bytes next.
         words = [word.encode("utf-8") for word in self.words]
         name = xxhash.xxh64(digest_input := b"\0".join(words)).intdigest()
         name = xxhash.xxh64(f"{name}:{len(digest_input)}:{self.place}").intdigest()
@@ -182,7 +182,7 @@ def _count_words(data: bytes) -> int:
     return int(np.searchsorted(reach, len(data))) + 1
 
 
-def _pack_ids(blocks: list, places: list, lengths: list, ids: list) -> Iterator[tuple[int, bytes]]:
+def _pack_ids(blocks: list, places: list, lengths: array, ids: array) -> Iterator[tuple[int, bytes]]:
     """One ``(block, payload)`` for each block: its words' places, numbers of ids, and ids."""
     block, place = np.concatenate(blocks), np.concatenate(places)
     length, flat = np.array(lengths, np.int64), np.array(ids, np.uint32)
@@ -224,10 +224,14 @@ def _assemble(doc_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]
             made.append(flat[ragged(start[words], length[words])])
         values, offsets = np.concatenate(made), np.cumsum(np.concatenate(sizes)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": pa.array(doc_ids, doc_type), "ids": lists})
 
-    return work
+    def released(block: pa.Table, packed: pa.Table) -> pa.Table:
+        made = work(block, packed)
+        release()
+        return made
+
+    return released
 
 
 def encode(
@@ -294,13 +298,11 @@ def encode(
                         block = opened()
         if block.ids or block.done:
             yield from finish(block)
-        del block
-        release()
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = whole_word_encoder(read_ranks(ranks.value))
-        last, found = None, []
-        blocks, places, lengths, ids = [], [], [], []
+        last, found = None, array("I")
+        blocks, places, lengths, ids = [], [], array("q"), array("I")
 
         def packed() -> pa.RecordBatch:
             rows = list(_pack_ids(blocks, places, lengths, ids))
@@ -312,22 +314,24 @@ def encode(
         for batch in batches:
             for word in batch["word"].to_pylist():
                 if word != last:
-                    last, found = word, encoder(word)
+                    last, found = word, array("I", encoder(word))
                 lengths.append(len(found))
                 ids.extend(found)
-            blocks.append(batch["block"].to_numpy())
-            places.append(batch["place"].to_numpy())
+            # Copies: an array of the batch would keep the words, too.
+            blocks.append(batch["block"].to_numpy().copy())
+            places.append(batch["place"].to_numpy().copy())
             if len(lengths) >= _ROWS_PER_PACK:
                 yield packed()
-                blocks, places, lengths, ids = [], [], [], []
+                blocks, places, lengths, ids = [], [], array("q"), array("I")
         if lengths:
             yield packed()
-        release()
 
-    tagged = chosen.mapInArrow(cut, tagged_schema).repartition("block")
+    tagged = chosen.mapInArrow(releasing(cut), tagged_schema).repartition("block")
     words = tagged.mapInArrow(_unpack_words, "block long, word string, place int")
     merged = (
-        words.repartition("word").sortWithinPartitions("word").mapInArrow(merge, "block long, payload binary")
+        words.repartition("word")
+        .sortWithinPartitions("word")
+        .mapInArrow(releasing(merge), "block long, payload binary")
     )
     arrow_kind = to_arrow_type(chosen.schema["doc_id"].dataType)
     return (

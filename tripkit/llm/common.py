@@ -36,6 +36,16 @@ def release() -> None:
         trim(0)
 
 
+def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, and then ``release``: by that time what ``work`` held is free, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """``df``, marked for broadcast if it has at most ``rows`` rows; a plain join side beyond that.
 
@@ -109,6 +119,5 @@ def append_columns(
                 part = batch.slice(at, at_once)
                 made = work([part.column(name) for name in input_names])
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept_names), *made], names=schema.names)
-        release()
 
-    return used.mapInArrow(run, schema).toDF(*kept, *outputs)
+    return used.mapInArrow(releasing(run), schema).toDF(*kept, *outputs)
